@@ -26,9 +26,15 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """Unit vector; a zero vector stays zero."""
-    length = norm(v)
-    return F.transform(as_double(v), lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
+    """Unit vector; a zero vector stays zero.
+
+    The length is bound as a lambda variable, so it is computed once per row, not per element.
+    """
+    scaled = F.transform(
+        F.array(norm(v)),
+        lambda n: F.transform(as_double(v), lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))),
+    )
+    return F.get(scaled, F.lit(0))
 
 
 def weighted_sum(a: Column, wa: float, b: Column, wb: float) -> Column:

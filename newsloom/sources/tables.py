@@ -8,7 +8,20 @@ from newsloom.schemas import TABLES
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+    df = spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+TEXT_TABLES = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a scan with fewer pieces than cores, so that costly text work uses them all.
+
+    A table of many files already has enough pieces and is left alone, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def write_snapshot(df: DataFrame, root: str) -> int:
