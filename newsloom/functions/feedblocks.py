@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.functions.topk import PAIRS_AT_ONCE, first_k, to_ids
+from newsloom.functions.topk import PAIRS_AT_ONCE, best_per_row, to_ids
 from newsloom.schemas import TOPICS
 
 ARTICLE_BLOCK = 65536
@@ -120,17 +120,6 @@ def _scaled(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(x), 0.0, y)
 
 
-def _best(keys: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k lowest finite keys per row, ties by id."""
-    if not keys.size:
-        return np.zeros(0, int), np.zeros(0, int)
-    kk = min(k, keys.shape[1])
-    worst = np.partition(keys, kk - 1, axis=1)[:, kk - 1 : kk]
-    rows, cols = np.nonzero((keys <= worst) & np.isfinite(keys))
-    keep = first_k(rows, keys[rows, cols], ids[cols], k)
-    return rows[keep], cols[keep]
-
-
 def _chunks(users: pa.Table, cand: Candidates) -> Iterator[pa.Table]:
     step = max(1, PAIRS_AT_ONCE // max(1, len(cand.ids)))
     for at in range(0, users.num_rows, step):
@@ -151,10 +140,10 @@ def _score(users: pa.Table, cand: Candidates, n: int, per_topic: int, given: boo
         total = sum(u.weights[:, i : i + 1] * x for i, x in enumerate([*scaled, pop]))
         total = np.round(total, PLACES)
         keys = np.where(u.unseen, -total, np.inf)
-        picks = [_best(keys, cand.ids, n)]
+        picks = [best_per_row(keys, cand.ids, n)]
         for t in range(len(TOPICS)) if per_topic else ():
             cols = np.flatnonzero(cand.topic == t)
-            rows, inside = _best(keys[:, cols], cand.ids[cols], per_topic)
+            rows, inside = best_per_row(keys[:, cols], cand.ids[cols], per_topic)
             picks.append((rows, cols[inside]))
         pairs = np.unique(np.concatenate([np.stack(p, axis=1) for p in picks]), axis=0)
         r, c = pairs[:, 0], pairs[:, 1]

@@ -52,6 +52,17 @@ def first_k(groups: np.ndarray, keys: np.ndarray, ids: np.ndarray, k: int) -> np
     return order[place < k]
 
 
+def best_per_row(keys: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k lowest finite keys per row, ties by the column's id."""
+    if not keys.size:
+        return np.zeros(0, int), np.zeros(0, int)
+    kk = min(k, keys.shape[1])
+    worst = np.partition(keys, kk - 1, axis=1)[:, kk - 1 : kk]
+    rows, cols = np.nonzero((keys <= worst) & np.isfinite(keys))
+    keep = first_k(rows, keys[rows, cols], ids[cols], k)
+    return rows[keep], cols[keep]
+
+
 def sort_keys(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     """Rounded sort key per pair, lower is better: squared distance, or minus dot / cosine."""
     if metric == "cosine":
@@ -70,17 +81,13 @@ def block_best(
     """(query ids, vector ids, keys) of the k best vectors per query in one block."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, PAIRS_AT_ONCE // max(1, len(vid)))
-    kk = min(k, len(vid))
-    for at in range(0, len(qid) if kk else 0, step):
+    for at in range(0, len(qid) if len(vid) else 0, step):
         ids = qid[at : at + step]
         keys = sort_keys(q[at : at + step], v, metric)
         if exclude_self:
             keys[ids[:, None] == vid[None, :]] = np.inf
-        worst = np.partition(keys, kk - 1, axis=1)[:, kk - 1 : kk]
-        rows, cols = np.nonzero((keys <= worst) & np.isfinite(keys))
-        found = keys[rows, cols]
-        best = first_k(rows, found, vid[cols], k)
-        out.append((ids[rows[best]], vid[cols[best]], found[best]))
+        rows, cols = best_per_row(keys, vid, k)
+        out.append((ids[rows], vid[cols], keys[rows, cols]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(parts) for parts in zip(*out))  # type: ignore[return-value]

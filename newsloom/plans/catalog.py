@@ -6,7 +6,9 @@ import importlib
 
 from newsloom.plans import registry, views_sql  # noqa: F401
 
-MODULES = ("ingest", "articles", "interactions", "embed", "vectors", "classify", "processing", "recommend")
+MODULES = (
+    "ingest", "articles", "interactions", "embed", "vectors", "classify", "processing", "recommend", "retrieve", "chat",
+)
 
 for _name in MODULES:
     importlib.import_module(f"newsloom.plans.{_name}")
