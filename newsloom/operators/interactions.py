@@ -58,67 +58,59 @@ def accepted_interactions(events: DataFrame, users: DataFrame, articles: DataFra
     )
 
 
-def _pair_state(events: DataFrame) -> DataFrame:
+PAIR = ("user_id", "article_id", "interaction_type")
+
+
+def pair_state(events: DataFrame) -> DataFrame:
     """Everything toggles and upserts need, in one aggregate per (user, article, type).
 
-    Counts, minima and maxima merge before the shuffle, so a pair with any number of events
-    sends one row per task.
+    Counts, minima and maxima do not depend on arrival order and merge before the shuffle, so a
+    pair with any number of events sends one row per task, and late events need no replay.
     """
-    order = F.struct("ts", "event_id")
-    timed = F.when(F.col("read_time_seconds").isNotNull(), order)
-    return events.groupBy("user_id", "article_id", "interaction_type").agg(
+    row = F.struct("ts", "event_id", "read_time_seconds")
+    return events.groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(order).alias("first"),
-        F.max(F.struct("ts", "event_id", "read_time_seconds")).alias("last"),
-        F.max_by("read_time_seconds", timed).alias("last_timed"),
+        F.min(row).alias("first"),
+        F.max(row).alias("last"),
+        F.max(F.when(F.col("read_time_seconds").isNotNull(), row)).alias("timed"),
     )
 
 
-def _surviving_likes(state: DataFrame) -> DataFrame:
-    return state.where((F.col("interaction_type") == "like") & (F.col("n") % 2 == 1)).select(
-        F.col("last.event_id").alias("event_id"),
-        "user_id",
-        "article_id",
-        "interaction_type",
-        F.col("last.ts").alias("ts"),
-        F.col("last.read_time_seconds").alias("read_time_seconds"),
+def merge_pair_states(states: DataFrame) -> DataFrame:
+    """Combine states of the same pairs, such as an older one and that of a new batch."""
+    return states.groupBy(*PAIR).agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("timed").alias("timed")
     )
 
 
-def _merged_reads(state: DataFrame) -> DataFrame:
-    return state.where(F.col("interaction_type") == "read").select(
-        F.col("first.event_id").alias("event_id"),
+def state_rows(state: DataFrame) -> DataFrame:
+    """Log rows that remain: the last of an odd number of likes, one row per read pair."""
+    kind, last = F.col("interaction_type"), F.col("last")
+    read = kind == "read"
+    return state.where(read | ((kind == "like") & (F.col("n") % 2 == 1))).select(
+        F.when(read, F.col("first.event_id")).otherwise(last["event_id"]).alias("event_id"),
         "user_id",
         "article_id",
         "interaction_type",
-        F.col("last.ts").alias("ts"),
-        F.col("last_timed").alias("read_time_seconds"),
+        last["ts"].alias("ts"),
+        F.when(read, F.col("timed.read_time_seconds")).otherwise(last["read_time_seconds"]).alias("read_time_seconds"),
     )
 
 
 def like_toggle(events: DataFrame) -> DataFrame:
-    """Likes left after each further like removed the one before: the last of an odd number."""
-    return _surviving_likes(_pair_state(events.where(F.col("interaction_type") == "like")))
+    """Likes left after each further like removed the one before."""
+    return state_rows(pair_state(events.where(F.col("interaction_type") == "like")))
 
 
 def read_upsert(events: DataFrame) -> DataFrame:
     """One read per (user, article): first id, last time, last known read time."""
-    return _merged_reads(_pair_state(events.where(F.col("interaction_type") == "read")))
+    return state_rows(pair_state(events.where(F.col("interaction_type") == "read")))
 
 
 def compact_accepted(events: DataFrame) -> DataFrame:
     """The log after toggles and upserts; clicks and skips are kept as they are."""
     kind = F.col("interaction_type")
-    state = _pair_state(events.where(kind.isin("like", "read")))
-    last, read = F.col("last"), kind == "read"
-    merged = state.where(read | (F.col("n") % 2 == 1)).select(
-        F.when(read, F.col("first.event_id")).otherwise(last["event_id"]).alias("event_id"),
-        "user_id",
-        "article_id",
-        "interaction_type",
-        last["ts"].alias("ts"),
-        F.when(read, F.col("last_timed")).otherwise(last["read_time_seconds"]).alias("read_time_seconds"),
-    )
+    merged = state_rows(pair_state(events.where(kind.isin("like", "read"))))
     return events.where(kind.isin("click", "skip")).select(*COLUMNS).unionByName(merged)
 
 

@@ -8,7 +8,7 @@ from newsloom.plans import registry, views_sql  # noqa: F401
 
 MODULES = (
     "ingest", "articles", "interactions", "embed", "vectors", "classify", "processing", "recommend", "retrieve", "chat",
-    "metrics",
+    "metrics", "streams",
 )
 
 for _name in MODULES:

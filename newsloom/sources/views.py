@@ -23,8 +23,13 @@ def _after_epoch(hours: Column, minutes: Column | None = None) -> Column:
 
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "documents").drop("n_chars")
-    vecs = read_table(spark, folder, "embeddings").select("vec_id", "label")
+    return articles_from_documents(
+        read_table(spark, folder, "documents"), read_table(spark, folder, "embeddings")
+    )
+
+
+def articles_from_documents(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
+    docs, vecs = docs.drop("n_chars"), embeddings.select("vec_id", "label")
     d = docs.join(vecs, docs.doc_id == vecs.vec_id, "left")
     done = F.col("vec_id").isNotNull() & (F.col("doc_id") % 10 < 8)
     first_line = F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 80)
@@ -87,7 +92,10 @@ def interactions_raw(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    c = read_table(spark, folder, "conversations")
+    return messages_from_turns(read_table(spark, folder, "conversations"))
+
+
+def messages_from_turns(c: DataFrame) -> DataFrame:
     cited = F.concat("text", F.lit(" ["), (F.col("turn") % 7).cast("string"), F.lit("][1]"))
     return c.select(
         F.col("conv_id").alias("conversation_id"),
@@ -120,8 +128,11 @@ def feedback(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feed_entries(spark: SparkSession, folder: str) -> DataFrame:
+    return entries_from_pages(read_table(spark, folder, "pages"))
+
+
+def entries_from_pages(p: DataFrame) -> DataFrame:
     """Raw feed entries with a page each: some lack a title, an author or a date."""
-    p = read_table(spark, folder, "pages")
     pid = F.col("page_id")
     return p.select(
         "page_id",
