@@ -25,15 +25,14 @@ def embedding_text(title: Column, content: Column) -> Column:
 
 
 def feature_codes(text: Column, dim: int = DIM) -> Column:
-    """One number per word: 2 * dimension + sign bit, both read from the word's md5."""
+    """One number per word: 2 * dimension + sign bit, read from the first nine hex digits of its md5.
 
-    def code(word: Column) -> Column:
-        h = F.md5(word.cast("binary"))
-        bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim
-        sign = F.conv(F.substring(h, 9, 1), 16, 10).cast("bigint") % 2
-        return (bucket * 2 + sign).cast("int")
-
-    return F.transform(X.tokens(text), code)
+    The first eight digits choose the dimension, the parity of the ninth the sign.
+    """
+    digits = F.transform(
+        X.tokens(text), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 9), 16, 10).cast("bigint")
+    )
+    return F.transform(digits, lambda x: (F.shiftright(x, 4) % dim * 2 + x.bitwiseAND(F.lit(1))).cast("int"))
 
 
 def _histogram(dim: int):
@@ -48,7 +47,8 @@ def _histogram(dim: int):
         unit = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
         return pa.ListArray.from_arrays(np.arange(0, n * dim + 1, dim, dtype=np.int32), unit.ravel())
 
-    return unit_histogram
+    # Kept from being copied into filters and generators, which would embed every text twice.
+    return unit_histogram.asNondeterministic()
 
 
 def embed_text(text: Column, dim: int = DIM) -> Column:
@@ -84,12 +84,17 @@ def nonzero(vector: Column) -> Column:
     return F.exists(vector, lambda x: x != 0)
 
 
+def half_up_6(v: Column) -> Column:
+    """Round to six places in plain double arithmetic; `round` goes through decimals, row by row."""
+    return F.signum(v) * F.floor(F.abs(v) * 1e6 + 0.5) / 1e6
+
+
 def long_form(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, dim, v) for the components that are not zero."""
     return (
         df.select(key, F.posexplode(vector).alias("dim", "v"))
         .where(F.col("v") != 0)
-        .select(key, "dim", F.round("v", 6).alias("v"))
+        .select(key, "dim", half_up_6(F.col("v")).alias("v"))
     )
 
 

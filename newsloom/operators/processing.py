@@ -11,6 +11,7 @@ from newsloom.functions.scale import dense_positions, ratio
 from newsloom.operators import classify as E, embed as M
 from newsloom.operators.vectors import next_position
 from newsloom.schemas import ARTICLE, STATUSES
+from newsloom.sources.tables import materialize
 
 BATCH_SIZE = 50
 NULL_CONTENT = "content is null"
@@ -44,7 +45,8 @@ def process_rows(batch: DataFrame, index_size: Column, classify: Classifier, now
     """Outcome of the articles in `batch` only.
 
     A row that fails keeps its message and does not stop the others. A zero vector is not indexed,
-    so such an article completes without embedding_id. Positions follow article_id.
+    so such an article completes without embedding_id. Positions follow article_id. Texts are
+    embedded once, into a table; numbering then reads ids only.
     """
     columns = ARTICLE.fieldNames()
     checked = batch.select(*columns).withColumn("_error", content_error(F.col("content")))
@@ -57,10 +59,15 @@ def process_rows(batch: DataFrame, index_size: Column, classify: Classifier, now
     text = E.classification_text(F.col("title"), F.col("content"))
     scored = classify(good.withColumn("text", text)).drop("text", "topic_id")
     embedded = M.embed_batch(good.select("article_id", "content"), "content").where(M.nonzero(F.col("embedding")))
-    vectors = dense_positions(embedded, "article_id", "_offset").select(
-        "article_id", (F.col("_offset") + index_size).alias("position"), F.col("embedding").cast("array<float>").alias("embedding")
+    stored = materialize(
+        embedded.select("article_id", F.col("embedding").cast("array<float>").alias("embedding")), "embedded"
+    )
+    placed = dense_positions(stored.select("article_id"), "article_id", "_offset").select(
+        "article_id", (F.col("_offset") + index_size).alias("embedding_id")
+    )
+    vectors = stored.join(placed, "article_id").select(
+        "article_id", F.col("embedding_id").alias("position"), "embedding"
     )
-    placed = vectors.select("article_id", F.col("position").alias("embedding_id"))
     done = (
         scored.join(placed, "article_id", "left")
         .withColumn("topic_confidence", F.col("confidence"))

@@ -95,7 +95,8 @@ SELECT * EXCLUDE (must, place, in_topic), cast({TOP} AS int) AS rank FROM (
 
 
 def inputs(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return compacted(spark, d), V.articles(spark, d), V.vectors(spark, d)
+    """The compacted log as a stored table, as the recommender would find it; articles; vectors."""
+    return S.materialize(compacted(spark, d), "interactions"), V.articles(spark, d), V.vectors(spark, d)
 
 
 def sketch_feed(spark, d) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from newsloom.schemas import TABLES
+from newsloom.session import scratch_dir
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +63,14 @@ def _versions(spark: SparkSession, root: str, committed: bool) -> list[int]:
     return found
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Compute a table once that several parts of a job read: write it to the shared scratch
+    folder and read it back. Unlike cached blocks it outlives executors."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_batch(df: DataFrame, root: str, batch_id: int) -> None:
     """Append a micro-batch under its own folder; writing the same batch again replaces it."""
     df.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
