@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.functions import text as X
 from newsloom.functions.topk import RESULT, best_per_row, first_k, ranked, to_ids
@@ -76,34 +76,39 @@ def _result(qid, did, keys) -> dict:
     return {"query_id": qid, "article_id": did, "score": np.abs(keys)}
 
 
+def word_hashes(text: Column) -> Column:
+    return F.transform(X.tokens(text), lambda t: F.xxhash64(t))
+
+
 def weighted_query_words(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, word, idf, avgdl) with words as hashes; one pass over the documents.
 
     The empty word stands for the document itself and carries its length, so that document count,
     total length and document frequencies come out of one aggregate over the query words.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    words = X.tokens(F.col("text"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(word_hashes(F.col("text")))).alias("word"))
+    vocabulary = asked.select("word").distinct()
+    words = word_hashes(F.col("text"))
+    document = F.xxhash64(F.lit(""))
     marked = docs.select(
-        F.size(words).alias("_len"), F.explode(F.array_append(F.array_distinct(words), F.lit(""))).alias("term")
+        F.size(words).alias("_len"), F.explode(F.array_append(F.array_distinct(words), document)).alias("word")
     )
-    none = docs.sparkSession.range(1).select(F.lit("").alias("term"))
+    none = docs.sparkSession.range(1).select(document.alias("word"))
     stats = (
-        marked.join(vocabulary.unionByName(none), "term", "left_semi")
-        .groupBy("term")
+        marked.join(vocabulary.unionByName(none), "word", "left_semi")
+        .groupBy("word")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("_len").alias("len"))
     )
-    whole = stats.where("term = ''").agg(
+    whole = stats.where(F.col("word") == document).agg(
         F.struct(F.first("df").alias("n"), (F.first("len") / F.first("df")).alias("avgdl"))
     ).scalar()
     df = F.col("df")
     return (
-        asked.join(stats, "term")
+        asked.join(stats, "word")
         .withColumn("_w", whole)
         .select(
             "query_id",
-            F.xxhash64("term").alias("word"),
+            "word",
             F.log(1 + (F.col("_w.n") - df + 0.5) / (df + 0.5)).alias("idf"),
             F.col("_w.avgdl").alias("avgdl"),
         )
@@ -116,7 +121,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, shared_words: int =
     docs: (article_id, text); queries: (query_id, text).
     """
     weighted = weighted_query_words(docs, queries)
-    hashed = docs.select("article_id", F.transform(X.tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("words"))
+    hashed = docs.select("article_id", word_hashes(F.col("text")).alias("words"))
     asked = queries.select(F.sum(F.size(F.array_distinct(X.tokens(F.col("text"))))).alias("n"), F.count(F.lit(1)).alias("q"))
     size = asked.first()
     if (size["n"] or 0) <= shared_words and (size["n"] or 0) * size["q"] <= 8 * shared_words * 4:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsloom.functions import text as X
 from newsloom.functions.scale import r6
 from newsloom.schemas import TOPICS
+from newsloom.sources.tables import materialize
 
 CLASSES = tuple(sorted(TOPICS))
 CLASSIFY_CHARS = 1000
@@ -51,11 +52,13 @@ class NaiveBayes:
 
 
 def train_nb(labelled: DataFrame, text: str, label: str) -> NaiveBayes:
-    """Add-one smoothed multinomial model. Word counts are combined before the shuffle."""
-    counted = (
+    """Add-one smoothed multinomial model. Word counts are combined before the shuffle and stored,
+    since they are read for the class totals, for the word table and for every scoring run."""
+    counted = materialize(
         labelled.select(label, F.explode(X.tokens(F.col(text))).alias("word"))
         .groupBy("word")
-        .agg(*[F.count_if(F.col(label) == c).alias(f"tf{c}") for c in CLASSES])
+        .agg(*[F.count_if(F.col(label) == c).alias(f"tf{c}") for c in CLASSES]),
+        "word-counts",
     )
     totals = counted.agg(
         F.struct(
