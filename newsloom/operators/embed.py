@@ -42,7 +42,7 @@ def _histogram(dim: int):
         counts = pc.fill_null(pc.list_value_length(codes), 0).to_numpy(zero_copy_only=False)
         flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         slots = np.repeat(np.arange(n, dtype=np.int64), counts) * dim + flat // 2
-        sums = np.bincount(slots, weights=1.0 - 2.0 * (flat % 2), minlength=n * dim).reshape(n, dim)
+        sums = np.bincount(slots, weights=1.0 - 2.0 * (flat % 2), minlength=n * dim).reshape(n, dim).astype(float)
         length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         unit = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
         return pa.ListArray.from_arrays(np.arange(0, n * dim + 1, dim, dtype=np.int32), unit.ravel())
