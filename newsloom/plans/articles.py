@@ -14,7 +14,7 @@ DETAIL = LIST + ", content, scraped_at, topic_confidence, author, image_url"
 
 
 def compacted(spark, d) -> DataFrame:
-    return interactions_compact(V.interactions_raw(spark, d), V.users(spark, d), V.articles(spark, d))
+    return interactions_compact(V.interactions_raw(spark, d), V.users(spark, d), V.article_ids(spark, d))
 
 
 @query(

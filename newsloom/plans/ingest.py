@@ -173,7 +173,7 @@ SELECT strftime(ts, '%Y-%m-%d') AS dt, CASE WHEN strftime(ts, '%Y-%m-%d') < '202
 def write_interactions_by_date(spark, d) -> DataFrame:
     """Write the accepted log by date, read it back and split it at a cut-off date."""
     path = scratch_dir(spark, "interactions-by-date")
-    accepted = accepted_interactions(V.interactions_raw(spark, d), V.users(spark, d), V.articles(spark, d))
+    accepted = accepted_interactions(V.interactions_raw(spark, d), V.users(spark, d), V.article_ids(spark, d))
     S.write_interactions_by_date(accepted, path)
     old, live = S.archive_before(S.read_interactions_by_date(spark, path, INTERACTION), "2024-01-15")
     both = old.withColumn("tier", F.lit("archive")).unionByName(live.withColumn("tier", F.lit("live")))

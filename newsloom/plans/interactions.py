@@ -36,11 +36,11 @@ WHERE user_id >= 1 AND article_id >= 1 AND interaction_type IN ('click', 'read',
 )
 def interaction_fk_check(spark, d) -> DataFrame:
     valid = C.valid_interactions(V.interactions_raw(spark, d))
-    return C.interaction_fk_check(valid, V.users(spark, d), V.articles(spark, d))
+    return C.interaction_fk_check(valid, V.users(spark, d), V.article_ids(spark, d))
 
 
 def accepted(spark, d) -> DataFrame:
-    return C.accepted_interactions(V.interactions_raw(spark, d), V.users(spark, d), V.articles(spark, d))
+    return C.accepted_interactions(V.interactions_raw(spark, d), V.users(spark, d), V.article_ids(spark, d))
 
 
 @query("like_toggle", f"SELECT {COLS} FROM live_likes")
@@ -55,4 +55,4 @@ def read_upsert(spark, d) -> DataFrame:
 
 @query("interactions_compact", f"SELECT {COLS} FROM interactions")
 def interactions_compact(spark, d) -> DataFrame:
-    return C.interactions_compact(V.interactions_raw(spark, d), V.users(spark, d), V.articles(spark, d))
+    return C.interactions_compact(V.interactions_raw(spark, d), V.users(spark, d), V.article_ids(spark, d))

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from newsloom.operators import recommend as H
 from newsloom.plans.articles import compacted
 from newsloom.plans.registry import CTES, query
-from newsloom.session import scratch_dir
 from newsloom.sources import tables as S, views as V
 
 AGE = "(epoch_us({now}) - epoch_us({ts})) / 86400000000.0::double"
@@ -160,14 +159,13 @@ SELECT * FROM (SELECT *, cast({TOP} AS int) AS rank FROM (
 """
 
 
-def content_top(spark, d) -> DataFrame:
-    i, a, v = inputs(spark, d)
+def content_top(i: DataFrame, a: DataFrame, v: DataFrame) -> DataFrame:
     return H.content_scores(H.user_profile_embedding(i, v), H.candidate_articles(a, v))
 
 
 @query("content_scores", "SELECT user_id, article_id, score, rank FROM content_top")
 def content_scores(spark, d) -> DataFrame:
-    return content_top(spark, d)
+    return content_top(*inputs(spark, d))
 
 
 @query(
@@ -202,8 +200,8 @@ LEFT JOIN topic_prefs t ON t.user_id = c.user_id AND t.topic = a.topic
 )
 def topic_scores(spark, d) -> DataFrame:
     """Topic fit of every user's content candidates."""
-    i, a, _ = inputs(spark, d)
-    return H.topic_scores(content_top(spark, d), H.user_topic_prefs(i, a), a)
+    i, a, v = inputs(spark, d)
+    return H.topic_scores(content_top(i, a, v), H.user_topic_prefs(i, a), a)
 
 
 @query("trending_24h", "SELECT article_id, clicks FROM clicks_24h ORDER BY clicks DESC, article_id LIMIT 20")
@@ -251,7 +249,8 @@ WHERE NOT EXISTS (SELECT 1 FROM read_pairs r WHERE r.user_id = c.user_id AND r.a
 """,
 )
 def exclude_read(spark, d) -> DataFrame:
-    return H.exclude_read(content_top(spark, d), compacted(spark, d))
+    i, a, v = inputs(spark, d)
+    return H.exclude_read(content_top(i, a, v), i)
 
 
 @query("diversify_min2", "SELECT user_id, article_id, topic, score, rank FROM feeds")
@@ -295,10 +294,9 @@ FROM feeds, clock
 )
 def feed_cache(spark, d) -> DataFrame:
     """Two stored generations, one of them expired, read as of the newest interaction."""
-    i = compacted(spark, d)
-    path = scratch_dir(spark, "feeds")
-    sketch_feed(spark, d).select("user_id", "article_id", "rank").write.parquet(path)
-    made = spark.read.parquet(path)
+    i, a, v = inputs(spark, d)
+    feeds = H.feed(i, a, v, H.sketch_factors(H.user_item_matrix(i)))
+    made = S.materialize(feeds.select("user_id", "article_id", "rank"), "feeds")
     as_of = i.agg(F.max("ts")).scalar()
     ago = lambda minutes: H.cached_feed(made.withColumn("_t", as_of), F.col("_t") - F.expr(f"INTERVAL {minutes} MINUTES"))
     cache = ago(40).unionByName(ago(10)).drop("_t")

@@ -29,7 +29,7 @@ def ingest_stream(spark, d) -> DataFrame:
 def interactions_stateful_stream(spark, d) -> DataFrame:
     store = scratch_dir(spark, "interactions")
     events = V.interactions_from_events(T.read_stream(spark, d, "events"))
-    T.interactions_stream(events, V.users(spark, d), V.articles(spark, d), store)
+    T.interactions_stream(events, V.users(spark, d), V.article_ids(spark, d), store)
     return T.current_interactions(spark, store)
 
 

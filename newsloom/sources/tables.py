@@ -8,9 +8,9 @@ from newsloom.schemas import TABLES
 from newsloom.session import scratch_dir
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, folder: str, name: str, spread_text: bool = True) -> DataFrame:
     df = spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df) if spread_text and name in TEXT_TABLES else df
 
 
 TEXT_TABLES = ("documents", "pages")

@@ -28,6 +28,12 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def article_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all articles, without the columns derived from vectors."""
+    docs = read_table(spark, folder, "documents", spread_text=False)
+    return docs.select(F.col("doc_id").alias("article_id"))
+
+
 def articles_from_documents(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
     docs, vecs = docs.drop("n_chars"), embeddings.select("vec_id", "label")
     d = docs.join(vecs, docs.doc_id == vecs.vec_id, "left")
