@@ -66,16 +66,14 @@ def similar_articles(spark, d) -> DataFrame:
     return G.similar_articles(V.vectors(spark, d), 10)
 
 
-@query(
-    "index_remove",
-    _nearest(5, "query_id <> article_id AND query_id IN (SELECT article_id FROM live) "
-                "AND article_id IN (SELECT article_id FROM live)").replace(
-        "SELECT * FROM (SELECT query_id",
-        "WITH live AS (SELECT article_id FROM articles WHERE processing_status = 'completed')\n"
-        "SELECT * FROM (SELECT query_id",
-        1,
-    ),
-)
+CTES["live_pairs"] = """
+SELECT * FROM all_pairs WHERE query_id <> article_id
+  AND query_id NOT IN (SELECT article_id FROM articles WHERE processing_status <> 'completed')
+  AND article_id NOT IN (SELECT article_id FROM articles WHERE processing_status <> 'completed')
+"""
+
+
+@query("index_remove", _nearest(5, source="live_pairs"))
 def index_remove(spark, d) -> DataFrame:
     """Search after the vectors of articles that are not completed were removed."""
     gone = V.articles(spark, d).where("processing_status <> 'completed'")
