@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, url_rules
+from newsloom.llm import bpe, mixing, threshold, token_files, url_rules
 from newsloom.llm.rows import read
+from newsloom.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,23 @@ def op2_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(read(spark, folder, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_dir(spark, "token-files")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_token_files(read(spark, folder, "documents"), path, tokenizer, public_tokenizers.PATTERN)
+    return token_files.token_digests(spark, path)
+
+
+def op4_threshold_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return threshold.top_k(read(spark, folder, "embeddings"), k=5, every=50, scale=256.0)
+
+
+def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read(spark, folder, "documents"))
+
+
 def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_rules.RULE_SCHEMA)
     return url_rules.judge_urls(read(spark, folder, "pages"), rules)
@@ -34,12 +52,36 @@ def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op3_token_files": op3_token_files,
+    "op4_threshold_topk": op4_threshold_topk,
     "op5_url_rules": op5_url_rules,
+    "op8_mix_sources": op8_mix_sources,
 }
 
 _RULE_ROWS = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
 
 ORACLE: dict[str, str] = {
+    "op4_threshold_topk": """
+        WITH vectors AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v,
+                row_number() OVER () AS place
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, q.place, c.vec_id,
+                CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * coalesce(c.v[i], 0))) AS BIGINT) AS score
+            FROM vectors q JOIN vectors c ON q.place <> c.place
+            WHERE q.vec_id % 50 = 0
+        ),
+        ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                vec_id, score
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
     "op5_url_rules": f"""
         WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULE_ROWS}),
         rest AS (
