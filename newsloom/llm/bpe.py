@@ -14,11 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from newsloom.llm.pieces import REMEMBERED, PieceEncoder
+
 #: Largest vocabulary that is sent to every executor.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Pre-tokens remembered per Python worker, and the longest that is remembered. Only speed depends on them.
-REMEMBERED = 500_000
-REMEMBERED_LENGTH = 48
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -33,39 +32,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Ids of a text, as little-endian unsigned 32-bit integers, and the bytes of ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
-        import regex
-
+    def __init__(
+        self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED, splits_at_space: bool = False
+    ):
         self.ranks = ranks
-        self.longest = max(map(len, ranks), default=1)
         self.pair_rank = {token: rank for token, rank in ranks.items() if len(token) > 1}
+        self.longest = max(map(len, ranks), default=1)
         size = max(ranks.values(), default=0) + 1
         self.shift = (size.bit_length() + 1) // 2
         self.words = [0] * ((size >> self.shift) + 1)
-        self.find = regex.compile(pattern).findall
         self.pack = {rank: rank.to_bytes(4, "little") for rank in ranks.values()}
         self.token = {rank: token for token, rank in ranks.items()}
-        self.remembered = remembered
-        encoder = self
-
-        class Known(dict):
-            def __missing__(self, piece: str) -> bytes:
-                ids = encoder.encode_piece(piece.encode("utf-8"))
-                if len(piece) <= REMEMBERED_LENGTH:
-                    if len(self) >= encoder.remembered:
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        self.known = Known()
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.find(text)))
+        self.encode = PieceEncoder(pattern, self.encode_piece, remembered, splits_at_space).encode
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-    def encode_piece(self, piece: bytes) -> bytes:
+    def encode_piece(self, text: str) -> bytes:
+        piece = text.encode("utf-8")
         whole = self.ranks.get(piece)
         if whole is not None:
             return self.pack[whole]
@@ -147,22 +131,23 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def worker_encoder(ranks: dict[bytes, int], pattern: str, remembered: int, key: str) -> Encoder:
-    full = (key, pattern, remembered)
+def worker_encoder(ranks: dict[bytes, int], key: str, *options) -> Encoder:
+    full = (key, *options)
     if full not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[full] = Encoder(ranks, pattern, remembered)
+        _ENCODERS[full] = Encoder(ranks, *options)
     return _ENCODERS[full]
 
 
 def encode_documents(
-    docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, remembered: int = REMEMBERED
+    docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, remembered: int = REMEMBERED,
+    splits_at_space: bool = False,
 ) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of `docs`; with `keep_ids` also ids (array of long).
 
     A null text is the empty text: no ids, and the digests of no bytes. Repeated rows and null ids are kept as they
     are; other columns are not looked at; an empty table gives an empty table. Texts of any length are encoded whole.
-    Bytes that are not UTF-8 count as U+FFFD. There is no shuffle, and a worker holds one Arrow batch, its vocabulary and at most `remembered` pre-tokens.
+    Bytes that are not UTF-8 count as U+FFFD. There is no shuffle, and a worker holds one Arrow batch, its vocabulary and at most `remembered` pre-tokens. `splits_at_space`: see PieceEncoder.
     """
     spark = docs.sparkSession
     ranks = load_ranks(ranks_path)
@@ -170,7 +155,7 @@ def encode_documents(
     shared = spark.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(shared.value, pattern, remembered, key)
+        encoder = worker_encoder(shared.value, key, pattern, remembered, splits_at_space)
         for batch in batches:
             counts, digests, decoded, arrays = [], [], [], []
             for value in batch.column(1):

@@ -13,9 +13,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.rows import drop_folder, fresh, word_count
+from newsloom.llm.rows import drop_folder, row_key, take_rows, word_count
 from newsloom.session import scratch_dir
 
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -188,15 +188,10 @@ def narrow_rows(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and key of each row of `docs`."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        word_count("text").cast("long").alias("size"), _key(docs).alias("key"),
+        word_count("text").cast("long").alias("size"), row_key(docs).alias("key"),
     )
 
 
-def _key(docs: DataFrame) -> Column:
-    """A hash of all columns (maps cannot be hashed and are left out), so rows with one key and id are alike."""
-    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
-
-
 def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of each row of `docs` (repeated rows are drawn one by one).
 
@@ -213,16 +208,5 @@ def mixed_documents(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] =
     spark = docs.sparkSession
     path = scratch_dir(spark, "mix-copies")
     drawn = draw_copies(narrow_rows(docs), seed, weights, most)
-    # Rows that are alike are told apart by counting: so many rows, so many copies altogether.
-    drawn.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies")).where(
-        "copies > 0"
-    ).write.parquet(path)
-    key, own, rows, copies, one = fresh(docs, "key", "own", "rows", "copies", "one")
-    plan = spark.read.parquet(path).toDF(key, own, rows, copies)
-    same = F.col(own).eqNullSafe(F.col("doc_id").cast("long"))
-    joined = docs.withColumn(key, _key(docs)).join(plan, key).where(same)
-    single = joined.where(F.col(rows) == 1)
-    alike = joined.where(F.col(rows) > 1).dropDuplicates([key, own])
-    return single.unionByName(alike).withColumn(
-        one, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
-    ).select(*(F.col(f"`{c}`") for c in docs.columns))
+    drawn.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies")).write.parquet(path)
+    return take_rows(docs, spark.read.parquet(path))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, mixing, threshold, token_files, url_rules
+from newsloom.llm import bpe, mixing, simhash, threshold, token_files, url_rules
 from newsloom.llm.rows import read
 from newsloom.session import scratch_dir
 
@@ -25,7 +25,8 @@ def op2_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encode_documents(read(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    pattern = public_tokenizers.PATTERN
+    return bpe.encode_documents(read(spark, folder, "documents"), path, pattern, splits_at_space=True)
 
 
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,7 +34,8 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     path = scratch_dir(spark, "token-files")
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    token_files.write_token_files(read(spark, folder, "documents"), path, tokenizer, public_tokenizers.PATTERN)
+    docs, pattern = read(spark, folder, "documents"), public_tokenizers.PATTERN
+    token_files.write_token_files(docs, path, tokenizer, pattern, splits_at_space=True)
     return token_files.token_digests(spark, path)
 
 
@@ -41,6 +43,10 @@ def op4_threshold_topk(spark: SparkSession, folder: str) -> DataFrame:
     return threshold.top_k(read(spark, folder, "embeddings"), k=5, every=50, scale=256.0)
 
 
+def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, folder, "documents"), words=4, bits=4)
+
+
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
@@ -55,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_files": op3_token_files,
     "op4_threshold_topk": op4_threshold_topk,
     "op5_url_rules": op5_url_rules,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_mix_sources": op8_mix_sources,
 }
 

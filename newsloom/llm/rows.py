@@ -33,3 +33,26 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder through the file system it is on."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns (maps cannot be hashed and are left out), so rows with one key and id are alike."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
+
+
+def take_rows(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows of `docs` as often as `plan` (key, doc_id, rows, copies) says: rows with that key and id, and how many
+    of them are wanted. Rows that are alike are told apart by counting only. Rows that `plan` does not name go.
+
+    `plan` has one row per key and id; it is read more than once, so it is a stored table.
+    """
+    key, own, rows, copies, one = fresh(docs, "key", "own", "rows", "copies", "one")
+    wanted = plan.where("copies > 0").select("key", "doc_id", "rows", "copies").toDF(key, own, rows, copies)
+    joined = docs.withColumn(key, row_key(docs)).join(wanted, key).where(
+        F.col(own).eqNullSafe(F.col("doc_id").cast("long"))
+    )
+    single = joined.where(F.col(rows) == 1)
+    alike = joined.where(F.col(rows) > 1).dropDuplicates([key, own])
+    return single.unionByName(alike).withColumn(
+        one, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
+    ).select(*(F.col(f"`{c}`") for c in docs.columns))

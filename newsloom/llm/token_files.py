@@ -8,6 +8,7 @@ part's documents before it), n_tokens and ids.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -16,63 +17,47 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from newsloom.llm.pieces import REMEMBERED, PieceEncoder
+
 FILE_SCHEMA = "part int, doc_id long, offset long, n_tokens long, ids array<int>"
 #: Rows per row-index entry and per Bloom filter; bytes of a stripe before compression.
 INDEX_ROWS = 1_000
 STRIPE_BYTES = 64 << 20
 BLOOM_FPP = 0.01
-#: Pre-tokens remembered per Python worker, and the longest that is remembered. Only speed depends on them.
-REMEMBERED = 500_000
-REMEMBERED_LENGTH = 48
 
 
-class LibraryEncoder:
-    """Ids of whole texts by a tokenizer of the tokenizers library with a byte-level pre-tokenizer.
+def library_encoder(path: str, pattern: str, remembered: int, splits_at_space: bool) -> PieceEncoder:
+    """Encodes whole texts by a tokenizer of the tokenizers library with a byte-level pre-tokenizer of that pattern.
 
     Its pre-tokens are encoded independently of each other, so the library encodes each different one once and its ids
     are remembered. Names of special tokens inside a text are ordinary text.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+
+    def encode_piece(piece: str) -> bytes:
+        return struct.pack("<%dI" % len(ids := tokenizer.encode(piece, add_special_tokens=False).ids), *ids)
+
+    return PieceEncoder(pattern, encode_piece, remembered, splits_at_space)
+
+
+#: The encoder of this Python worker, which serves many tasks and keeps what it remembers between them.
+_ENCODERS: dict[tuple, PieceEncoder] = {}
+
 
-    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.find = regex.compile(pattern).findall
-        self.remembered = remembered
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        pieces, known = self.find(text), self.known
-        if new := [p for p in set(pieces) if p not in known]:
-            if len(known) > self.remembered:
-                known.clear()
-                new = list(set(pieces))
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, encoded))
-        out = b"".join(map(known.__getitem__, pieces))
-        for p in new:
-            if len(p) > REMEMBERED_LENGTH:
-                del known[p]
-        return out
-
-
-_ENCODERS: dict[tuple, LibraryEncoder] = {}
-
-
-def worker_encoder(path: str, pattern: str, remembered: int) -> LibraryEncoder:
-    key = (path, pattern, remembered)
-    if key not in _ENCODERS:
+def worker_encoder(*options) -> PieceEncoder:
+    if options not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = LibraryEncoder(*key)
-    return _ENCODERS[key]
+        _ENCODERS[options] = library_encoder(*options)
+    return _ENCODERS[options]
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = 0, remembered: int = REMEMBERED
+    docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = 0, remembered: int = REMEMBERED,
+    splits_at_space: bool = False,
 ) -> None:
     """Encode every whole text, append `end_id` and write the ids under `path`.
 
@@ -82,7 +67,7 @@ def write_token_files(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = worker_encoder(tokenizer_path, pattern, remembered), np.array([end_id], "<u4").tobytes()
+        encoder, end = worker_encoder(tokenizer_path, pattern, remembered, splits_at_space), np.array([end_id], "<u4").tobytes()
         part, written = TaskContext.get().partitionId(), 0
         for batch in batches:
             encoded = [encoder.encode((t.as_py() or b"").decode("utf-8", "replace")) + end for t in batch.column(1)]
