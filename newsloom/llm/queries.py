@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, mixing, simhash, threshold, token_files, url_rules
+from newsloom.llm import bpe, html_text, mixing, simhash, threshold, token_files, url_rules, winnow
 from newsloom.llm.rows import read
 from newsloom.session import scratch_dir
 
@@ -21,6 +21,10 @@ URL_RULES = [
 ]
 
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(read(spark, folder, "pages"))
+
+
 def op2_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,18 +55,24 @@ def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
 
+def op10_winnow_edits(spark: SparkSession, folder: str) -> DataFrame:
+    return winnow.compare_edits(read(spark, folder, "documents"))
+
+
 def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_rules.RULE_SCHEMA)
     return url_rules.judge_urls(read(spark, folder, "pages"), rules)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html_text": op1_html_text,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_token_files": op3_token_files,
     "op4_threshold_topk": op4_threshold_topk,
     "op5_url_rules": op5_url_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op10_winnow_edits": op10_winnow_edits,
 }
 
 _RULE_ROWS = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
