@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, html_text, mixing, simhash, threshold, token_files, url_rules, winnow
+from newsloom.llm import bpe, html_text, mixing, simhash, threshold, token_files, toxicity, url_rules, winnow
 from newsloom.llm.rows import read
 from newsloom.session import scratch_dir
 
@@ -55,6 +55,10 @@ def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
 
+def op9_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op10_winnow_edits(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.compare_edits(read(spark, folder, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op5_url_rules": op5_url_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op9_toxicity_chain": op9_toxicity_chain,
     "op10_winnow_edits": op10_winnow_edits,
 }
 
