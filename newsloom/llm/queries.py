@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, html_text, mixing, simhash, threshold, token_files, toxicity, url_rules, winnow
+from newsloom.llm import bpe, html_text, licenses, mixing, simhash, threshold, token_files, toxicity, url_rules, winnow
 from newsloom.llm.rows import read
 from newsloom.session import scratch_dir
 
@@ -51,6 +51,10 @@ def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"), words=4, bits=4)
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, folder, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op4_threshold_topk": op4_threshold_topk,
     "op5_url_rules": op5_url_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_mix_sources": op8_mix_sources,
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_winnow_edits": op10_winnow_edits,
