@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from newsloom.sources.tables import materialize
+
 PLACES = 6
 
 
@@ -23,19 +25,22 @@ def minmax(value: Column, low: Column, high: Column) -> Column:
     )
 
 
-def dense_positions(df: DataFrame, key: str, out: str, block: int = 65536) -> DataFrame:
-    """Number rows 0, 1, 2, ... in order of an integer key, without sorting them in one task.
+def dense_positions(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Number rows 0, 1, 2, ... in order of a key, without sorting them in one task.
 
-    Rows are cut into fixed key ranges. Only the per-range counts, one row per range, are summed
-    in order; rows are numbered inside their own range.
+    Rows are range-partitioned by the key, whatever its values are, and sorted within; only the number of rows per
+    partition, one row a task, is summed in order. The sorted rows are stored, so both uses see the same partitions.
     """
-    cut = df.withColumn("_range", F.floor(F.col(key) / block).cast("bigint"))
-    sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_range").orderBy(key)
+    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id())
+    stored = materialize(ranged, "positions")
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
     return (
-        cut.join(starts, "_range")
-        .withColumn(out, (F.col("_start") + F.row_number().over(inside) - 1).cast("bigint"))
-        .drop("_range", "_start")
+        stored.withColumn("_part", part)
+        .join(starts, "_part")
+        .withColumn(out, (F.col("_start") + place).cast("bigint"))
+        .drop("_part", "_start", "_id")
     )

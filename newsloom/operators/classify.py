@@ -26,11 +26,12 @@ from newsloom.sources.tables import materialize
 
 CLASSES = tuple(sorted(TOPICS))
 CLASSIFY_CHARS = 1000
+NEVER = -1e9
 
 
-def classification_text(title: Column, content: Column) -> Column:
-    """What the model reads of an article; null when the content is null."""
-    return F.concat(title, F.lit("\n"), F.substring(content, 1, CLASSIFY_CHARS))
+def classification_text(title: Column, content: Column, chars: int | None = None) -> Column:
+    """What the model reads of an article: all of it, or the first `chars` of its content; null when the content is null."""
+    return F.concat(title, F.lit("\n"), content if chars is None else F.substring(content, 1, chars))
 
 
 def topic_name(topic_id: Column) -> Column:
@@ -76,7 +77,9 @@ def train_nb(labelled: DataFrame, text: str, label: str) -> NaiveBayes:
     sizes = labelled.agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(label) == c).alias(f"n{c}") for c in CLASSES]
     )
-    priors = sizes.select(*[F.log(F.col(f"n{c}") / F.col("n")).alias(f"lp{c}") for c in CLASSES])
+    # A class without any document is out of the question, but its logarithm must not be null.
+    prior = lambda c: F.when(F.col(f"n{c}") > 0, F.log(F.col(f"n{c}") / F.col("n"))).otherwise(NEVER)
+    priors = sizes.select(*[prior(c).alias(f"lp{c}") for c in CLASSES])
     return NaiveBayes(words, priors)
 
 
@@ -88,10 +91,11 @@ def nb_scores(docs: DataFrame, key: str, text: str, model: NaiveBayes) -> DataFr
     splits the partition of a very common word.
     """
     words = docs.select(key, F.explode(X.tokens(F.col(text))).alias("word"))
+    counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n"))
     sums = (
-        words.join(model.words, "word")
+        counted.join(model.words, "word")
         .groupBy(key)
-        .agg(*[F.sum(f"ll{c}").alias(f"_w{c}") for c in CLASSES])
+        .agg(*[F.sum(F.col("_n") * F.col(f"ll{c}")).alias(f"_w{c}") for c in CLASSES])
     )
     prior = model.priors.select(F.struct(*[f"lp{c}" for c in CLASSES]).alias("p")).scalar()
     scored = docs.join(sums, key, "left").withColumn("_p", prior)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom.operators import classify as E
@@ -56,7 +57,7 @@ CTES["labelled"] = """
 SELECT article_id, title, content, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS label,
   CASE WHEN article_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM articles
 """
-nb_ctes("nb", "title || chr(10) || substr(content, 1, 1000)")
+nb_ctes("nb", "title || chr(10) || content")
 nb_ctes("headline", "title")
 
 
@@ -76,6 +77,12 @@ def trained_nb(spark, d, text: str = "text") -> E.NaiveBayes:
     return E.train_nb(labelled(spark, d).where("split = 'train'"), text, "label")
 
 
+def predictions(spark, d) -> DataFrame:
+    """Predictions from whole texts, for both sides of the split."""
+    docs = labelled(spark, d).select("article_id", "text", "label", "split")
+    return E.classify_nb(docs, "article_id", "text", trained_nb(spark, d)).withColumnRenamed("topic_id", "predicted")
+
+
 def headline_predictions(spark, d) -> DataFrame:
     """Predictions from titles alone, for both sides of the split."""
     docs = labelled(spark, d).select("article_id", "title", "label", "split")
@@ -89,7 +96,8 @@ def headline_predictions(spark, d) -> DataFrame:
     "SELECT article_id, title || chr(10) || substr(content, 1, 1000) AS text FROM articles",
 )
 def classification_text(spark, d) -> DataFrame:
-    return labelled(spark, d).select("article_id", "text")
+    text = E.classification_text(F.col("title"), F.col("content"), E.CLASSIFY_CHARS)
+    return V.articles(spark, d).select("article_id", text.alias("text"))
 
 
 @query(
@@ -131,13 +139,13 @@ def classify_headlines(spark, d) -> DataFrame:
 @query(
     "classify_all_scores",
     " UNION ALL ".join(
-        f"SELECT article_id, cast({c} AS int) AS topic_id, {NAME.format(c=c)} AS topic, p{c} AS score FROM headline_pred"
+        f"SELECT article_id, cast({c} AS int) AS topic_id, {NAME.format(c=c)} AS topic, p{c} AS score FROM nb_pred"
         for c in range(4)
     ),
 )
 def classify_all_scores(spark, d) -> DataFrame:
-    docs = labelled(spark, d).select("article_id", "title")
-    return E.all_scores(E.classify_nb(docs, "article_id", "title", trained_nb(spark, d, "title")), "article_id")
+    docs = labelled(spark, d).select("article_id", "text")
+    return E.all_scores(E.classify_nb(docs, "article_id", "text", trained_nb(spark, d)), "article_id")
 
 
 @query(
@@ -168,7 +176,7 @@ def classify_edge_cases(spark, d) -> DataFrame:
     """
 WITH r AS (SELECT split, c, count(*) FILTER (label = c) AS support, count(*) FILTER (predicted = c) AS guessed,
     count(*) FILTER (label = c AND predicted = c) AS hit
-  FROM headline_pred, (SELECT unnest(range(4)) AS c) GROUP BY 1, 2),
+  FROM nb_pred, (SELECT unnest(range(4)) AS c) GROUP BY 1, 2),
  f AS (SELECT *, CASE WHEN guessed = 0 THEN 0 ELSE hit::double / guessed END AS p,
    CASE WHEN support = 0 THEN 0 ELSE hit::double / support END AS r FROM r),
  g AS (SELECT *, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1 FROM f)
@@ -179,7 +187,7 @@ SELECT split, round(sum(hit)::double / sum(support), 6) AS accuracy,
 """,
 )
 def eval_metrics(spark, d) -> DataFrame:
-    return E.eval_metrics(headline_predictions(spark, d))
+    return E.eval_metrics(predictions(spark, d))
 
 
 @query(
@@ -187,7 +195,7 @@ def eval_metrics(spark, d) -> DataFrame:
     f"""
 WITH r AS (SELECT split, c, count(*) FILTER (label = c) AS support, count(*) FILTER (predicted = c) AS guessed,
     count(*) FILTER (label = c AND predicted = c) AS hit
-  FROM headline_pred, (SELECT unnest(range(4)) AS c) GROUP BY 1, 2),
+  FROM nb_pred, (SELECT unnest(range(4)) AS c) GROUP BY 1, 2),
  f AS (SELECT *, CASE WHEN guessed = 0 THEN 0 ELSE hit::double / guessed END AS p,
    CASE WHEN support = 0 THEN 0 ELSE hit::double / support END AS r FROM r)
 SELECT split, cast(c AS int) AS topic_id, {NAME.format(c='c')} AS topic, round(p, 6) AS precision, round(r, 6) AS recall,
@@ -195,59 +203,59 @@ SELECT split, cast(c AS int) AS topic_id, {NAME.format(c='c')} AS topic, round(p
 """,
 )
 def classification_report(spark, d) -> DataFrame:
-    return E.classification_report(headline_predictions(spark, d))
+    return E.classification_report(predictions(spark, d))
 
 
 @query(
     "confusion_matrix",
     f"""
 SELECT split, cast(label AS int) AS label, {', '.join(f'count(*) FILTER (predicted = {c}) AS as_{c}' for c in range(4))}
-FROM headline_pred GROUP BY 1, 2
+FROM nb_pred GROUP BY 1, 2
 """,
 )
 def confusion_matrix(spark, d) -> DataFrame:
-    return E.confusion_matrix(headline_predictions(spark, d))
+    return E.confusion_matrix(predictions(spark, d))
 
 
 @query(
     "per_class_accuracy",
     """
 SELECT split, cast(label AS int) AS label, round(avg((label = predicted)::int) * 100.0::double, 6) AS accuracy
-FROM headline_pred GROUP BY 1, 2
+FROM nb_pred GROUP BY 1, 2
 """,
 )
 def per_class_accuracy(spark, d) -> DataFrame:
-    return E.per_class_accuracy(headline_predictions(spark, d))
+    return E.per_class_accuracy(predictions(spark, d))
 
 
 @query(
     "misclassified_sample",
     """
-SELECT p.article_id, cast(p.label AS int) AS label, predicted, substr(title, 1, 150) AS text
-FROM headline_pred p JOIN labelled l ON l.article_id = p.article_id WHERE p.label <> predicted
+SELECT p.article_id, cast(p.label AS int) AS label, predicted, substr(title || chr(10) || content, 1, 150) AS text
+FROM nb_pred p JOIN labelled l ON l.article_id = p.article_id WHERE p.label <> predicted
 ORDER BY p.article_id LIMIT 5
 """,
 )
 def misclassified_sample(spark, d) -> DataFrame:
-    return E.misclassified_sample(headline_predictions(spark, d), "article_id", "title", 5)
+    return E.misclassified_sample(predictions(spark, d), "article_id", "text", 5)
 
 
-@query("predicted_distribution", "SELECT split, predicted, count(*) AS n FROM headline_pred GROUP BY 1, 2")
+@query("predicted_distribution", "SELECT split, predicted, count(*) AS n FROM nb_pred GROUP BY 1, 2")
 def predicted_distribution(spark, d) -> DataFrame:
-    return E.predicted_distribution(headline_predictions(spark, d))
+    return E.predicted_distribution(predictions(spark, d))
 
 
 @query(
     "combine_labelled_sets",
     """
-SELECT article_id AS id, title AS text, cast(label AS int) AS topic_id FROM labelled
+SELECT article_id AS id, content AS text, cast(label AS int) AS topic_id FROM labelled
 UNION ALL SELECT l.doc_id + 10000000, d.text, cast(CASE WHEN quality = 1 THEN 2 ELSE 0 END AS int)
 FROM labels l JOIN documents d ON d.doc_id = l.doc_id
 """,
 )
 def combine_labelled_sets(spark, d) -> DataFrame:
     """Articles labelled by language, and documents whose quality label is mapped to topics."""
-    a = V.articles(spark, d).select(F.col("article_id").alias("id"), F.col("title").alias("text"), F.col("lang").alias("label"))
+    a = V.articles(spark, d).select(F.col("article_id").alias("id"), F.col("content").alias("text"), F.col("lang").alias("label"))
     b = S.read_table(spark, d, "documents").join(S.read_table(spark, d, "labels"), "doc_id").select(
         (F.col("doc_id") + 10_000_000).alias("id"), "text", F.col("quality").cast("string").alias("label")
     )
@@ -296,24 +304,24 @@ def tune_model(spark, d) -> DataFrame:
     return spark.createDataFrame([(float(r), round(float(a), 6)) for r, a in scores], "reg double, accuracy double")
 
 
-def _word_model(table: dict[str, list[float]], priors: list[float]):
-    """A plug-in model: the same naive Bayes rule over a bounded word table."""
-    import math
-    import re
+HASHED_WORDS = 1 << 18
+
+
+def _word_model(weights: np.ndarray, priors: np.ndarray):
+    """A plug-in model: naive Bayes over hashed words, one row of weights per hash."""
 
     def load():
-        split = re.compile(r"[\W_]+")
+        import re
+        import zlib
+
+        words = re.compile(r"[^\W_]+").findall
 
         def predict(texts: list[str]) -> list[tuple[int, float]]:
-            out = []
-            for text in texts:
-                s = list(priors)
-                for w in split.split(text.lower()):
-                    for c, ll in enumerate(table.get(w, ())):
-                        s[c] += ll
-                e = [math.exp(x - max(s)) for x in s]
-                out.append((e.index(max(e)), max(e) / sum(e)))
-            return out
+            places = [np.array([zlib.crc32(w.encode()) % len(weights) for w in words(t.lower())], np.int64) for t in texts]
+            scores = np.stack([priors + weights[p].sum(axis=0) for p in places])
+            shares = np.exp(scores - scores.max(axis=1, keepdims=True))
+            shares /= shares.sum(axis=1, keepdims=True)
+            return list(zip(shares.argmax(axis=1).tolist(), shares.max(axis=1).tolist()))
 
         return predict
 
@@ -322,10 +330,18 @@ def _word_model(table: dict[str, list[float]], priors: list[float]):
 
 @query("classify_batch")
 def classify_batch(spark, d) -> DataFrame:
-    """A plug-in model on every article; its word table is the 2,000 most frequent words."""
-    model = trained_nb(spark, d)
-    words = labelled(spark, d).select(F.explode(E.X.tokens(F.col("text"))).alias("word"))
-    frequent = words.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(2000)
-    table = {r[0]: list(r[1:]) for r in model.words.join(frequent.select("word"), "word").toLocalIterator()}
-    load = _word_model(table, list(model.priors.first()))
-    return E.classify_batch(labelled(spark, d), "text", load).select("article_id", "topic", "confidence", "topic_id")
+    """A plug-in model on every article. It knows all words, by a hash; its table has HASHED_WORDS rows at most."""
+    docs = labelled(spark, d)
+    words = docs.where("split = 'train'").select("label", F.explode(E.X.tokens(F.col("text"))).alias("word"))
+    counts = (
+        words.groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(HASHED_WORDS)).alias("place"))
+        .agg(*[F.count_if(F.col("label") == c).alias(f"tf{c}") for c in E.CLASSES])
+        .toPandas()
+    )
+    seen = np.zeros((HASHED_WORDS, len(E.CLASSES)))
+    seen[counts["place"]] = counts[[f"tf{c}" for c in E.CLASSES]]
+    weights = np.log((seen + 1) / (seen.sum(axis=0) + HASHED_WORDS))
+    priors = np.array(trained_nb(spark, d).priors.first(), float)
+    return E.classify_batch(docs, "text", _word_model(weights, priors)).select(
+        "article_id", "topic", "confidence", "topic_id"
+    )

@@ -63,6 +63,13 @@ def _versions(spark: SparkSession, root: str, committed: bool) -> list[int]:
     return found
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder, in the file system it belongs to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(where) and fs.getFileStatus(where).isDirectory()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Compute a table once that several parts of a job read: write it to the shared scratch
     folder and read it back. Unlike cached blocks it outlives executors."""
@@ -86,12 +93,11 @@ def read_batches(spark: SparkSession, root: str, schema: T.StructType, before: i
 def write_interactions_by_date(interactions: DataFrame, path: str) -> None:
     """Log partitioned by event date.
 
-    Rows of a date are spread over several files by event_id, so a date that holds most of the
-    rows does not end in one task; few files per date keep the folder listing short.
+    Rows are rebalanced by date: a date that holds most of the rows is split over as many tasks and files as its size
+    asks for, small dates share a task, and each has few files.
     """
     dated = interactions.withColumn("dt", F.date_format("ts", "yyyy-MM-dd"))
-    spread = F.pmod(F.xxhash64("event_id"), F.lit(8))
-    dated.repartition(F.col("dt"), spread).write.mode("overwrite").partitionBy("dt").parquet(path)
+    dated.hint("rebalance", "dt").write.mode("overwrite").partitionBy("dt").parquet(path)
 
 
 def read_interactions_by_date(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

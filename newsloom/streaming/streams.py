@@ -19,13 +19,12 @@ from newsloom.sources import tables as S
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
-    """A table as a stream of its files: `name.parquet`, or the parts in a folder of that name."""
-    return (
-        spark.readStream.schema(TABLES[name])
-        .option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", f"{name}*.parquet")
-        .parquet(folder)
-    )
+    """A table as a stream of its files: the parts in a folder `name.parquet`, or the files `name*.parquet`."""
+    stream = spark.readStream.schema(TABLES[name]).option("maxFilesPerTrigger", files_per_batch)
+    path = f"{folder}/{name}.parquet"
+    if S.is_folder(spark, path):
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
 
 
 def run(
@@ -146,6 +145,10 @@ def interactions_stream(
 def current_interactions(spark: SparkSession, store: str) -> DataFrame:
     """The compacted log as of the last batch."""
     states = S.read_batches(spark, f"{store}/state", PAIR_STATE)
+    newest = states.agg(F.max("batch_id")).first()[0]
+    full = newest // FULL_EVERY * FULL_EVERY
+    if full > 0:  # all states were written in that batch
+        states = states.where(F.col("batch_id") >= full)
     log = S.read_batches(spark, f"{store}/log", INTERACTION).drop("batch_id")
     return log.unionByName(C.state_rows(_newest(states)).select(*INTERACTION.fieldNames()))
 
@@ -187,35 +190,36 @@ def processed_vectors(spark: SparkSession, store: str) -> DataFrame:
 
 
 def window_stream(
-    rows: DataFrame, ts: str, length: str, keys: list[str], store: str, delay: str = "1 hour", every: str | None = None
+    rows: DataFrame, ts: str, length: str, keys: list[str], store: str, every: str | None = None
 ) -> StreamingQuery:
-    """Count, first and last time per key and tumbling window, in update mode.
+    """Count, first and last time per key and tumbling window.
 
-    State is one row per key and open window; rows later than the delay are dropped by Spark once
-    their window is closed. Windows need a timestamp with time zone, so times are cast here.
+    A batch writes what it saw of each window; readers merge the parts. So rows count whenever they come, in any order,
+    and no state is kept between batches. Windows need a timestamp with time zone, so times are cast here.
     """
-    timed = rows.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", delay)
-    sums = (
-        timed.groupBy(F.window("_t", length).alias("_w"), *keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("first_at"), F.max("_t").alias("last_at"))
-        .select(F.col("_w.start").alias("window_start"), *keys, "n", "first_at", "last_at")
-    )
-    return run(sums, lambda df, i: S.write_batch(df, f"{store}/windows", i), store, every, mode="update")
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        timed = df.withColumn("_t", F.col(ts).cast("timestamp"))
+        sums = (
+            timed.groupBy(F.window("_t", length).alias("_w"), *keys)
+            .agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("first_at"), F.max("_t").alias("last_at"))
+            .select(F.col("_w.start").alias("window_start"), *keys, "n", "first_at", "last_at")
+        )
+        S.write_batch(sums, f"{store}/windows", batch_id)
+
+    return run(rows, batch, store, every)
 
 
 def read_windows(spark: SparkSession, store: str, keys: dict[str, T.DataType]) -> DataFrame:
-    """Newest value of every window and key."""
+    """Every window and key, from the parts that the batches wrote."""
     stamp = T.TimestampType()
     fields = {"window_start": stamp, **keys, "n": LONG, "first_at": stamp, "last_at": stamp}
     schema = T.StructType([T.StructField(n, k) for n, k in fields.items()])
-    rows = S.read_batches(spark, f"{store}/windows", schema)
-    newest = rows.groupBy("window_start", *keys).agg(
-        F.max_by(F.struct("n", "first_at", "last_at"), "batch_id").alias("_v")
+    merged = S.read_batches(spark, f"{store}/windows", schema).groupBy("window_start", *keys).agg(
+        F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
     )
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
-    return newest.select("window_start", *keys, "_v.*").select(
-        ntz("window_start"), *keys, "n", ntz("first_at"), ntz("last_at")
-    )
+    return merged.select(ntz("window_start"), *keys, "n", ntz("first_at"), ntz("last_at"))
 
 
 def rolling_24h(hourly: DataFrame) -> DataFrame:

@@ -44,6 +44,14 @@ def test_edge_cases_keep_every_row(spark, model):
     assert all(abs(sum(got[i].probs) - 1) < 1e-5 for i in (3, 4))
 
 
+def test_a_class_without_training_rows_is_never_chosen(spark):
+    model = E.train_nb(spark.createDataFrame([r for r in TRAIN if r[0] != 3], "label int, text string"), "text", "label")
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(HELD_OUT)] + [(99, "zzz")], "id int, text string")
+    got = {r.id: r for r in E.classify_nb(df, "id", "text", model).collect()}
+    assert all(got[i].topic_id == y for i, (y, _) in enumerate(HELD_OUT[:6]))
+    assert all(r.topic_id in (0, 1, 2) and r.probs[3] == 0 for r in got.values())
+
+
 def test_unscorable_text_is_error(spark):
     df = spark.createDataFrame([(1, "x", None), (2, "x", [float("nan")] * 4)], "id int, text string, probs array<double>")
     assert {(r.topic, r.confidence, r.topic_id) for r in E.with_contract(df, "text").collect()} == {("Error", 0.0, -1)}

@@ -59,10 +59,35 @@ def test_quantiles_are_exact_with_a_hot_value(spark):
 def test_dense_positions_have_no_gaps(spark):
     ids = random.Random(5).sample(range(100_000), 500)
     df = spark.createDataFrame([(i,) for i in ids], "i bigint").repartition(7)
-    got = {r.i: r.p for r in scale.dense_positions(df, "i", "p", block=100).collect()}
+    got = {r.i: r.p for r in scale.dense_positions(df, "i", "p").collect()}
     assert got == {i: n for n, i in enumerate(sorted(ids))}
 
 
+def test_dense_positions_of_sparse_ids(spark):
+    rnd = random.Random(6)
+    ids = [rnd.getrandbits(63) - (1 << 62) for _ in range(400)] + [0, 1, 2]
+    df = spark.createDataFrame([(i,) for i in ids], "i bigint").repartition(5)
+    got = {r.i: r.p for r in scale.dense_positions(df, "i", "p").collect()}
+    assert got == {i: n for n, i in enumerate(sorted(ids))}
+
+
+@pytest.mark.parametrize("unit", [1e-6, 1.0, 1e9])
+def test_quantiles_at_any_scale(spark, unit):
+    values = np.random.default_rng(4).lognormal(0, 3, 300) * unit * np.array([1, -1, 1] * 100)
+    df = spark.createDataFrame([("a", float(v)) for v in values], "g string, v double")
+    got = {r.quantile: r.value for r in O.exact_quantiles(df, "g", "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).collect()}
+    for name, p in {"p10": 0.1, "p50": 0.5, "p99": 0.99}.items():
+        assert abs(got[name] - np.quantile(values, p)) < 1e-6 + 1e-12 * unit * 1e6
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_neighbours_with_gaps(spark, block):
+    places = {1: [0, 5000, 5001], 2: [-7, 3, 4, 9, 10_000, 10_001, 20_000]}
+    df = spark.createDataFrame([(k, i) for k, v in places.items() for i in v], "k int, i bigint")
+    got = {(r.k, r.i): r.n for r in O.last_before(df, ["k"], "i", F.col("i"), 3, "n", block=block).collect()}
+    assert got == {(k, i): v[max(0, n - 3) : n] for k, v in places.items() for n, i in enumerate(v)}
+
+
 def walk_cache(times, ttl):
     misses, until = 0, None
     for t in sorted(times):

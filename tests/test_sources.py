@@ -145,10 +145,52 @@ def test_windows_over_several_batches(spark, tmp_path):
         spark.createDataFrame(ev, TABLES["events"]).toPandas().to_parquet(path, index=False, coerce_timestamps="us")
         os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
     clicks = V.interactions_from_events(T.read_stream(spark, str(folder), "events", 1))
-    T.window_stream(clicks, "ts", "1 hour", ["article_id"], store, delay="3 hours")
+    T.window_stream(clicks, "ts", "1 hour", ["article_id"], store)
     w = T.read_windows(spark, store, {"article_id": LONG})
     assert [(r.window_start.hour, r.n) for r in w.orderBy("window_start").collect()] == [(0, 3), (1, 3), (2, 2)]
     sessions = T.sessions_from_windows(w, ["article_id"], 3600).collect()
     assert [(r.messages, r.ended) for r in sessions] == [(8, t0 + dt.timedelta(seconds=7300))]
     last = T.rolling_24h(w).orderBy(F.col("until").desc()).collect()
     assert len(last) == 26 and last[0].clicks == 2 and last[-1].clicks == 3
+
+
+@pytest.mark.parametrize("layout", ["files", "folder"])
+def test_windows_count_every_row_of_shuffled_files(spark, tmp_path, layout):
+    """Files are not in order of time, one is read per batch, and a table may be a folder of parts."""
+    folder, store = tmp_path / "in", str(tmp_path / "store")
+    parts = folder / "events.parquet" if layout == "folder" else folder
+    parts.mkdir(parents=True)
+    t0 = dt.datetime(2024, 1, 1)
+    hours = [200, 3, 90, 0, 150, 3]
+    for n, hour in enumerate(hours):
+        rows = [(10 * n + i, t0 + dt.timedelta(hours=hour, minutes=i), 1, "click", 0.0, '{"k": 5}') for i in range(4)]
+        path = parts / (f"part-{n:05}.parquet" if layout == "folder" else f"events-{n}.parquet")
+        spark.createDataFrame(rows, TABLES["events"]).toPandas().to_parquet(path, index=False, coerce_timestamps="us")
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+    clicks = V.interactions_from_events(T.read_stream(spark, str(folder), "events", 1))
+    T.window_stream(clicks, "ts", "1 hour", ["article_id"], store)
+    got = {r.window_start: r.n for r in T.read_windows(spark, store, {"article_id": LONG}).collect()}
+    assert got == {t0 + dt.timedelta(hours=h): 4 * hours.count(h) for h in hours}
+
+
+def test_current_interactions_start_at_the_last_full_batch(spark, tmp_path, monkeypatch):
+    from newsloom.operators import interactions as C
+
+    monkeypatch.setattr(T, "FULL_EVERY", 2)
+    folder, store = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    t0 = dt.datetime(2024, 1, 1)
+    all_rows = []
+    for n in range(5):
+        rows = [(10 * n + i, t0 + dt.timedelta(minutes=10 * n + i), 1 + i % 2, ("purchase", "view", "click")[(n + i) % 3], 7.0, '{"k": %d}' % (1 + i % 3)) for i in range(6)]
+        all_rows += rows
+        path = folder / f"events-{n}.parquet"
+        spark.createDataFrame(rows, TABLES["events"]).toPandas().to_parquet(path, index=False, coerce_timestamps="us")
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+    users = spark.createDataFrame([(1,), (2,)], "user_id bigint")
+    articles = spark.createDataFrame([(1,), (2,), (3,)], "article_id bigint")
+    T.interactions_stream(V.interactions_from_events(T.read_stream(spark, str(folder), "events", 1)), users, articles, store)
+    events = V.interactions_from_events(spark.createDataFrame(all_rows, TABLES["events"]))
+    want = C.interactions_compact(events, users, articles)
+    key = lambda df: sorted(map(str, df.select("event_id", "user_id", "article_id", "interaction_type", "ts", "read_time_seconds").collect()))
+    assert key(T.current_interactions(spark, store)) == key(want)
