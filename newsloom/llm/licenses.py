@@ -122,8 +122,10 @@ class Scanner:
                 hits[template].append(position - own)
         spans, out = None, []
         for template, diagonals in hits.items():
-            for low, high in self._candidates(sorted(diagonals)):
-                matched = self._align(self.templates[template], ids, low, high)
+            # At most a quarter of the template, so that two occurrences in a row are two candidates.
+            band = min(self.band, max(1, len(self.templates[template]) // 4))
+            for low, high in candidates(sorted(diagonals), band):
+                matched = align(self.templates[template], ids, low, high, band)
                 if matched and len(matched) >= self.coverage * len(self.templates[template]):
                     if spans is None:
                         spans = [m.span() for m in _TOKEN.finditer(text.lower())]
@@ -134,49 +136,51 @@ class Scanner:
                     out.append((self.names[template], share, len(matched), start, end))
         return sorted(set(out), key=lambda o: (o[3], o[4], o[0]))
 
-    def _candidates(self, diagonals: list[int]) -> Iterator[tuple[int, int]]:
-        """Ranges of diagonals whose neighbours are at most a band apart, and no range wider than two bands."""
-        low = high = diagonals[0]
-        for d in diagonals[1:]:
-            if d - high > self.band or d - low > 2 * self.band:
-                yield low, high
-                low = d
-            high = d
-        yield low, high
-
-    def _align(self, template: np.ndarray, ids: np.ndarray, low: int, high: int) -> list[int]:
-        """Document tokens that match the template's in order, the most that there are within the band (longest common
-        subsequence), those nearest to each other first."""
-        first = max(0, low - self.band)
-        want, have = template.tolist(), ids[first : high + self.band + len(template)].tolist()
-        offset, width = low - self.band - first, high - low + 2 * self.band + 1
-        # best[i][j]: (matched tokens, minus gaps) of template[i:] and the document from diagonal j on.
-        rows = [[(0, 0)] * (width + 2) for _ in range(len(want) + 1)]
-        for i in range(len(want) - 1, -1, -1):
-            row, below = rows[i], rows[i + 1]
-            for j in range(width - 1, -1, -1):
-                at = i + j + offset
-                best = max(below[j - 1] if j else (0, 0), row[j + 1] if j + 1 < width else (0, 0))
-                if best[0]:
-                    best = (best[0], best[1] - 1)
-                if 0 <= at < len(have) and have[at] == want[i]:
-                    best = max(best, (below[j][0] + 1, below[j][1]))
-                row[j] = best
-        matched, i = [], 0
-        j = max(range(width), key=lambda c: rows[0][c])
-        while i < len(want) and j < width and rows[i][j][0]:
+
+def candidates(diagonals: list[int], band: int) -> Iterator[tuple[int, int]]:
+    """Ranges of diagonals whose neighbours are at most a band apart, and no range wider than two bands."""
+    low = high = diagonals[0]
+    for d in diagonals[1:]:
+        if d - high > band or d - low > 2 * band:
+            yield low, high
+            low = d
+        high = d
+    yield low, high
+
+
+def align(template: np.ndarray, ids: np.ndarray, low: int, high: int, band: int) -> list[int]:
+    """Document tokens that match the template's in order, the most that there are within the band (longest common
+    subsequence), those nearest to each other first."""
+    first = max(0, low - band)
+    want, have = template.tolist(), ids[first : high + band + len(template)].tolist()
+    offset, width = low - band - first, high - low + 2 * band + 1
+    # best[i][j]: (matched tokens, minus gaps) of template[i:] and the document from diagonal j on.
+    rows = [[(0, 0)] * (width + 2) for _ in range(len(want) + 1)]
+    for i in range(len(want) - 1, -1, -1):
+        row, below = rows[i], rows[i + 1]
+        for j in range(width - 1, -1, -1):
             at = i + j + offset
-            took = 0 <= at < len(have) and have[at] == want[i] and rows[i][j] == (rows[i + 1][j][0] + 1, rows[i + 1][j][1])
-            if took:
-                matched.append(first + at)
-                i += 1
-            elif j + 1 < width and rows[i][j + 1][0] == rows[i][j][0]:
-                j += 1
-            else:
-                i, j = i + 1, j - 1
-                if j < 0:
-                    break
-        return matched
+            best = max(below[j - 1] if j else (0, 0), row[j + 1] if j + 1 < width else (0, 0))
+            if best[0]:
+                best = (best[0], best[1] - 1)
+            if 0 <= at < len(have) and have[at] == want[i]:
+                best = max(best, (below[j][0] + 1, below[j][1]))
+            row[j] = best
+    matched, i = [], 0
+    j = max(range(width), key=lambda c: rows[0][c])
+    while i < len(want) and j < width and rows[i][j][0]:
+        at = i + j + offset
+        took = 0 <= at < len(have) and have[at] == want[i] and rows[i][j] == (rows[i + 1][j][0] + 1, rows[i + 1][j][1])
+        if took:
+            matched.append(first + at)
+            i += 1
+        elif j + 1 < width and rows[i][j + 1][0] == rows[i][j][0]:
+            j += 1
+        else:
+            i, j = i + 1, j - 1
+            if j < 0:
+                break
+    return matched
 
 
 _SCANNERS: dict[tuple, Scanner] = {}
