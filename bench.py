@@ -19,7 +19,7 @@ from newsloom.session import get_session  # noqa: E402
 
 HEADLINE = (
     "interactions_compact", "ingest_articles", "knn_search", "embed_text", "classify_topics", "process_batch",
-    "bm25_topk", "semantic_topk", "hybrid_search", "feed", "user_sessions", "latency_percentiles", "query_cache_hits",
+    "bm25_topk", "semantic_topk", "hybrid_search", "feed", "user_sessions", "latency_percentiles",
 )
 REPEATS = 2
 

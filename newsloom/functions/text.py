@@ -28,8 +28,10 @@ def page_title(html: Column) -> Column:
 
 
 def page_meta(html: Column, attribute: str, value: str) -> Column:
-    pattern = rf'(?is)<meta[^>]*{attribute}="{value}"[^>]*content="([^"]*)"'
-    return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+    """Content of a meta element, whichever of its two attributes comes first."""
+    named, content = rf'{attribute}="{value}"', 'content="([^"]*)"'
+    found = [F.regexp_extract(html, rf"(?is)<meta[^>]*{a}[^>]*{b}", 1) for a, b in ((named, content), (content, named))]
+    return F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
 
 
 # Markup that carries no article text, removed in this order; then every other tag.

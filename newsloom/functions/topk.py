@@ -132,22 +132,26 @@ def _scan(queries: DataFrame, vectors: DataFrame, k: int, metric: str, exclude_s
 
 
 def _grid(queries: DataFrame, vectors: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
-    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-
-    sizes = blocks(queries, QUERY_BLOCK, "q_blocks").join(blocks(vectors, VECTOR_BLOCK, "v_blocks"), "cell")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = (
-        queries.join(sizes, "cell")
-        .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int"))
-        .withColumn("vb", every("v_blocks"))
-        .select("cell", "qb", "vb", "query_id", "vector")
+    """Blocks of queries meet blocks of vectors, within a cell if the rows have one."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    part = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    if "cell" in queries.columns:
+        key = ["cell", "qb", "vb"]
+
+        def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+            return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+        sizes = blocks(queries, QUERY_BLOCK, "q_blocks").join(blocks(vectors, VECTOR_BLOCK, "v_blocks"), "cell")
+        queries, vectors = queries.join(sizes, "cell"), vectors.join(sizes, "cell")
+        q_blocks, v_blocks = F.col("q_blocks"), F.col("v_blocks")
+    else:
+        key = ["qb", "vb"]
+        q_blocks, v_blocks = F.lit(-(-queries.count() // QUERY_BLOCK) or 1), F.lit(-(-vectors.count() // VECTOR_BLOCK) or 1)
+    q = queries.withColumn("qb", part("query_id", q_blocks)).withColumn("vb", every(v_blocks)).select(
+        *key, "query_id", "vector"
     )
-    v = (
-        vectors.join(sizes, "cell")
-        .withColumn("vb", F.pmod(F.xxhash64("article_id"), F.col("v_blocks")).cast("int"))
-        .withColumn("qb", every("q_blocks"))
-        .select("cell", "qb", "vb", "article_id", "vector")
+    v = vectors.withColumn("vb", part("article_id", v_blocks)).withColumn("qb", every(q_blocks)).select(
+        *key, "article_id", "vector"
     )
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -159,7 +163,6 @@ def _grid(queries: DataFrame, vectors: DataFrame, k: int, metric: str, exclude_s
         )
         return pa.table(_record(*best, metric))
 
-    key = ["cell", "qb", "vb"]
     return q.groupBy(*key).cogroup(v.groupBy(*key)).applyInArrow(task, RESULT)
 
 
@@ -185,7 +188,6 @@ def top_k(
         if size["b"] <= broadcast_bytes:
             scored = _scan(queries, vectors, k, metric, exclude_self)
         else:
-            one = lambda df: df.withColumn("cell", F.lit(0))
-            scored = _grid(one(queries), one(vectors), k, metric, exclude_self)
+            scored = _grid(queries, vectors, k, metric, exclude_self)
     best = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     return ranked(scored, k, [best, F.col("article_id").asc()])

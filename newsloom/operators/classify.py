@@ -155,6 +155,23 @@ def all_scores_map(classified: DataFrame) -> DataFrame:
     return classified.withColumn("all_scores", F.map_from_arrays(names, "probs"))
 
 
+def classify_by_id(articles: DataFrame, wanted: DataFrame, model: NaiveBayes) -> DataFrame:
+    """article_id, outcome, topic, confidence, all_scores for each id of `wanted`, from the article's whole content.
+
+    outcome: ok, no_content (null or empty) or not_found; only ok has a topic and scores.
+    """
+    found = wanted.select("article_id").join(
+        articles.select("article_id", "content", F.lit(True).alias("_there")), "article_id", "left"
+    )
+    empty = F.col("content").isNull() | (F.col("content") == "")
+    outcome = F.when(F.col("_there").isNull(), "not_found").when(empty, "no_content").otherwise("ok")
+    scored = all_scores_map(classify_nb(found.withColumn("outcome", outcome), "article_id", "content", model))
+    ok = F.col("outcome") == "ok"
+    return scored.select(
+        "article_id", "outcome", *[F.when(ok, F.col(c)).alias(c) for c in ("topic", "confidence", "all_scores")]
+    )
+
+
 # --- Spark ML --------------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.functions import text as X
+from newsloom.sources.tables import materialize
 
 MIN_CONTENT_CHARS = 100
 
@@ -58,9 +59,14 @@ def entry_defaults(entries: DataFrame) -> DataFrame:
 
 
 def ingest(entries: DataFrame, existing: DataFrame) -> DataFrame:
-    """Feed entries with pages to new article rows. A short page never claims its url."""
+    """Feed entries with pages to new article rows. A short page never claims its url.
+
+    Author and image are those of the page. Pages are parsed once, into a stored table that is read for the urls and
+    for the winners.
+    """
     long_enough, _ = content_gate(extract_articles(entries))
-    return entry_defaults(dedup_by_url(long_enough, existing, "page_id"))
+    new = dedup_by_url(materialize(long_enough, "extracted"), existing, "page_id")
+    return entry_defaults(new).drop("author").withColumnRenamed("page_author", "author")
 
 
 def ingest_outcomes(entries: DataFrame, existing: DataFrame, key: str) -> DataFrame:

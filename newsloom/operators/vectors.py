@@ -119,17 +119,18 @@ MAX_CELLS = 65536
 
 
 def train_cells(index: DataFrame, nlist: int = 100, seed: int = 42) -> Cells:
-    """k-means cells; at most one per 39 vectors, so small data does not get empty cells."""
+    """k-means cells. Fewer vectors than cells are an error: the caller chooses the number, whatever the size."""
     if not 1 <= nlist <= MAX_CELLS:
         raise ValueError(f"nlist must be between 1 and {MAX_CELLS}")
     n = index.count()
-    k = max(1, min(nlist, n // 39))
+    if n < nlist:
+        raise ValueError(f"{n} vectors are too few for {nlist} cells")
     points = index.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    if k == 1:
+    if nlist == 1:
         from pyspark.ml.stat import Summarizer
 
         return Cells(np.array([points.select(Summarizer.mean(F.col("features"))).first()[0].toArray()]))
-    model = KMeans(k=k, seed=seed, maxIter=10).fit(points)
+    model = KMeans(k=nlist, seed=seed, maxIter=10).fit(points)
     return Cells(np.array(model.clusterCenters()))
 
 

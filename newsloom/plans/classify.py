@@ -171,6 +171,49 @@ def classify_edge_cases(spark, d) -> DataFrame:
     return E.classify_nb(m, "turn_key", "content", trained_nb(spark, d)).select("turn_key", "topic", "topic_id")
 
 
+@query(
+    "classify_scores_map",
+    "SELECT article_id, p0 AS world, p1 AS sports, p2 AS business, p3 AS sci_tech FROM nb_pred",
+)
+def classify_scores_map(spark, d) -> DataFrame:
+    docs = labelled(spark, d).select("article_id", "text")
+    scored = E.all_scores_map(E.classify_nb(docs, "article_id", "text", trained_nb(spark, d)))
+    names = {"world": "World", "sports": "Sports", "business": "Business", "sci_tech": "Sci/Tech"}
+    return scored.select("article_id", *[F.element_at("all_scores", F.lit(n)).alias(c) for c, n in names.items()])
+
+
+_TOTAL = " + ".join(f"exp(s{c} - greatest(s0, s1, s2, s3))" for c in range(4))
+
+
+@query(
+    "classify_article",
+    f"""
+WITH asked AS (
+  SELECT article_id, CASE WHEN article_id % 100 = 0 THEN '' ELSE content END AS content, 'ok' AS there FROM articles
+  WHERE article_id % 50 = 0
+  UNION ALL SELECT article_id + 10000000, NULL, NULL FROM articles WHERE article_id % 50 = 0),
+ s AS (SELECT w.article_id, {', '.join(f'round(any_value(lp{c}) + coalesce(sum(ll{c}), 0.0), 6) AS s{c}' for c in range(4))}
+  FROM (SELECT article_id, unnest({WORDS.format(text="content")}) AS t FROM asked WHERE content <> '') w
+  CROSS JOIN nb_prior LEFT JOIN nb_ll USING (t) GROUP BY 1),
+ p AS (SELECT article_id, {', '.join(f'round(exp(s{c} - greatest(s0, s1, s2, s3)) / ({_TOTAL}), 6) AS p{c}' for c in range(4))} FROM s)
+SELECT a.article_id, CASE WHEN there IS NULL THEN 'not_found' WHEN content = '' THEN 'no_content' ELSE 'ok' END AS outcome,
+  CASE greatest(p0, p1, p2, p3) WHEN p0 THEN 'World' WHEN p1 THEN 'Sports' WHEN p2 THEN 'Business' WHEN p3 THEN 'Sci/Tech' END
+    AS topic, greatest(p0, p1, p2, p3) AS confidence, p1 AS sports
+FROM asked a LEFT JOIN p USING (article_id)
+""",
+)
+def classify_article(spark, d) -> DataFrame:
+    """Every 50th article by its id, every 100th with its content emptied, and as many ids that are not stored."""
+    a = V.articles(spark, d)
+    content = F.when(F.col("article_id") % 100 == 0, "").otherwise(F.col("content"))
+    known = a.where("article_id % 50 = 0").select("article_id")
+    wanted = known.unionByName(known.select((F.col("article_id") + 10_000_000).alias("article_id")))
+    found = E.classify_by_id(a.withColumn("content", content), wanted, trained_nb(spark, d))
+    return found.select(
+        "article_id", "outcome", "topic", "confidence", F.element_at("all_scores", F.lit("Sports")).alias("sports")
+    )
+
+
 @query(
     "eval_metrics",
     """
@@ -282,7 +325,7 @@ def classify_ml(spark, d) -> DataFrame:
     )
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", "SELECT count(*) AS articles, count(*) AS same FROM articles")
 def model_roundtrip(spark, d) -> DataFrame:
     """Predictions of a model before and after saving; `same` must equal `articles`."""
     model, path = _ml_model(spark, d), scratch_dir(spark, "topic-model")

@@ -22,8 +22,10 @@ SELECT page_id, url, nullif(trim(replace(replace(replace(replace(replace(replace
       '(?is)<nav[^>]*>.*?</nav>', ' ', 'g'), '(?is)<[^>]+>', ' ', 'g'),
     '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'),
     '\s+', ' ', 'g')) AS content,
-  nullif(regexp_extract(html, '(?is)<meta[^>]*name="author"[^>]*content="([^"]*)"', 1), '') AS page_author,
-  nullif(regexp_extract(html, '(?is)<meta[^>]*property="og:image"[^>]*content="([^"]*)"', 1), '') AS image_url
+  coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]*name="author"[^>]*content="([^"]*)"', 1), ''),
+    nullif(regexp_extract(html, '(?is)<meta[^>]*content="([^"]*)"[^>]*name="author"', 1), '')) AS page_author,
+  coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]*property="og:image"[^>]*content="([^"]*)"', 1), ''),
+    nullif(regexp_extract(html, '(?is)<meta[^>]*content="([^"]*)"[^>]*property="og:image"', 1), '')) AS image_url
 FROM pages
 """
 
@@ -131,8 +133,8 @@ def ingest_entry_outcomes(spark, d) -> DataFrame:
 
 
 CTES["ingested"] = """
-SELECT f.page_id, f.feed, f.url, coalesce(entry_title, 'No Title') AS title, first_author AS author,
-  published_at, e.content, 'pending' AS processing_status
+SELECT f.page_id, f.feed, f.url, coalesce(entry_title, 'No Title') AS title, e.page_author AS author,
+  published_at, e.content, 'pending' AS processing_status, e.image_url
 FROM feed_entries f JOIN extracted e ON e.page_id = f.page_id
 WHERE length(e.content) >= 100 AND f.url NOT IN (SELECT url FROM pages WHERE page_id % 4 = 0)
 """
@@ -142,7 +144,7 @@ WHERE length(e.content) >= 100 AND f.url NOT IN (SELECT url FROM pages WHERE pag
 def ingest_articles(spark, d) -> DataFrame:
     stored = S.read_table(spark, d, "pages").where("page_id % 4 = 0")
     return I.ingest(V.feed_entries(spark, d), stored).select(
-        "page_id", "feed", "url", "title", "author", "published_at", "content", "processing_status"
+        "page_id", "feed", "url", "title", "author", "published_at", "content", "processing_status", "image_url"
     )
 
 

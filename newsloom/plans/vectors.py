@@ -66,6 +66,19 @@ def similar_articles(spark, d) -> DataFrame:
     return G.similar_articles(V.vectors(spark, d), 10)
 
 
+@query("knn_search_grid", _nearest(10))
+def knn_search_grid(spark, d) -> DataFrame:
+    """The same by blocks of queries and vectors, as for query sets too large to be sent to every task."""
+    v = V.vectors(spark, d)
+    return G.knn_search(G.as_queries(v, "article_id"), v, 10, broadcast_bytes=0)
+
+
+@query("similar_to", _nearest(10, "query_id = 7 AND article_id <> 7"))
+def similar_to(spark, d) -> DataFrame:
+    """Nearest articles of one article."""
+    return G.similar_to(V.vectors(spark, d), 7, 10)
+
+
 CTES["live_pairs"] = """
 SELECT * FROM all_pairs WHERE query_id <> article_id
   AND query_id NOT IN (SELECT article_id FROM articles WHERE processing_status <> 'completed')
@@ -117,10 +130,13 @@ def index_clear(spark, d) -> DataFrame:
     return stats("before", v).unionByName(stats("after", G.index_clear(v)))
 
 
+CELLS = 12
+
+
 @query("knn_ivf")
 def knn_ivf(spark, d) -> DataFrame:
     v = V.vectors(spark, d)
-    return G.knn_ivf(G.as_queries(v, "article_id"), v, G.train_cells(v), 10, nprobe=4)
+    return G.knn_ivf(G.as_queries(v, "article_id"), v, G.train_cells(v, CELLS), 10, nprobe=4)
 
 
 @query("ann_recall")

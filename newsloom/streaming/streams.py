@@ -63,7 +63,7 @@ INGESTED = T.StructType(
         T.StructField(n, k)
         for n, k in {
             "page_id": LONG, "feed": TEXT, "url": TEXT, "title": TEXT, "author": TEXT, "published_at": TIME,
-            "content": TEXT, "processing_status": TEXT,
+            "content": TEXT, "processing_status": TEXT, "image_url": TEXT,
         }.items()
     ]
 )

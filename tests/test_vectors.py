@@ -104,3 +104,27 @@ def test_inverted_file_finds_all_when_all_cells_are_probed(spark, monkeypatch):
     exact = G.knn_search(q, v, 10)
     assert G.ann_recall(G.knn_ivf(q, v, cells, 10, nprobe=5), exact).first().recall == 1.0
     assert G.ann_recall(G.knn_ivf(q, v, cells, 10, nprobe=2), exact).first().recall > 0.6
+
+
+def test_blocks_without_a_cross_join(spark):
+    """Neither the scan nor the grid plans one, with broadcasting off as well."""
+    rng = np.random.default_rng(3)
+    rows = [(i, i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(40, 4)))]
+    v = spark.createDataFrame(rows, "article_id bigint, position bigint, embedding array<float>")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [
+            G.knn_search(G.as_queries(v, "article_id"), v, 3, **options) for options in ({}, {"broadcast_bytes": 0})
+        ]
+        texts = [p._jdf.queryExecution().toString() for p in plans]
+        assert not any("Cartesian" in t or "NestedLoop" in t for t in texts)
+        assert sorted(plans[0].collect()) == sorted(plans[1].collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_too_few_vectors_for_the_cells(spark):
+    v = spark.createDataFrame([(1, 0, [1.0])], "article_id bigint, position bigint, embedding array<float>")
+    with pytest.raises(ValueError):
+        G.train_cells(v, nlist=2)
