@@ -4,8 +4,8 @@ All unseen candidates of a user take part: component ranges are exact and nothin
 Scores are matrix products inside tasks; only the rows a feed can use leave a block: the best n per
 user and the best few per (user, topic).
 
-Few candidates (at most ARTICLE_BLOCK, checked by a count) go to every task and users are only
-streamed past them. More candidates form a grid of (user block, article block) groups of bounded
+Few candidates (at most ARTICLE_BLOCK rows and BROADCAST_BYTES bytes, which is checked) go to every task and users are
+only streamed past them. More candidates form a grid of (user block, article block) groups of bounded
 size; a first pass over the grid finds the component ranges per user, a second one scores.
 """
 
@@ -15,13 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from newsloom.functions.topk import PAIRS_AT_ONCE, best_per_row, to_ids
 from newsloom.schemas import TOPICS
 
 ARTICLE_BLOCK = 65536
 USER_BLOCK = 8192
+BROADCAST_BYTES = 64 << 20
+#: Of a candidate, besides its numbers.
+ROW_BYTES = 64
 PLACES = 6
 PARTS = ("content", "collab", "topic_fit")
 SCORED = (
@@ -198,12 +201,19 @@ def score_feeds(
 
     users: (user_id, profile, factor, prefs, weights), arrays may be null; candidates: (article_id,
     vector, factor, topic_index, popularity); seen: (user_id, article_id) pairs to leave out.
-    The result of the grid form holds up to n rows per user and article block.
+    Both forms return the same rows.
     """
-    count = candidates.count()
-    if count <= article_block:
+    width = lambda c: F.coalesce(F.max(F.size(c)), F.lit(0))
+    size = candidates.agg(F.count(F.lit(1)).alias("n"), (width("vector") + width("factor")).alias("width")).first()
+    article_block = min(article_block, max(1, BROADCAST_BYTES // (size["width"] * 8 + ROW_BYTES)))
+    if size["n"] <= article_block:
         return _score_streamed(users, candidates, seen, n, per_topic)
-    return _score_grid(users, candidates, seen, n, per_topic, -(-count // article_block), user_block)
+    scored = _score_grid(users, candidates, seen, n, per_topic, -(-size["n"] // article_block), user_block)
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "article_id"))
+    used = rank("user_id") <= n
+    if per_topic:
+        used |= F.col("topic").isNotNull() & (rank("user_id", "topic") <= per_topic)
+    return scored.withColumn("_used", used).where("_used").drop("_used")
 
 
 def _score_streamed(users, candidates, seen, n, per_topic) -> DataFrame:
