@@ -17,29 +17,39 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from newsloom.llm.pieces import REMEMBERED, PieceEncoder
+from newsloom.llm.pieces import PieceEncoder
 
 FILE_SCHEMA = "part int, doc_id long, offset long, n_tokens long, ids array<int>"
 #: Rows per row-index entry and per Bloom filter; bytes of a stripe before compression.
 INDEX_ROWS = 1_000
 STRIPE_BYTES = 64 << 20
 BLOOM_FPP = 0.01
+#: Pieces remembered per Python worker; fewer than without a sort in the same task, which needs memory too.
+REMEMBERED = 900_000
+
+
+def byte_letters() -> dict[int, int]:
+    """The character by which byte-level vocabularies write each byte: its own if that is printable, otherwise the next
+    one from U+0100 on."""
+    own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(others)}
 
 
 def library_encoder(path: str, pattern: str, remembered: int, splits_at_space: bool) -> PieceEncoder:
     """Encodes whole texts by a tokenizer of the tokenizers library with a byte-level pre-tokenizer of that pattern.
 
-    Its pre-tokens are encoded independently of each other, so the library encodes each different one once and its ids
-    are remembered. Names of special tokens inside a text are ordinary text.
+    Its pre-tokens are encoded independently of each other, so the library's model encodes each different one once and its
+    ids are remembered. Names of special tokens inside a text are ordinary text.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenize, letters = Tokenizer.from_file(path).model.tokenize, byte_letters()
 
     def encode_piece(piece: str) -> bytes:
-        return struct.pack("<%dI" % len(ids := tokenizer.encode(piece, add_special_tokens=False).ids), *ids)
+        found = tokenize(piece.encode("utf-8").decode("latin-1").translate(letters))
+        return struct.pack("<%dI" % len(found), *[token.id for token in found])
 
     return PieceEncoder(pattern, encode_piece, remembered, splits_at_space)
 
