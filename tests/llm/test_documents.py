@@ -264,6 +264,13 @@ def test_a_shared_run_of_tokens_is_always_found(spark):
     assert all({v >> 31 for v in r.kept} == sets[r.doc_id] for r in found)
 
 
+def test_edits_of_short_texts_share_hashes(spark):
+    """A text of some words that loses its last quarter is still like itself, at the operator's own parameters."""
+    texts = [" ".join(f"w{i:02d}{j:02d}" for j in range(n)) for i, n in enumerate([*range(5, 21)] * 3)]
+    rows = winnow.compare_edits(documents(spark, texts)).collect()
+    assert len(rows) == len(texts) and all(r.near_edited >= 0.2 and r.near_next == 0 for r in rows)
+
+
 # --- licenses --------------------------------------------------------------------------------
 
 
