@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ DOCUMENTS = 128
 LIST_ROWS = 4_096
 #: Lists up to this length are compared all at once, in vectors over the whole batch.
 SHORT_LIST = 24
+#: Shingle sets of a group that one task compares exactly; larger groups are cut into blocks that meet in pairs.
+SET_ROWS = 128
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
@@ -64,6 +67,12 @@ def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(carried), SEED)], np.uint64)
 
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    parts = [np.unique(h) for h in shingle_hashes(text, words)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
 def _derived(h: np.ndarray, j: int) -> np.ndarray:
     """The j-th 64-bit number of a hash; the first is the hash itself."""
     if not j:
@@ -88,6 +97,11 @@ def _bit_counts(h: np.ndarray, doc: np.ndarray, docs: int, numbers: int) -> np.n
 
 def fingerprint_batch(texts: Iterator[bytes], words: int, numbers: int) -> list[bytes]:
     """Fingerprints of 64 * numbers bits: a bit is 1 if more than half of the document's shingle hashes set it."""
+    return majority_bits((shingle_hashes(text, words) for text in texts), numbers)
+
+
+def majority_bits(hashes: Iterator[Iterable[np.ndarray]], numbers: int) -> list[bytes]:
+    """Fingerprints of documents that are given by their shingle hashes, in arrays."""
     done: list[bytes] = []
     pending: list[np.ndarray] = []
     owner: list[int] = []
@@ -111,9 +125,9 @@ def fingerprint_batch(texts: Iterator[bytes], words: int, numbers: int) -> list[
         done.extend(row.tobytes() for row in packed)
         counts[:], totals[:], docs = 0, 0, 0
 
-    for text in texts:
+    for parts in hashes:
         docs += 1
-        for h in shingle_hashes(text, words):
+        for h in parts:
             pending.append(h)
             owner.append(docs - 1)
             size += len(h)
@@ -288,14 +302,109 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, together: in
     )
 
 
+def set_fingerprints(docs: DataFrame, words: int, numbers: int) -> DataFrame:
+    """doc_id, key, fp and node of each row: the fingerprint of its distinct shingles, and a digest that tells sets apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes: list[bytes] = []
+
+            def sets() -> Iterator[list[np.ndarray]]:
+                for t in batch.column(2):
+                    found = shingle_set(t.as_py() or b"", words)
+                    nodes.append(blake2b(found.tobytes(), digest_size=16).digest())
+                    yield np.split(found, range(SHINGLES, len(found), SHINGLES))
+
+            fps = majority_bits(sets(), numbers)
+            columns = [batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(nodes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp", "node"])
+
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key"),
+        F.col("text").cast("string").cast("binary").alias("text"),
+    )
+    return rows.mapInArrow(run, "doc_id long, key long, fp binary, node binary")
+
+
+def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what is connected by pairs with an exact Jaccard similarity of at least `similarity`.
+
+    Each set is compared with all that are not reached yet and whose size allows the similarity.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    links, left = [], np.arange(len(sets))
+    while len(left) > 1:
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            fits = np.minimum(sizes[left], sizes[i]) >= similarity * np.maximum(sizes[left], sizes[i]) - 1e-9
+            near = np.zeros(len(left), bool)
+            for at in np.flatnonzero(fits).tolist():
+                other = sets[left[at]]
+                place = np.searchsorted(sets[i], other)
+                both = int((sets[i][np.minimum(place, max(0, sizes[i] - 1))] == other).sum()) if sizes[i] and len(other) else 0
+                near[at] = both >= similarity * (sizes[i] + len(other) - both) - 1e-9
+            links += [(i, j) for j in left[near].tolist()]
+            reached += left[near].tolist()
+            left = left[~near]
+    return links
+
+
+def verified_links(docs: DataFrame, members: DataFrame, words: int, similarity: float, set_rows: int = SET_ROWS) -> DataFrame:
+    """a, b: nodes of one group of `members` (root, node, key, doc_id, rows, blocks) whose shingle sets are similar, as many as
+    connect all that are. `members` is a stored table with one row of `docs` for each node.
+
+    All pairs of a group are compared: its nodes are dealt into `blocks` blocks, and each pair of blocks is a cell.
+    """
+    known = members.select(
+        F.col("key").alias("known"), F.col("doc_id").alias("own"), "rows", "node", F.xxhash64("root").alias("list"), "blocks"
+    )
+    own = docs.select(
+        row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").cast("binary").alias("text"),
+    )
+    joined = own.join(known, F.col("key") == F.col("known")).where(F.col("own").eqNullSafe(F.col("doc_id")))
+    taken = joined.where("rows = 1").unionByName(joined.where("rows > 1").dropDuplicates(["known", "own"]))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingle_set(t.as_py() or b"", words).tobytes() for t in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), sets], ["node", "list", "blocks", "shingles"])
+
+    sets = taken.select("node", "list", "blocks", "text").mapInArrow(encode, "node binary, list long, blocks int, shingles binary")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
+    placed = sets.select("node", "list", "shingles", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("block", F.col("other").cast("long")), F.greatest("block", F.col("other").cast("long"))
+    dealt = placed.select("node", "list", F.shiftleft(low, 32).bitwiseOR(high).alias("cell"), "shingles")
+    dealt = dealt.repartition("list", "cell").sortWithinPartitions("list", "cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                numbers = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+                for cell, node, found in zip(numbers, batch.column(0), batch.column(3)):
+                    yield cell, node.as_py(), np.frombuffer(found.as_py(), np.uint64)
+
+        for _, group in itertools.groupby(rows(), lambda r: r[0]):
+            _, nodes, found = zip(*group)
+            links = set_links(list(found), similarity)
+            if links:
+                ends = [pa.array([nodes[link[i]] for link in links], pa.binary()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, numbers: int = 8) -> DataFrame:
     """The rows of `docs` without near copies: of each component of similar documents the one with the smallest doc_id.
 
-    Similar: shingles of `words` words with a Jaccard similarity of about `similarity` or more. The angle between two such
-    documents gives the share of differing bits to expect; a fingerprint of 64 * numbers bits estimates it, and pairs up to one standard
-    error above are linked. At this similarity no number of equal bytes is guaranteed; there is a posting list for
-    each two neighbouring bytes (4 * numbers of them), in one of which 92 % of pairs at 0.8, 98 % at 0.85 and 99.8 % at 0.9 meet.
-    The tally asks for the equal bytes that pairs at the threshold have but for one in thousands.
+    Similar: the sets of different shingles of `words` words have a Jaccard similarity of `similarity` or more; every link is
+    checked on the whole sets. Which pairs are checked is nominated by fingerprints of 64 * numbers bits over the different
+    shingles: the angle between two documents at the threshold gives the share of differing bits to expect, and pairs up to
+    four standard errors above are nominated if they meet in a posting list, of which there is one for each two neighbouring bytes
+    (8 * numbers of them, in a ring). With independent bits 98 % of pairs at exactly 0.8 meet in one. Documents that nominations
+    connect form a group, and all pairs of a group are checked. The tally asks for the equal bytes that pairs at the threshold
+    have but for one in thousands.
 
     Null texts and texts without words are copies of each other. Null ids count as larger than any id. Of rows that are alike
     one stays. All columns are kept as they are.
@@ -304,18 +413,29 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, numbers:
     size = 8 * numbers
     cosine = 2 * similarity / (1 + similarity)
     share = float(np.arccos(cosine) / np.pi)
-    bits = int(size * 8 * share + (size * 8 * share * (1 - share)) ** 0.5)
+    bits = int(size * 8 * share + 4 * (size * 8 * share * (1 - share)) ** 0.5)
     equal = (1 - share) ** 8
     matches = max(1, int(size * equal - 3.5 * (size * equal * (1 - equal)) ** 0.5))
-    positions = [(p, p + 1) for p in range(0, size, 2)]
+    positions = [(p, (p + 1) % size) for p in range(size)]
     path, plan = scratch_dir(spark, "fingerprints"), scratch_dir(spark, "kept-rows")
-    fingerprints(docs, words, numbers, row_key(docs)).write.parquet(path)
-    rows = spark.read.schema("doc_id long, key long, fp binary").parquet(path)
+    set_fingerprints(docs, words, numbers).write.parquet(path)
+    rows = spark.read.schema("doc_id long, key long, fp binary, node binary").parquet(path)
     roots = fingerprint_components(rows, size, positions, matches, bits)
-    alike = rows.groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("rows"))
+    alike = rows.groupBy("fp", "node", "doc_id", "key").agg(F.count(F.lit(1)).alias("rows"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "rows")).alias("first")
-    per_fp = alike.groupBy("fp").agg(first).join(roots, "fp")
-    per_fp.groupBy("root").agg(F.min("first").alias("first")).select(
+    per_node = alike.groupBy("fp", "node").agg(first).join(roots, "fp").select("node", "root", "first")
+    nodes_path, members_path = scratch_dir(spark, "set-nodes"), scratch_dir(spark, "set-members")
+    per_node.write.parquet(nodes_path)
+    nodes = spark.read.schema(per_node.schema).parquet(nodes_path)
+    groups = nodes.groupBy("root").count().where("count > 1").select(
+        F.col("root").alias("group"), F.ceil(F.col("count") / SET_ROWS).cast("int").alias("blocks")
+    )
+    members = nodes.join(groups, F.col("root") == F.col("group")).select("root", "node", "first.key", "first.doc_id", "first.rows", "blocks")
+    members.write.parquet(members_path)
+    stored = spark.read.schema(members.schema).parquet(members_path)
+    linked = components(verified_links(docs, stored, words, similarity)).select(F.col("node").alias("linked"), F.col("root").alias("head"))
+    of_node = nodes.join(linked, F.col("node") == F.col("linked"), "left").select(F.coalesce("head", "node").alias("head"), "first")
+    of_node.groupBy("head").agg(F.min("first").alias("first")).select(
         "first.key", "first.doc_id", "first.rows", F.lit(1).alias("copies")
     ).write.parquet(plan)
     return take_rows(docs, spark.read.parquet(plan))

@@ -121,6 +121,31 @@ def test_keep_one_of_each_group(spark):
     assert simhash.keep_one(docs.where("false")).count() == 0
 
 
+def test_a_shared_repeated_line_makes_no_near_copies(spark, monkeypatch):
+    """Only different shingles count, and each link is checked on them: own words stay, whatever repeats beside them."""
+    monkeypatch.setattr(simhash, "SET_ROWS", 2)
+    own = [" ".join(f"w{i}x{j}" for j in range(254)) for i in range(6)]
+    line = " ".join(f"line{j}" for j in range(12))
+    texts = [f"{o} " + " ".join([line] * 30) for o in own]
+    other_counts = [f"{own[i]} " + " ".join([line] * 3) for i in range(2)]  # copies but for the repeats
+    half = " ".join(own[0].split()[:180]) + " " + " ".join(f"new{j}" for j in range(40))
+    kept = simhash.keep_one(documents(spark, texts + other_counts + [half]))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 8]
+
+
+def test_set_links_equal_brute_force():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(0, 40)).astype(np.uint64)) for _ in range(80)]
+    plain = [set(s.tolist()) for s in sets]
+    pairs = [
+        (a, b) for a in range(80) for b in range(a)
+        if plain[a] and plain[b] and 10 * len(plain[a] & plain[b]) >= 7 * len(plain[a] | plain[b])
+    ]
+    links = simhash.set_links([s for s in sets], 0.7)
+    want, got = components_of(80, pairs), components_of(80, [l for l in links if plain[l[0]]])
+    assert all((want[a] == want[b]) == (got[a] == got[b]) for a in range(80) for b in range(a))
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(200, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
