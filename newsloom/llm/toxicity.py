@@ -18,11 +18,10 @@ from newsloom.session import scratch_dir
 
 #: Labelled documents that the models are fitted on, about: a sample by a hash of the id. Everything else covers all data.
 TRAIN_ROWS = 20_000
-#: Words that are features: those in at least MIN_SHARE of the sample's documents (and in MIN_DOCS), since a rarer word says
-#: more about the sample than about its category. There are at most VOCABULARY, the most frequent ones if they are more.
-MIN_SHARE = 0.003
+#: Words that are features: those in at least MIN_DOCS documents of the sample, whatever its size; which of them count is left
+#: to the penalty. There are at most VOCABULARY, the most frequent ones if they are more.
 MIN_DOCS = 3
-VOCABULARY = 1 << 16
+VOCABULARY = 1 << 20
 STEM_CHARS = 5
 FOLDS = 2
 ITERATIONS = 20
@@ -97,7 +96,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     """A chain over `categories` (name to a 0/1 column of `labels`, in the order of the chain).
 
     Labels without an id or a category are left out; an id that is labelled several times has a category if any of its rows has. Documents
-    without text count as empty. Without any labelled document the chain has probability 0 everywhere.
+    without text count as empty. Without any labelled document the chain has probability 0 everywhere; if no word is in
+    MIN_DOCS of them, it is the share of the category.
     """
     spark = docs.sparkSession
     names = list(categories)
@@ -113,13 +113,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     )
     sample.write.parquet(path)
     stored = spark.read.schema(sample.schema).parquet(path)
-    if stored.select(F.explode("words")).isEmpty():
-        return Chain(None, [Link(n, None) for n in names])
-    docs_with = stored.where(F.size("words") > 0)
-    number = docs_with.count()
-    minimum = max(MIN_DOCS, int(MIN_SHARE * number)) if number >= 10 * MIN_DOCS else 1
+    often = stored.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= MIN_DOCS)
+    if often.isEmpty():
+        # Nothing to fit: the share of the category, so that the majority decides.
+        got = stored.agg(*(F.avg(n).alias(n) for n in names)).first()
+        return Chain(None, [Link(n, None, got[n] or 0.0) for n in names])
     vectoriser = CountVectorizer(
-        inputCol="words", outputCol="vector", vocabSize=VOCABULARY, minDF=minimum
+        inputCol="words", outputCol="vector", vocabSize=VOCABULARY, minDF=MIN_DOCS
     ).fit(stored)
     rows = vectoriser.transform(stored).drop("words")
     chain, earlier = Chain(vectoriser), []

@@ -75,6 +75,29 @@ def test_toxic_documents_go_and_columns_stay(spark, scored):
     assert clean <= set(ids) and len(set(ids) - clean) <= 3
 
 
+def test_words_of_a_rare_category_stay_features(spark):
+    """1 % are toxic and each of their words is in 0.2 % of the labelled documents."""
+    rng, n = np.random.default_rng(8), 3_600
+    common = [f"plain{i}" for i in range(200)]
+    bad = [f"vile{c}{c}{c}" for c in "abcdefghij"]
+    texts = [" ".join(rng.choice(common, 12)) for _ in range(n)]
+    for at, i in enumerate(range(0, n, 100)):
+        texts[i] += f" {bad[at % 10]} {bad[(at * 3 + 1) % 10]}"
+    labels = [(i, 1, int(i % 100 == 0)) for i in range(n) if i % 300]  # a third of the toxic ones is held out
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    chain = toxicity.label_chain(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert sum(w.startswith("vile") and not w.endswith("*") for w in chain.vectoriser.vocabulary) == len(bad)
+    said = {r.doc_id for r in toxicity.score(docs, chain).where("toxic = 1").select("row.doc_id").collect()}
+    toxic = set(range(0, n, 100))
+    assert len(said & toxic) >= 0.9 * len(toxic) and len(said - toxic) <= 3
+
+
+def test_few_labelled_documents_without_a_frequent_word(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert {(r.p_toxic, r.toxic, r.p_low_quality) for r in toxicity.toxicity(docs, labels).collect()} == {(1.0, 1, 0.0)}
+
+
 def test_whole_pipeline(spark, tmp_path):
     texts, labels = labelled(spark)
     texts = texts + AWKWARD + [texts[1], texts[2] + " end"]
