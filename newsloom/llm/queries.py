@@ -39,7 +39,7 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_dir(spark, "token-files")
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     docs, pattern = read(spark, folder, "documents"), public_tokenizers.PATTERN
-    token_files.write_token_files(docs, path, tokenizer, pattern, splits_at_space=True)
+    token_files.write_token_files(docs, path, tokenizer, pattern, splits_at_space=True, added_tokens=True)
     return token_files.token_digests(spark, path)
 
 

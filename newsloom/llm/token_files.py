@@ -36,40 +36,52 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(others)}
 
 
-def library_encoder(path: str, pattern: str, remembered: int, splits_at_space: bool) -> PieceEncoder:
+class LibraryEncoder:
     """Encodes whole texts by a tokenizer of the tokenizers library with a byte-level pre-tokenizer of that pattern.
 
     Its pre-tokens are encoded independently of each other, so the library's model encodes each different one once and its
-    ids are remembered. Names of special tokens inside a text are ordinary text.
+    ids are remembered. Names of added tokens inside a text are ordinary text, or with `added_tokens` what the library makes
+    of them: it then encodes the texts that hold one.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenize, letters = Tokenizer.from_file(path).model.tokenize, byte_letters()
+    def __init__(self, path: str, pattern: str, remembered: int, splits_at_space: bool, added_tokens: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def encode_piece(piece: str) -> bytes:
-        found = tokenize(piece.encode("utf-8").decode("latin-1").translate(letters))
-        return struct.pack("<%dI" % len(found), *[token.id for token in found])
+        self.library = Tokenizer.from_file(path)
+        tokenize, letters = self.library.model.tokenize, byte_letters()
+        added = self.library.get_added_tokens_decoder().values() if added_tokens else ()
+        self.names = [token.content for token in added]
 
-    return PieceEncoder(pattern, encode_piece, remembered, splits_at_space)
+        def encode_piece(piece: str) -> bytes:
+            found = tokenize(piece.encode("utf-8").decode("latin-1").translate(letters))
+            return struct.pack("<%dI" % len(found), *[token.id for token in found])
+
+        self.pieces = PieceEncoder(pattern, encode_piece, remembered, splits_at_space)
+
+    def encode(self, text: str) -> bytes:
+        if any(name in text for name in self.names):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.pieces.encode(text)
 
 
 #: The encoder of this Python worker, which serves many tasks and keeps what it remembers between them.
-_ENCODERS: dict[tuple, PieceEncoder] = {}
+_ENCODERS: dict[tuple, LibraryEncoder] = {}
 
 
-def worker_encoder(*options) -> PieceEncoder:
+def worker_encoder(*options) -> LibraryEncoder:
     if options not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[options] = library_encoder(*options)
+        _ENCODERS[options] = LibraryEncoder(*options)
     return _ENCODERS[options]
 
 
 def write_token_files(
     docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = 0, remembered: int = REMEMBERED,
-    splits_at_space: bool = False,
+    splits_at_space: bool = False, added_tokens: bool = False,
 ) -> None:
-    """Encode every whole text, append `end_id` and write the ids under `path`.
+    """Encode every whole text, append `end_id` and write the ids under `path`. With `added_tokens` the names of the
+    tokenizer's added tokens are those tokens, as in the library's `encode`; without, they are ordinary text.
 
     Documents are dealt out by ranges of doc_id (rows of one id by their text, so that a frequent id makes no large
     range) and sorted within; null ids come first, equal ids follow their texts. A null text is empty: it has the end id
@@ -77,7 +89,8 @@ def write_token_files(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = worker_encoder(tokenizer_path, pattern, remembered, splits_at_space), np.array([end_id], "<u4").tobytes()
+        encoder = worker_encoder(tokenizer_path, pattern, remembered, splits_at_space, added_tokens)
+        end = np.array([end_id], "<u4").tobytes()
         part, written = TaskContext.get().partitionId(), 0
         for batch in batches:
             encoded = [encoder.encode((t.as_py() or b"").decode("utf-8", "replace")) + end for t in batch.column(1)]

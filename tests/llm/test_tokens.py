@@ -12,7 +12,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from llm.common import AWKWARD, documents, prose
-from newsloom.llm import bpe, token_files
+from newsloom.llm import bpe, queries, token_files
 
 RANKS = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
 TIKTOKEN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -103,3 +103,17 @@ def test_token_files_read_back(spark, tmp_path):
     found = token_files.read_token_files(spark, path, [105, 999])
     assert [list(r.ids) for r in found.collect()] == [encoded[order.index(105)]]
     assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString()
+
+
+def test_query_equals_the_unmodified_library(spark, tmp_path):
+    names = ["hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext| >", "<|ENDOFTEXT|>"]
+    texts = [*names, *AWKWARD, *prose(3, 10)]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    library, start = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0
+    rows = sorted(queries.op3_token_files(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        start += len(want)
+    assert 50_256 in library.encode(names[0], add_special_tokens=False).ids
