@@ -44,7 +44,8 @@ def _lists(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]
     matrix = np.zeros((len(column), width))
     if has.any():
         flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        matrix[has] = flat.reshape(has.sum(), -1)
+        if len(flat):
+            matrix[has] = flat.reshape(has.sum(), -1)
     return matrix, has
 
 
@@ -69,6 +70,26 @@ class Candidates:
         self.popularity = to_ids(table["popularity"]).astype(float)
 
 
+def _list_column(column: pa.ChunkedArray) -> pa.ListArray:
+    column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return column
+
+
+def _places(column: pa.ChunkedArray, cand: Candidates, field: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and candidates of the ids in a list column, and which of the flattened ids are candidates."""
+    lists = _list_column(column)
+    counts = np.asarray(lists.value_lengths().fill_null(0))
+    rows, flat = np.repeat(np.arange(len(lists)), counts), lists.flatten()
+    flat = (flat.field(field) if field else flat).to_numpy(zero_copy_only=False)
+    if not len(cand.ids) or not len(flat):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(len(flat), bool)
+    cols = np.minimum(np.searchsorted(cand.ids, flat), len(cand.ids) - 1)
+    hit = cand.ids[cols] == flat
+    return rows[hit], cols[hit], hit
+
+
 def _padded(m: np.ndarray, width: int) -> np.ndarray:
     return m if m.shape[1] == width else np.zeros((len(m), width))
 
@@ -94,16 +115,13 @@ class Users:
             "topic_fit": np.round(pref[:, cand.topic], PLACES),
         }
         self.unseen = np.ones((n, m), dtype=bool)
-        seen = table["seen"].combine_chunks()
-        if isinstance(seen, pa.ChunkedArray):
-            seen = pa.concat_arrays(seen.chunks) if seen.num_chunks else pa.array([], seen.type)
-        counts = np.asarray(seen.value_lengths().fill_null(0))
-        rows = np.repeat(np.arange(n), counts)
-        flat = seen.flatten().to_numpy(zero_copy_only=False)
-        if m and len(flat):
-            cols = np.minimum(np.searchsorted(cand.ids, flat), m - 1)
-            hit = cand.ids[cols] == flat
-            self.unseen[rows[hit], cols[hit]] = False
+        rows, cols, _ = _places(table["seen"], cand)
+        self.unseen[rows, cols] = False
+        if "near" in table.column_names:
+            rows, cols, hit = _places(table["near"], cand, "article_id")
+            value = _list_column(table["near"]).flatten().field("collab").to_numpy(zero_copy_only=False)
+            collab = self.parts["collab"]
+            collab[rows, cols] = np.where(np.isnan(collab[rows, cols]), np.nan, value[hit])
 
     def ranges(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         out = {}
@@ -196,19 +214,21 @@ def score_feeds(
     per_topic: int = 0,
     article_block: int = ARTICLE_BLOCK,
     user_block: int = USER_BLOCK,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of SCORED that a feed of n articles with `per_topic` per topic can use.
 
     users: (user_id, profile, factor, prefs, weights), arrays may be null; candidates: (article_id,
-    vector, factor, topic_index, popularity); seen: (user_id, article_id) pairs to leave out.
+    vector, factor, topic_index, popularity); seen: (user_id, article_id) pairs to leave out; near: (user_id, article_id,
+    collab), the collaborative part where it is not the product of factors (pairs without a row keep that).
     Both forms return the same rows.
     """
     width = lambda c: F.coalesce(F.max(F.size(c)), F.lit(0))
     size = candidates.agg(F.count(F.lit(1)).alias("n"), (width("vector") + width("factor")).alias("width")).first()
     article_block = min(article_block, max(1, BROADCAST_BYTES // (size["width"] * 8 + ROW_BYTES)))
     if size["n"] <= article_block:
-        return _score_streamed(users, candidates, seen, n, per_topic)
-    scored = _score_grid(users, candidates, seen, n, per_topic, -(-size["n"] // article_block), user_block)
+        return _score_streamed(users, candidates, seen, near, n, per_topic)
+    scored = _score_grid(users, candidates, seen, near, n, per_topic, -(-size["n"] // article_block), user_block)
     rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "article_id"))
     used = rank("user_id") <= n
     if per_topic:
@@ -216,14 +236,21 @@ def score_feeds(
     return scored.withColumn("_used", used).where("_used").drop("_used")
 
 
-def _score_streamed(users, candidates, seen, n, per_topic) -> DataFrame:
+def _per_user(seen, near, candidates, *keys) -> DataFrame:
+    """The candidates that a user has seen, and those with a value of their own. At most one entry per candidate, so
+    the arrays have a bound however active the user is."""
+    known = candidates.select("article_id", *keys[1:])
+    mine = seen.join(known, "article_id").groupBy(*keys).agg(F.collect_set("article_id").alias("seen"))
+    if near is None:
+        return mine
+    item = F.struct("article_id", "collab")
+    values = near.join(known, "article_id").groupBy(*keys).agg(F.collect_list(item).alias("near"))
+    return mine.join(values, list(keys), "full")
+
+
+def _score_streamed(users, candidates, seen, near, n, per_topic) -> DataFrame:
     block = candidates.sparkSession.sparkContext.broadcast(candidates.toArrow())
-    # At most one entry per candidate, so the array has a bound however active the user is.
-    mine = (
-        seen.join(candidates.select("article_id"), "article_id", "left_semi")
-        .groupBy("user_id")
-        .agg(F.collect_set("article_id").alias("seen"))
-    )
+    mine = _per_user(seen, near, candidates, "user_id")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cand = Candidates(block.value)
@@ -234,15 +261,9 @@ def _score_streamed(users, candidates, seen, n, per_topic) -> DataFrame:
     return users.join(mine, "user_id", "left").mapInArrow(task, SCORED)
 
 
-def _score_grid(users, candidates, seen, n, per_topic, article_blocks: int, user_block: int) -> DataFrame:
-    ab = F.pmod(F.xxhash64("article_id"), F.lit(article_blocks)).cast("int").alias("ab")
-    known = candidates.select("article_id")
-    mine = (
-        seen.join(known, "article_id", "left_semi")
-        .select("user_id", "article_id", ab)
-        .groupBy("user_id", "ab")
-        .agg(F.collect_set("article_id").alias("seen"))
-    )
+def _score_grid(users, candidates, seen, near, n, per_topic, article_blocks: int, user_block: int) -> DataFrame:
+    ab = F.pmod(F.xxhash64("article_id"), F.lit(article_blocks)).cast("int")
+    mine = _per_user(seen, near, candidates.withColumn("ab", ab), "user_id", "ab")
     user_blocks = users.agg(F.greatest(F.ceil(F.count(F.lit(1)) / user_block), F.lit(1)).cast("int")).scalar()
     ub = F.pmod(F.xxhash64("user_id"), F.col("_n"))
     spread = (
@@ -253,7 +274,7 @@ def _score_grid(users, candidates, seen, n, per_topic, article_blocks: int, user
         .drop("_n")
     )
     blocks = (
-        candidates.select("*", ab)
+        candidates.withColumn("ab", ab)
         .withColumn("_n", user_blocks)
         .withColumn("ub", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
         .drop("_n")

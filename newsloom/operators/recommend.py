@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from newsloom.functions.cooccurrence import item_neighbours, neighbour_scores
 from newsloom.functions.feedblocks import score_feeds
 from newsloom.functions.scale import minmax, r6
 from newsloom.functions.topk import top_k
 from newsloom.schemas import TOPICS
 from newsloom.session import set_checkpoint_dir
+from newsloom.sources.tables import materialize
 
 # Weights of content, collaborative, topic and popularity signals.
 WEIGHTS = (0.35, 0.35, 0.20, 0.10)
@@ -19,6 +23,8 @@ FEED_SIZE = 20
 MIN_PER_TOPIC = 2
 HALF_LIFE_DAYS = 7.0
 SKETCH_DIM = 64
+#: Neighbours that an article keeps.
+NEIGHBOURS = 50
 
 
 def seconds(ts: Column) -> Column:
@@ -197,6 +203,35 @@ def sketch_factors(matrix: DataFrame, dim: int = SKETCH_DIM) -> tuple[DataFrame,
     return users.select("user_id", vector_to_array("_s").alias("factor")), items
 
 
+@dataclass(frozen=True)
+class Collaborative:
+    """The collaborative part of a feed: dense factors of users and articles, or values of (user, article) pairs.
+
+    With `near` the factors are empty arrays that only say who has clicks; a pair of a user and an article with clicks that has no row
+    there has the value 0.
+    """
+
+    users: DataFrame
+    articles: DataFrame
+    near: DataFrame | None = None
+
+
+def als_collaborative(matrix: DataFrame, **als) -> Collaborative:
+    return Collaborative(*als_factors(matrix, **als))
+
+
+def neighbour_collaborative(matrix: DataFrame, k: int = NEIGHBOURS, **options) -> Collaborative:
+    """Item-item cosine on clicks: an article's value is the sum of its cosines to the clicked articles that have it among
+    their k best neighbours. Exact; see `item_neighbours`."""
+    none = F.array().cast("array<double>").alias("factor")
+    stored = materialize(item_neighbours(matrix, k, **options), "item-neighbours")
+    return Collaborative(
+        matrix.select("user_id").distinct().select("user_id", none),
+        matrix.select("article_id").distinct().select("article_id", none),
+        neighbour_scores(matrix, stored),
+    )
+
+
 # --- ensemble --------------------------------------------------------------------------------
 
 
@@ -216,7 +251,7 @@ def ensemble_scores(
     interactions: DataFrame,
     articles: DataFrame,
     vectors: DataFrame,
-    factors: tuple[DataFrame, DataFrame],
+    collaborative: Collaborative,
     n: int = FEED_SIZE,
     per_topic: int = 0,
     weights: Column | None = None,
@@ -226,7 +261,6 @@ def ensemble_scores(
 
     content, collab and topic_fit are min-max scaled over the user's unread candidates.
     """
-    user_factors, article_factors = factors
     prefs = user_topic_prefs(interactions, articles).groupBy("user_id").agg(
         F.array(*[F.max(F.when(F.col("topic") == TOPICS[t], F.col("pref"))) for t in sorted(TOPICS)]).alias("prefs")
     )
@@ -234,13 +268,13 @@ def ensemble_scores(
         interactions.select("user_id")
         .distinct()
         .join(user_profile_embedding(interactions, vectors).drop("likes"), "user_id", "left")
-        .join(user_factors, "user_id", "left")
+        .join(collaborative.users, "user_id", "left")
         .join(prefs, "user_id", "left")
         .withColumn("weights", F.array(*[F.lit(w) for w in WEIGHTS]) if weights is None else weights)
     )
     candidates = (
         popularity(candidate_articles(articles, vectors), interactions)
-        .join(article_factors, "article_id", "left")
+        .join(collaborative.articles, "article_id", "left")
         .select(
             "article_id",
             F.col("embedding").cast("array<double>").alias("vector"),
@@ -249,7 +283,7 @@ def ensemble_scores(
             "popularity",
         )
     )
-    return score_feeds(users, candidates, read_pairs(interactions), n, per_topic, **options)
+    return score_feeds(users, candidates, read_pairs(interactions), n, per_topic, near=collaborative.near, **options)
 
 
 def best_first(partition: str = "user_id") -> WindowSpec:
@@ -278,9 +312,9 @@ def diversify(scored: DataFrame, n: int = FEED_SIZE, per_topic: int = MIN_PER_TO
     return picked.withColumn("rank", F.row_number().over(best_first()))
 
 
-def feed(interactions, articles, vectors, factors, n: int = FEED_SIZE, per_topic: int = MIN_PER_TOPIC, **options):
+def feed(interactions, articles, vectors, collaborative: Collaborative, n: int = FEED_SIZE, per_topic: int = MIN_PER_TOPIC, **options):
     """Personal feed of every active user: ensemble, unread only, diversified."""
-    scored = ensemble_scores(interactions, articles, vectors, factors, n, per_topic, **options)
+    scored = ensemble_scores(interactions, articles, vectors, collaborative, n, per_topic, **options)
     return diversify(scored, n, per_topic)
 
 

@@ -8,7 +8,7 @@ from newsloom.operators import metrics as K
 from newsloom.plans.articles import compacted
 from newsloom.plans.interactions import accepted
 from newsloom.plans.processing import processed
-from newsloom.plans.recommend import sketch_feed
+from newsloom.plans.recommend import neighbour_feed
 from newsloom.plans.registry import CTES, query
 from newsloom.sources import tables as S, views as V
 
@@ -72,7 +72,7 @@ SELECT count(DISTINCT article_id) AS recommended, (SELECT count(*) FROM articles
 """,
 )
 def catalog_coverage(spark, d) -> DataFrame:
-    return K.catalog_coverage(sketch_feed(spark, d), V.articles(spark, d))
+    return K.catalog_coverage(neighbour_feed(spark, d), V.articles(spark, d))
 
 
 @query(
@@ -83,7 +83,7 @@ FROM (SELECT user_id, topic, count(*) AS n FROM feeds GROUP BY 1, 2) GROUP BY 1
 """,
 )
 def rec_diversity(spark, d) -> DataFrame:
-    return K.rec_diversity(sketch_feed(spark, d))
+    return K.rec_diversity(neighbour_feed(spark, d))
 
 
 @query(
@@ -95,7 +95,7 @@ FROM (SELECT x, row_number() OVER (ORDER BY x) AS r FROM (SELECT count(*) AS x F
 """,
 )
 def exposure_gini(spark, d) -> DataFrame:
-    return K.exposure_gini(sketch_feed(spark, d))
+    return K.exposure_gini(neighbour_feed(spark, d))
 
 
 @query(

@@ -50,14 +50,25 @@ SELECT article_id, dim, sum(sign)::double / sqrt(any_value(n)::double) AS v FROM
     CASE WHEN cast(('0x' || substr(h, 9, 1)) AS bigint) % 2 = 0 THEN 1 ELSE -1 END AS sign
   FROM (SELECT article_id, md5(cast(user_id AS varchar)) AS h FROM clicked)) GROUP BY 1, 2
 """
-CTES["user_sketch"] = """
-SELECT user_id, dim, sum(v) AS v FROM clicked c JOIN item_sketch s ON s.article_id = c.article_id GROUP BY 1, 2
+CTES["co_clicks"] = """
+SELECT a.article_id, b.article_id AS neighbour_id, count(*) AS co, any_value(a.n) AS n, any_value(b.n) AS m
+FROM (SELECT *, count(*) OVER (PARTITION BY article_id) AS n FROM clicked) a
+JOIN (SELECT *, count(*) OVER (PARTITION BY article_id) AS n FROM clicked) b
+  ON a.user_id = b.user_id AND a.article_id <> b.article_id GROUP BY 1, 2
+"""
+CTES["neighbours"] = """
+SELECT * FROM (SELECT *, cast(row_number() OVER (PARTITION BY article_id ORDER BY cosine DESC, neighbour_id) AS int) AS rank
+  FROM (SELECT *, round(co / sqrt((n * m)::double), 6) AS cosine FROM co_clicks)) WHERE rank <= 50
+"""
+CTES["collab_sums"] = """
+SELECT user_id, article_id, round(sum(cosine), 6) AS s FROM (
+  SELECT user_id, neighbour_id AS article_id, cosine FROM clicked c JOIN neighbours b ON b.article_id = c.article_id
+  UNION ALL SELECT user_id, article_id, 1.0::double FROM clicked) GROUP BY 1, 2
 """
 CTES["collab_pairs"] = """
-SELECT u.user_id, i.article_id, round(coalesce(any_value(s), 0.0), 6) AS collab
+SELECT u.user_id, i.article_id, coalesce(s, 0.0) AS collab
 FROM (SELECT DISTINCT user_id FROM clicked) u CROSS JOIN (SELECT DISTINCT article_id FROM clicked) i
-LEFT JOIN (SELECT user_id, article_id, sum(x.v * y.v) AS s FROM user_sketch x JOIN item_sketch y ON x.dim = y.dim
-  GROUP BY 1, 2) p ON p.user_id = u.user_id AND p.article_id = i.article_id GROUP BY 1, 2
+LEFT JOIN collab_sums p ON p.user_id = u.user_id AND p.article_id = i.article_id
 """
 CTES["read_pairs"] = "SELECT DISTINCT user_id, article_id FROM interactions WHERE interaction_type = 'read'"
 CTES["raw_scores"] = f"""
@@ -98,15 +109,15 @@ def inputs(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return S.materialize(compacted(spark, d), "interactions"), V.articles(spark, d), V.vectors(spark, d)
 
 
-def sketch_feed(spark, d) -> DataFrame:
-    """The feed with the sketched item-item factors, which SQL can reproduce."""
+def neighbour_feed(spark, d) -> DataFrame:
+    """The feed with item-item cosine, which SQL can reproduce."""
     i, a, v = inputs(spark, d)
-    return H.feed(i, a, v, H.sketch_factors(H.user_item_matrix(i)))
+    return H.feed(i, a, v, H.neighbour_collaborative(H.user_item_matrix(i)))
 
 
-def sketch_scores(spark, d, n: int = H.FEED_SIZE, per_topic: int = 0, **options) -> DataFrame:
+def neighbour_ensemble(spark, d, n: int = H.FEED_SIZE, per_topic: int = 0, **options) -> DataFrame:
     i, a, v = inputs(spark, d)
-    return H.ensemble_scores(i, a, v, H.sketch_factors(H.user_item_matrix(i)), n, per_topic, **options)
+    return H.ensemble_scores(i, a, v, H.neighbour_collaborative(H.user_item_matrix(i)), n, per_topic, **options)
 
 
 @query("user_topic_prefs", "SELECT user_id, topic, reads, pref FROM topic_prefs")
@@ -184,6 +195,21 @@ def sketch_factors(spark, d) -> DataFrame:
     )
 
 
+@query(
+    "item_neighbours",
+    "SELECT article_id, neighbour_id, co AS both, cosine, rank FROM neighbours",
+)
+def item_neighbours(spark, d) -> DataFrame:
+    return H.item_neighbours(H.user_item_matrix(compacted(spark, d)), H.NEIGHBOURS)
+
+
+@query("neighbour_scores", "SELECT user_id, article_id, s AS collab FROM collab_sums")
+def neighbour_scores(spark, d) -> DataFrame:
+    """The collaborative value of every (user, article) pair that has one."""
+    matrix = H.user_item_matrix(S.materialize(compacted(spark, d), "interactions"))
+    return H.neighbour_scores(matrix, H.item_neighbours(matrix, H.NEIGHBOURS))
+
+
 @query("als_scores")
 def als_scores(spark, d) -> DataFrame:
     i, a, v = inputs(spark, d)
@@ -229,7 +255,7 @@ def popularity_scores(spark, d) -> DataFrame:
 
 @query("ensemble_scores", f"SELECT * FROM (SELECT *, cast({TOP} AS int) AS rank FROM ensemble) WHERE rank <= 20")
 def ensemble_scores(spark, d) -> DataFrame:
-    return H.top_n(sketch_scores(spark, d))
+    return H.top_n(neighbour_ensemble(spark, d))
 
 
 @query(
@@ -238,7 +264,7 @@ def ensemble_scores(spark, d) -> DataFrame:
 )
 def ensemble_scores_grid(spark, d) -> DataFrame:
     """The same in the layout for candidate sets that do not fit one block."""
-    return H.top_n(sketch_scores(spark, d, article_block=150, user_block=50))
+    return H.top_n(neighbour_ensemble(spark, d, article_block=150, user_block=50))
 
 
 @query(
@@ -255,20 +281,20 @@ def exclude_read(spark, d) -> DataFrame:
 
 @query("diversify_min2", "SELECT user_id, article_id, topic, score, rank FROM feeds")
 def diversify_min2(spark, d) -> DataFrame:
-    scored = sketch_scores(spark, d, H.FEED_SIZE, H.MIN_PER_TOPIC)
+    scored = neighbour_ensemble(spark, d, H.FEED_SIZE, H.MIN_PER_TOPIC)
     return H.diversify(scored).select("user_id", "article_id", "topic", "score", "rank")
 
 
 @query("feed", "SELECT * FROM feeds")
 def feed(spark, d) -> DataFrame:
-    return sketch_feed(spark, d)
+    return neighbour_feed(spark, d)
 
 
 @query("feed_als")
 def feed_als(spark, d) -> DataFrame:
     """The feed with matrix factorisation as its collaborative part."""
     i, a, v = inputs(spark, d)
-    return H.feed(i, a, v, H.als_factors(H.user_item_matrix(i)))
+    return H.feed(i, a, v, H.als_collaborative(H.user_item_matrix(i)))
 
 
 @query(
@@ -295,7 +321,7 @@ FROM feeds, clock
 def feed_cache(spark, d) -> DataFrame:
     """Two stored generations, one of them expired, read as of the newest interaction."""
     i, a, v = inputs(spark, d)
-    feeds = H.feed(i, a, v, H.sketch_factors(H.user_item_matrix(i)))
+    feeds = H.feed(i, a, v, H.neighbour_collaborative(H.user_item_matrix(i)))
     made = S.materialize(feeds.select("user_id", "article_id", "rank"), "feeds")
     as_of = i.agg(F.max("ts")).scalar()
     ago = lambda minutes: H.cached_feed(made.withColumn("_t", as_of), F.col("_t") - F.expr(f"INTERVAL {minutes} MINUTES"))
@@ -332,7 +358,7 @@ QUALIFY rank <= 20
 )
 def ensemble_ab_feeds(spark, d) -> DataFrame:
     """Top lists where the user's variant picks the weights."""
-    scored = sketch_scores(spark, d, weights=H.ab_weights())
+    scored = neighbour_ensemble(spark, d, weights=H.ab_weights())
     return H.top_n(scored).select("user_id", "article_id", "score", "rank")
 
 
@@ -346,4 +372,4 @@ SELECT user_id, article_id, rank, CASE greatest(a, b, c, e) WHEN a THEN 'content
 """,
 )
 def explain_top_signal(spark, d) -> DataFrame:
-    return H.explain_top_signal(sketch_feed(spark, d)).select("user_id", "article_id", "rank", "signal", "share")
+    return H.explain_top_signal(neighbour_feed(spark, d)).select("user_id", "article_id", "rank", "signal", "share")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.functions import cooccurrence
 from newsloom.functions.feedblocks import score_feeds
 from newsloom.operators import recommend as H
 from newsloom.plans import recommend as P
@@ -93,6 +94,64 @@ def test_sketch_tracks_co_click_cosine(spark):
     assert y[0] @ y[1] > 0.8 > 0.4 > y[0] @ y[2]
 
 
+def clicks_with_hot_keys():
+    """User 0 clicks everything and everyone clicks article 0; the rest is random, with some nulls and lone clicks."""
+    rng = np.random.default_rng(5)
+    pairs = {(0, a) for a in range(60)} | {(u, 0) for u in range(80)}
+    pairs |= {(int(u), int(a)) for u, a in zip(rng.integers(1, 80, 400), rng.zipf(1.4, 400) % 60)} | {(500, 500), (2**40, 2**41), (2**40, 3)}
+    return sorted(pairs)
+
+
+@pytest.mark.parametrize("options", [{}, {"cell_entries": 40, "segment": 7}])
+def test_item_neighbours_equal_brute_force(spark, monkeypatch, options):
+    monkeypatch.setattr(cooccurrence, "PAIRS_AT_ONCE", 50)
+    pairs = clicks_with_hot_keys()
+    users = {}
+    for u, a in pairs:
+        users.setdefault(a, set()).add(u)
+    rows = [(u, a, 1) for u, a in pairs] + [(None, 3, 1), (4, None, 2)]
+    m = spark.createDataFrame(rows, "user_id bigint, article_id bigint, clicks bigint").repartition(3)
+    want = set()
+    for a, x in users.items():
+        found = [(-round(len(x & y) / (len(x) * len(y)) ** 0.5, 6), b, len(x & y)) for b, y in users.items() if b != a and x & y]
+        want |= {(a, b, n, -c, rank) for rank, (c, b, n) in enumerate(sorted(found)[:5], 1)}
+    got = H.item_neighbours(m, 5, **options)
+    assert {tuple(r) for r in got.collect()} == want
+    near, value = {(a, b): c for a, b, _, c, _ in want}, {}
+    for u, a in pairs:
+        value[u, a] = value.get((u, a), 0) + 1
+        for (x, b), c in near.items():
+            if x == a:
+                value[u, b] = value.get((u, b), 0) + c
+    got = {(r.user_id, r.article_id): r.collab for r in H.neighbour_scores(m, got).collect()}
+    assert got.keys() == value.keys() and all(abs(got[k] - v) < 2e-6 for k, v in value.items())
+    assert H.item_neighbours(m.where("false"), 5).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"article_block": 20, "user_block": 4}])
+def test_values_of_pairs_take_the_place_of_factors(spark, options):
+    """A pair without a value is 0 where both sides have clicks, and missing elsewhere."""
+    none = F.array().cast("array<double>")
+    users, candidates, seen = frames(spark)
+    users = users.withColumn("factor", F.when(F.col("user_id") % 3 > 0, none))
+    candidates = candidates.withColumn("factor", F.when(F.col("article_id") % 5 > 0, none))
+    near = users.select("user_id").crossJoin(candidates.select("article_id")).where("(user_id * 7 + article_id) % 4 = 0").withColumn(
+        "collab", ((F.col("user_id") * 31 + F.col("article_id") * 17) % 11).cast("double")
+    )
+    dense = {(r.user_id, r.article_id): r.collab for r in near.collect()}
+    scored = score_feeds(users, candidates, seen, 60, near=near, **options).collect()
+    by_user = {}
+    for r in scored:
+        clicked = r.user_id % 3 > 0 and r.article_id % 5 > 0
+        by_user.setdefault(r.user_id, []).append((dense.get((r.user_id, r.article_id), 0.0) if clicked else None, r.collab))
+    assert by_user
+    for rows in by_user.values():
+        raw = [x for x, _ in rows if x is not None]
+        low, high = min(raw, default=0.0), max(raw, default=0.0)
+        for x, scaled in rows:
+            assert abs(scaled - (0.0 if x is None else 1.0 if high == low else (x - low) / (high - low))) < 2e-6
+
+
 def test_cache_returns_newest_valid_generation(spark):
     t = dt.datetime(2024, 1, 1, 12)
     feeds = spark.createDataFrame([(1, 5), (2, 6)], "user_id bigint, article_id bigint")
