@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,10 +18,10 @@ from newsloom.session import scratch_dir
 
 #: Labelled documents that the models are fitted on, about: a sample by a hash of the id. Everything else covers all data.
 TRAIN_ROWS = 20_000
-#: Words that are features: those in at least MIN_DOCS documents of the sample, whatever its size; which of them count is left
-#: to the penalty. There are at most VOCABULARY, the most frequent ones if they are more.
+#: Words in fewer documents of the sample are no features, whatever its size. Which of the others count is left to the penalty.
 MIN_DOCS = 3
-VOCABULARY = 1 << 20
+#: How often the words that the penalty left out are checked against the fitted models, and those that it would let in added.
+CHECKS = 1
 STEM_CHARS = 5
 FOLDS = 2
 ITERATIONS = 20
@@ -60,6 +60,10 @@ class Chain:
     links: list[Link] = field(default_factory=list)
 
 
+def _penalty(rarer: float) -> float:
+    return REGULARISATION / rarer**0.5
+
+
 def _fit(rows: DataFrame, label: str) -> tuple[LogisticRegressionModel | None, float]:
     seen = rows.groupBy(label).count().collect()  # at most two rows
     total = sum(r["count"] for r in seen)
@@ -69,10 +73,9 @@ def _fit(rows: DataFrame, label: str) -> tuple[LogisticRegressionModel | None, f
     weight = {r[label]: total / (2.0 * r["count"]) for r in seen}
     rows = rows.withColumn("weight", F.when(F.col(label) == 1, weight[1.0]).otherwise(weight[0.0]))
     model = LogisticRegression(
-        featuresCol="features", labelCol=label, weightCol="weight", maxIter=ITERATIONS, regParam=REGULARISATION / min(r["count"] for r in seen) ** 0.5,
-        elasticNetParam=1.0,
-        probabilityCol="probability",
-        rawPredictionCol="raw", predictionCol="prediction",
+        featuresCol="features", labelCol=label, weightCol="weight", maxIter=ITERATIONS,
+        regParam=_penalty(min(r["count"] for r in seen)), elasticNetParam=1.0,
+        probabilityCol="probability", rawPredictionCol="raw", predictionCol="prediction",
     ).fit(rows)
     return model, 0.0
 
@@ -92,12 +95,86 @@ def _with_features(rows: DataFrame, earlier: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=["vector", *earlier], outputCol="features").transform(rows)
 
 
+@dataclass
+class _Screen:
+    """What the choice of features needs of each fit: a fit is a category and the fold it leaves out (or None).
+
+    A word's coefficient is zero if the gradient of the loss by it, on the scale of its deviation, is within the penalty. The
+    gradient at the model without words is known from counts, so most words are left out before anything is fitted. After the
+    fit the gradients of the words left out are computed from the fitted probabilities, and words beyond the penalty come in.
+    """
+
+    names: list[str]
+    sizes: dict[tuple, tuple[float, float]]  # documents with and without the category
+
+    @staticmethod
+    def of(stored: DataFrame, names: list[str]) -> _Screen:
+        per_fold = {r["fold"]: r for r in stored.groupBy("fold").agg(F.count(F.lit(1)).alias("all"), *(F.sum(n).alias(n) for n in names)).collect()}
+        sizes = {}
+        for name in names:
+            for out in (None, *range(FOLDS)):
+                rows = [r for fold, r in per_fold.items() if fold != out]
+                having = float(sum(r[name] for r in rows))
+                sizes[name, out] = having, float(sum(r["all"] for r in rows)) - having
+        return _Screen(names, {fit: n for fit, n in sizes.items() if min(n) > 0})
+
+    def counts(self, stored: DataFrame) -> DataFrame:
+        """word with its documents: in each fold, and of each category in each fold."""
+        seen = stored.select("fold", *self.names, F.explode("words").alias("word"))
+        return seen.groupBy("word").agg(
+            F.count(F.lit(1)).alias("docs"),
+            *(F.count(F.when(F.col("fold") == f, 1)).alias(f"all_{f}") for f in range(FOLDS)),
+            *(F.sum(F.when(F.col("fold") == f, F.col(n)).otherwise(0.0)).alias(f"{n}_{f}") for n in self.names for f in range(FOLDS)),
+        ).where(F.col("docs") >= MIN_DOCS)
+
+    def share(self, fit: tuple) -> tuple[Column, Column]:
+        """A word's weighted shares of the documents with and without the category: both classes weigh a half."""
+        name, out = fit
+        folds = [f for f in range(FOLDS) if f != out]
+        having = sum((F.col(f"{name}_{f}") for f in folds), F.lit(0.0))
+        others = sum((F.col(f"all_{f}") for f in folds), F.lit(0)) - having
+        return having / (2 * self.sizes[fit][0]), others / (2 * self.sizes[fit][1])
+
+    def beyond(self, fit: tuple, gradient: Column) -> Column:
+        having, others = self.share(fit)
+        both = having + others
+        return F.abs(gradient) > _penalty(min(self.sizes[fit])) * F.sqrt(both * (1 - both))
+
+    def first(self) -> Column:
+        """Whether a word may have a coefficient in any fit, by the gradient at the model without words."""
+        return self._any({fit: 0.5 * (self.share(fit)[1] - self.share(fit)[0]) for fit in self.sizes})
+
+    def residual(self, fit: tuple, probability: Column) -> Column:
+        """A document's part of the gradient, in the weights of the fit."""
+        name, out = fit
+        having, others = self.sizes[fit]
+        weight = F.when(F.col(name) == 1, 1 / (2 * having)).otherwise(1 / (2 * others))
+        part = (probability - F.col(name)) * weight
+        return part if out is None else F.when(F.col("fold") != out, part).otherwise(0.0)
+
+    def _any(self, gradients: dict[tuple, Column]) -> Column:
+        found = F.lit(False)
+        for fit, gradient in gradients.items():
+            found = found | self.beyond(fit, gradient)
+        return found
+
+    def missed(self, counts: DataFrame, residuals: DataFrame, fits: list[tuple]) -> DataFrame:
+        """Words without a coefficient that should have one, from the documents' words and residuals r0, r1, ... of the fits."""
+        sums = residuals.select("words", *(f"r{i}" for i in range(len(fits)))).withColumn("word", F.explode("words"))
+        gradients = sums.groupBy("word").agg(*(F.sum(f"r{i}").alias(f"g{i}") for i in range(len(fits))))
+        return counts.where(~F.col("chosen")).join(gradients, "word").where(
+            self._any({fit: F.col(f"g{i}") for i, fit in enumerate(fits)})
+        ).select("word")
+
+
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], train_rows: int = TRAIN_ROWS) -> Chain:
     """A chain over `categories` (name to a 0/1 column of `labels`, in the order of the chain).
 
     Labels without an id or a category are left out; an id that is labelled several times has a category if any of its rows has. Documents
-    without text count as empty. Without any labelled document the chain has probability 0 everywhere; if no word is in
-    MIN_DOCS of them, it is the share of the category.
+    without text count as empty. Without any labelled document the chain has probability 0 everywhere; if no word can have a
+    coefficient, it is the share of the category.
+
+    Words are counted and screened by Spark; the driver gets those that pass (see _Screen), which are bounded by the sample.
     """
     spark = docs.sparkSession
     names = list(categories)
@@ -113,32 +190,58 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     )
     sample.write.parquet(path)
     stored = spark.read.schema(sample.schema).parquet(path)
-    often = stored.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= MIN_DOCS)
-    if often.isEmpty():
+    screen = _Screen.of(stored, names)
+    path = scratch_dir(spark, "toxicity-words")
+    screen.counts(stored).withColumn("chosen", screen.first()).write.parquet(path)
+    counts = spark.read.parquet(path)
+    chosen = [r.word for r in counts.where("chosen").select("word").sort("word").collect()]
+    if not chosen:
         # Nothing to fit: the share of the category, so that the majority decides.
         got = stored.agg(*(F.avg(n).alias(n) for n in names)).first()
         return Chain(None, [Link(n, None, got[n] or 0.0) for n in names])
-    vectoriser = CountVectorizer(
-        inputCol="words", outputCol="vector", vocabSize=VOCABULARY, minDF=MIN_DOCS
-    ).fit(stored)
-    rows = vectoriser.transform(stored).drop("words")
-    chain, earlier = Chain(vectoriser), []
+    for check in range(CHECKS + 1):
+        chain, missed = _fit_links(stored, names, chosen, screen, counts if check < CHECKS else None)
+        if not missed:
+            return chain
+        chosen = sorted({*chosen, *missed})
+    return chain
+
+
+def _fit_links(
+    stored: DataFrame, names: list[str], vocabulary: list[str], screen: _Screen, counts: DataFrame | None
+) -> tuple[Chain, set[str]]:
+    """The chain over a vocabulary, and with `counts` the words of the sample that it lacks."""
+    spark = stored.sparkSession
+    vectoriser = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="vector")
+    rows = vectoriser.transform(stored)
+    chain, earlier, missed = Chain(vectoriser), [], set()
     for name in names:
         path = scratch_dir(spark, "toxicity-vectors")
         _with_features(rows, earlier).write.parquet(path)
         stage = spark.read.parquet(path)
         model, fixed = _fit(stage, name)
+        checked, residuals, fits = _probability(stage, model, fixed, "p_all"), [], []
+        if (name, None) in screen.sizes:
+            fits.append((name, None))
+            residuals.append(screen.residual(fits[-1], F.col("p_all")))
         out_of_fold = None
         for fold in range(FOLDS):
             inner, inner_fixed = _fit(stage.where(F.col("fold") != fold), name)
             part = _probability(stage.where(F.col("fold") == fold), inner, inner_fixed, f"p_{name}")
             out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
+            checked = _probability(checked, inner, inner_fixed, f"p_{fold}")
+            if (name, fold) in screen.sizes:
+                fits.append((name, fold))
+                residuals.append(screen.residual(fits[-1], F.col(f"p_{fold}")))
+        if counts is not None and fits:
+            parts = checked.select("words", *(r.alias(f"r{i}") for i, r in enumerate(residuals)))
+            missed.update(r.word for r in screen.missed(counts, parts, fits).collect())
         path = scratch_dir(spark, "toxicity-folds")
         out_of_fold.drop("features").write.parquet(path)
         rows = spark.read.parquet(path)
         chain.links.append(Link(name, model, fixed, _best_threshold(rows, f"p_{name}", name)))
         earlier.append(f"p_{name}")
-    return chain
+    return chain, missed
 
 
 def _best_threshold(rows: DataFrame, probability: str, label: str) -> float:
