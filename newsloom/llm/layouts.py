@@ -38,8 +38,8 @@ class Turns:
     optional: bool = False
 
     def paths(self) -> list[str]:
-        inside = [p for p in (*self.text_at, self.role_at) if p]
-        return [f"{self.each}[].{p}" for p in inside] if self.each else inside
+        inside = [*self.text_at, *filter(None, [self.role_at])]
+        return [f"{self.each}[].{p}".removesuffix(".") for p in inside] if self.each else inside
 
 
 @dataclass(frozen=True)
@@ -91,14 +91,13 @@ def fingerprint(paths: set[str]) -> str:
 
 def _covered(path: str, paths: set[str]) -> bool:
     """Whether a path is there, or nothing can be there because it or a field around it is null or empty."""
-    path = path.removesuffix(".")
     ends = [i for i in range(1, len(path) + 1) if i == len(path) or path[i] in ".["]
     return path in paths or any(f"{path[:i]}?" in paths for i in ends)
 
 
 def choose_layout(paths: set[str], layouts: tuple[Layout, ...] = LAYOUTS) -> Layout | None:
     """The layout whose required paths are all there; of several the one with most paths there, then the first listed."""
-    fitting = [(sum(p.removesuffix(".") in paths for p in l.required), l) for l in layouts if all(_covered(p, paths) for p in l.required)]
+    fitting = [(sum(p in paths for p in l.required), l) for l in layouts if all(_covered(p, paths) for p in l.required)]
     best = max((n for n, _ in fitting), default=0)
     return next((l for n, l in fitting if n == best), None)
 
