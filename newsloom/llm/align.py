@@ -24,7 +24,7 @@ DIGEST_SCHEMA = (
     "key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 )
 #: Code points of text that are encoded and aligned together; a longer text makes a batch of its own.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 19
 #: Tokens whose digests are made together; a longer document makes a batch of its own.
 BATCH_TOKENS = 1 << 20
 
@@ -153,16 +153,17 @@ def _align(texts: list[str], a: ByteLevelTokens, b: PieceTokens) -> list[pa.Arra
         if text:
             spaced = " " + text
             one, other, want = a.encode(spaced), b.encode(text), spaced.encode("utf-8")
-            for ids, table in ((one, a.bytes), (other, b.bytes)):
-                if b"".join(map(table.__getitem__, ids.tolist())) != want:
-                    one = other = none
-                    break
+            # Tokens of A are consecutive pieces of the text's own bytes, so their length tells whether they are all of it.
+            if int(a.lengths[one].sum()) != len(want) or b"".join(map(b.bytes.__getitem__, other.tolist())) != want:
+                one = other = none
         ids_a.append(one)
         ids_b.append(other)
     n_a, n_b = np.array([len(i) for i in ids_a], np.int64), np.array([len(i) for i in ids_b], np.int64)
     flat_a, flat_b = np.concatenate([none, *ids_a]), np.concatenate([none, *ids_b])
     # Documents follow each other, so their ends increase through the batch; a document's last tokens end together.
     ends_a, ends_b = np.cumsum(a.lengths[flat_a]), np.cumsum(b.lengths[flat_b])
+    if len(ends_a) and ends_a[-1] < 1 << 31:
+        ends_a, ends_b = ends_a.astype(np.int32), ends_b.astype(np.int32)
     stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
     with_tokens = n_a > 0
     cuts_a = shared_cuts(ends_a, ends_b, (stop_a - n_a)[with_tokens], stop_a[with_tokens])
