@@ -27,6 +27,8 @@ DAMAGED = 199
 FORM_TIMES = 5
 #: Words of a block that meet in one task, about; larger blocks are cut into cells by a hash of the word.
 CELL_WORDS = 8_192
+#: Blocks (five numbers each) that may be sent to every task.
+SHARED_BLOCKS = 1 << 16
 #: Letter counts are kept modulo this many letters: letters that share a place can only lower a distance.
 PLACES = 32
 #: Classes of letters whose counts name a block.
@@ -62,25 +64,31 @@ def _class_count(word: Column, letters: str) -> Column:
     return F.char_length(word) - F.char_length(F.translate(word, letters, ""))
 
 
-def _cells(words: DataFrame) -> DataFrame:
-    """word, n, its block (length and class counts) and its cell: one of as many as the block needs."""
-    block = ["length", *(f"c{i}" for i in range(len(CLASSES)))]
+BLOCK = ["length", *(f"c{i}" for i in range(len(CLASSES)))]
+
+
+def _cells(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """word, n, its block (length and class counts) and its cell, one of as many as the block needs; and the blocks' numbers of cells."""
+    spark = words.sparkSession
     keyed = words.select(
         "word", "n", F.char_length("word").alias("length"),
         *(_class_count(F.col("word"), letters).alias(f"c{i}") for i, letters in enumerate(CLASSES)),
     )
-    sizes = keyed.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / CELL_WORDS).cast("int").alias("cells"))
-    return keyed.join(sizes, block).withColumn("cell", F.pmod(F.xxhash64("word"), F.col("cells")).cast("int"))
+    path = scratch_dir(spark, "blocks")
+    keyed.groupBy(BLOCK).agg(F.ceil(F.count(F.lit(1)) / CELL_WORDS).cast("int").alias("cells")).write.parquet(path)
+    blocks = spark.read.parquet(path)
+    # Few enough blocks go to every task, so that words are not dealt by block, of which one may hold many.
+    known = F.broadcast(blocks) if blocks.count() <= SHARED_BLOCKS else blocks
+    return keyed.join(known, BLOCK).withColumn("cell", F.pmod(F.xxhash64("word"), F.col("cells")).cast("int")).drop("cells"), blocks
 
 
-def _meetings(cells: DataFrame) -> DataFrame:
+def _meetings(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     """Each word once for each pair of cells it takes part in: pair, side (0 or 1; 2: the cell meets itself), word, n.
 
     Blocks are adjacent if one edit can lead from one to the other: the same length and class counts that differ by a letter moved
     at most, or a length more by one and one class count more at most. Pairs of blocks come from the small table of blocks.
     """
-    names = ["length", *(f"c{i}" for i in range(len(CLASSES))), "cells"]
-    blocks = cells.select(*names).distinct()
+    names = [*BLOCK, "cells"]
     classes = len(CLASSES)
     steps = [(0, *[0] * classes)]
     for more in range(classes + 1):  # the last stands for all other letters
@@ -106,7 +114,7 @@ def _meetings(cells: DataFrame) -> DataFrame:
     self_ = F.col("same") & (F.col("cell") == F.col("cell_"))
     left = pairs.select(key.alias("pair"), F.when(self_, 2).otherwise(0).alias("side"), *(a.alias(n) for a, n in zip(one, names)), F.col("cell_").alias("cell"))
     right = pairs.where(~self_).select(key.alias("pair"), F.lit(1).alias("side"), *names[:-1], "cell")
-    return cells.drop("cells").join(left.unionByName(right), [*names[:-1], "cell"]).select("pair", "side", "word", "n")
+    return cells.join(left.unionByName(right), [*BLOCK, "cell"]).select("pair", "side", "word", "n")
 
 
 def letter_counts(words: list[str]) -> np.ndarray:
@@ -183,7 +191,7 @@ def near_words(words: DataFrame) -> DataFrame:
     `words` (word, n; different words) is read several times, so it is a stored table. A task gets two cells of about CELL_WORDS
     words; a pair of near words is in exactly one such task, and a task lets out one row for each word.
     """
-    parts = _meetings(_cells(words)).groupBy("pair").applyInArrow(_near_in_cells, CELL_SCHEMA)
+    parts = _meetings(*_cells(words)).groupBy("pair").applyInArrow(_near_in_cells, CELL_SCHEMA)
     top = F.min_by("near_word", F.struct(-F.col("near_n"), F.col("near_word")))
     return parts.groupBy("word").agg(
         F.sum("n_near").alias("n_near"), F.max("near_n").alias("near_n"), top.alias("near_word")
