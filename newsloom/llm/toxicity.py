@@ -14,13 +14,16 @@ from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newsloom.llm.rows import drop_folder
 from newsloom.session import scratch_dir
 
 #: Labelled documents that the models are fitted on, about: a sample by a hash of the id. Everything else covers all data.
 TRAIN_ROWS = 20_000
 #: Words in fewer documents of the sample are no features, whatever its size. Which of the others count is left to the penalty.
 MIN_DOCS = 3
-#: How often the words that the penalty left out are checked against the fitted models, and those that it would let in added.
+#: The fit starts with so many words, those whose gradients exceed the penalty most, and is repeated with as many more of the words left
+#: out that the penalty would let in, until there are none or CHECKS times.
+WORKING_WORDS = 8_192
 CHECKS = 1
 STEM_CHARS = 5
 FOLDS = 2
@@ -99,9 +102,9 @@ def _with_features(rows: DataFrame, earlier: list[str]) -> DataFrame:
 class _Screen:
     """What the choice of features needs of each fit: a fit is a category and the fold it leaves out (or None).
 
-    A word's coefficient is zero if the gradient of the loss by it, on the scale of its deviation, is within the penalty. The
-    gradient at the model without words is known from counts, so most words are left out before anything is fitted. After the
-    fit the gradients of the words left out are computed from the fitted probabilities, and words beyond the penalty come in.
+    A word's coefficient is zero if the gradient of the loss by it, on the scale of its deviation, is within the penalty. At the
+    model without words the gradient is known from counts; after a fit the gradients of the words left out are computed from
+    the fitted probabilities. So a fit on few words can be shown to be the fit on all.
     """
 
     names: list[str]
@@ -135,14 +138,18 @@ class _Screen:
         others = sum((F.col(f"all_{f}") for f in folds), F.lit(0)) - having
         return having / (2 * self.sizes[fit][0]), others / (2 * self.sizes[fit][1])
 
-    def beyond(self, fit: tuple, gradient: Column) -> Column:
-        having, others = self.share(fit)
-        both = having + others
-        return F.abs(gradient) > _penalty(min(self.sizes[fit])) * F.sqrt(both * (1 - both))
+    def excess(self, gradients: dict[tuple, Column]) -> Column:
+        """The largest of a word's gradients as a multiple of the penalty of its fit."""
+        found = [F.lit(0.0)]
+        for fit, gradient in gradients.items():
+            having, others = self.share(fit)
+            spread = F.sqrt((having + others) * (1 - having - others))
+            found.append(F.coalesce(F.try_divide(F.abs(gradient), _penalty(min(self.sizes[fit])) * spread), F.lit(0.0)))
+        return F.greatest(*found, F.lit(0.0))
 
     def first(self) -> Column:
-        """Whether a word may have a coefficient in any fit, by the gradient at the model without words."""
-        return self._any({fit: 0.5 * (self.share(fit)[1] - self.share(fit)[0]) for fit in self.sizes})
+        """The excess at the model without words."""
+        return self.excess({fit: 0.5 * (self.share(fit)[1] - self.share(fit)[0]) for fit in self.sizes})
 
     def residual(self, fit: tuple, probability: Column) -> Column:
         """A document's part of the gradient, in the weights of the fit."""
@@ -152,19 +159,18 @@ class _Screen:
         part = (probability - F.col(name)) * weight
         return part if out is None else F.when(F.col("fold") != out, part).otherwise(0.0)
 
-    def _any(self, gradients: dict[tuple, Column]) -> Column:
-        found = F.lit(False)
-        for fit, gradient in gradients.items():
-            found = found | self.beyond(fit, gradient)
-        return found
-
     def missed(self, counts: DataFrame, residuals: DataFrame, fits: list[tuple]) -> DataFrame:
-        """Words without a coefficient that should have one, from the documents' words and residuals r0, r1, ... of the fits."""
+        """word, excess of the words of `counts`, from the documents' words and residuals r0, r1, ... of the fits."""
         sums = residuals.select("words", *(f"r{i}" for i in range(len(fits)))).withColumn("word", F.explode("words"))
         gradients = sums.groupBy("word").agg(*(F.sum(f"r{i}").alias(f"g{i}") for i in range(len(fits))))
-        return counts.where(~F.col("chosen")).join(gradients, "word").where(
-            self._any({fit: F.col(f"g{i}") for i, fit in enumerate(fits)})
-        ).select("word")
+        found = counts.drop("excess").join(gradients, "word")
+        return found.select("word", self.excess({fit: F.col(f"g{i}") for i, fit in enumerate(fits)}).alias("excess"))
+
+
+def _working(words: DataFrame) -> list[str]:
+    """The words that exceed the penalty most."""
+    most = words.where("excess > 1").groupBy("word").agg(F.max("excess").alias("excess"))
+    return [r.word for r in most.orderBy(F.col("excess").desc(), "word").limit(WORKING_WORDS).collect()]
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], train_rows: int = TRAIN_ROWS) -> Chain:
@@ -174,7 +180,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     without text count as empty. Without any labelled document the chain has probability 0 everywhere; if no word can have a
     coefficient, it is the share of the category.
 
-    Words are counted and screened by Spark; the driver gets those that pass (see _Screen), which are bounded by the sample.
+    Words are counted and screened by Spark (see _Screen); the driver gets the working words, at most CHECKS + 1 times WORKING_WORDS.
     """
     spark = docs.sparkSession
     names = list(categories)
@@ -185,16 +191,16 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         known = known.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
     path = scratch_dir(spark, "toxicity-sample")
     sample = known.join(docs.select("doc_id", "text"), "doc_id").select(
-        "doc_id", *names, features(F.col("text")).alias("words"),
+        F.monotonically_increasing_id().alias("row"), *names, features(F.col("text")).alias("words"),
         F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).alias("fold"),
     )
     sample.write.parquet(path)
     stored = spark.read.schema(sample.schema).parquet(path)
     screen = _Screen.of(stored, names)
     path = scratch_dir(spark, "toxicity-words")
-    screen.counts(stored).withColumn("chosen", screen.first()).write.parquet(path)
+    screen.counts(stored).withColumn("excess", screen.first()).write.parquet(path)
     counts = spark.read.parquet(path)
-    chosen = [r.word for r in counts.where("chosen").select("word").sort("word").collect()]
+    chosen = sorted(_working(counts))
     if not chosen:
         # Nothing to fit: the share of the category, so that the majority decides.
         got = stored.agg(*(F.avg(n).alias(n) for n in names)).first()
@@ -213,12 +219,15 @@ def _fit_links(
     """The chain over a vocabulary, and with `counts` the words of the sample that it lacks."""
     spark = stored.sparkSession
     vectoriser = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="vector")
-    rows = vectoriser.transform(stored)
-    chain, earlier, missed = Chain(vectoriser), [], set()
+    vectors = scratch_dir(spark, "toxicity-vectors")
+    vectoriser.transform(stored).drop("words").write.parquet(vectors)
+    rows = spark.read.parquet(vectors)
+    chain, earlier, missed = Chain(vectoriser), [], None
+    if counts is not None:
+        known = spark.createDataFrame([(w,) for w in vocabulary], "word string")
+        counts = counts.join(known, "word", "left_anti")
     for name in names:
-        path = scratch_dir(spark, "toxicity-vectors")
-        _with_features(rows, earlier).write.parquet(path)
-        stage = spark.read.parquet(path)
+        stage = _with_features(rows, earlier)
         model, fixed = _fit(stage, name)
         checked, residuals, fits = _probability(stage, model, fixed, "p_all"), [], []
         if (name, None) in screen.sizes:
@@ -227,21 +236,26 @@ def _fit_links(
         out_of_fold = None
         for fold in range(FOLDS):
             inner, inner_fixed = _fit(stage.where(F.col("fold") != fold), name)
-            part = _probability(stage.where(F.col("fold") == fold), inner, inner_fixed, f"p_{name}")
+            part = _probability(stage.where(F.col("fold") == fold), inner, inner_fixed, f"p_{name}").select("row", f"p_{name}")
             out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
             checked = _probability(checked, inner, inner_fixed, f"p_{fold}")
             if (name, fold) in screen.sizes:
                 fits.append((name, fold))
                 residuals.append(screen.residual(fits[-1], F.col(f"p_{fold}")))
         if counts is not None and fits:
-            parts = checked.select("words", *(r.alias(f"r{i}") for i, r in enumerate(residuals)))
-            missed.update(r.word for r in screen.missed(counts, parts, fits).collect())
+            parts = checked.select("row", *(r.alias(f"r{i}") for i, r in enumerate(residuals)))
+            found = screen.missed(counts, parts.join(stored.select("row", "words"), "row"), fits)
+            path = scratch_dir(spark, "toxicity-missed")
+            found.where("excess > 1").write.parquet(path)
+            found = spark.read.schema("word string, excess double").parquet(path)
+            missed = found if missed is None else missed.unionByName(found)
         path = scratch_dir(spark, "toxicity-folds")
-        out_of_fold.drop("features").write.parquet(path)
-        rows = spark.read.parquet(path)
+        out_of_fold.write.parquet(path)
+        rows = rows.join(spark.read.parquet(path), "row")
         chain.links.append(Link(name, model, fixed, _best_threshold(rows, f"p_{name}", name)))
         earlier.append(f"p_{name}")
-    return chain, missed
+    drop_folder(spark, vectors)
+    return chain, set() if missed is None else set(_working(missed))
 
 
 def _best_threshold(rows: DataFrame, probability: str, label: str) -> float:
