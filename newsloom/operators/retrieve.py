@@ -8,12 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.functions import text as X
+from newsloom.functions.keyword_index import build_keyword_index, read_keyword_index, search_keyword_index
 from newsloom.functions.keywords import bm25_top_k
 from newsloom.functions.ordered import sum_before
 from newsloom.functions.scale import minmax, r6, ratio
 from newsloom.functions.topk import top_k
 from newsloom.functions.ttlcache import cache_hits
 from newsloom.operators import embed as M
+from newsloom.sources.tables import materialize
 
 # Hybrid weights of semantic, keyword and recency scores.
 HYBRID = (0.6, 0.3, 0.1)
@@ -36,6 +38,16 @@ def bm25_topk(queries: DataFrame, articles: DataFrame, k: int = CANDIDATES, **op
     return bm25_top_k(articles.select("article_id", F.col("content").alias("text")), queries, k, **options)
 
 
+def build_index(articles: DataFrame, path: str) -> None:
+    """Write the keyword index of the articles' contents."""
+    build_keyword_index(articles.select("article_id", F.col("content").alias("text")), path)
+
+
+def indexed_topk(queries: DataFrame, path: str, k: int = CANDIDATES) -> DataFrame:
+    """As `bm25_topk`, from the stored index: texts are not read."""
+    return search_keyword_index(read_keyword_index(queries.sparkSession, path), queries, k, materialize)
+
+
 def retrieval_filters(
     found: DataFrame, discussed: DataFrame, articles: DataFrame, prefs: DataFrame, oldest: Column
 ) -> DataFrame:

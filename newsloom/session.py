@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,19 +37,25 @@ def get_session(master: str | None = None, app: str = "newsloom", **conf: str) -
     return spark
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder path that every executor can reach.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for scratch tables that every executor can reach.
 
-    The cluster names the shared folder in `spark.checkpoint.dir`. Only a local session may fall
-    back to a folder of this machine, because there driver and executors share one disk.
+    The cluster names it in `spark.checkpoint.dir`. Only a local session may fall back to a folder of this machine, because there
+    driver and executors share one disk; that folder goes when the program ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="run-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    return base.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder path under the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def set_checkpoint_dir(spark: SparkSession) -> None:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from newsloom.schemas import TABLES
-from newsloom.session import scratch_dir
+from newsloom.session import scratch_dir, shared_dir
 
 
 def read_table(spark: SparkSession, folder: str, name: str, spread_text: bool = True) -> DataFrame:
@@ -78,6 +81,33 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_once(spark: SparkSession, folder: str, names: list[str], label: str, build: Callable[[str], None]) -> str:
+    """Path of a stored structure that is built from tables of `folder`, once for each state of their files.
+
+    It lies in the shared folder under a name that follows the files' names, sizes and times, so it is built anew when a table
+    changes, and a build that failed leaves no marker and is repeated elsewhere.
+    """
+    jvm = spark._jvm
+    state = []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            status = files.next()
+            state.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    key = hashlib.sha256(repr(sorted(state)).encode()).hexdigest()[:20]
+    marks = f"{shared_dir(spark)}/{label}-{key}"
+    mark = jvm.org.apache.hadoop.fs.Path(marks)
+    fs = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(mark):
+        return spark.read.text(marks).first()[0]
+    path = scratch_dir(spark, label)
+    build(path)
+    spark.createDataFrame([(path,)], "value string").coalesce(1).write.mode("overwrite").text(marks)
+    return path
+
+
 def write_batch(df: DataFrame, root: str, batch_id: int) -> None:
     """Append a micro-batch under its own folder; writing the same batch again replaces it."""
     df.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")

@@ -22,6 +22,10 @@ def _after_epoch(hours: Column, minutes: Column | None = None) -> Column:
     return F.lit(EPOCH).cast("timestamp_ntz") + step
 
 
+#: The tables that `articles` reads.
+ARTICLE_TABLES = ["documents", "embeddings"]
+
+
 def articles(spark: SparkSession, folder: str) -> DataFrame:
     return articles_from_documents(
         read_table(spark, folder, "documents"), read_table(spark, folder, "embeddings")
