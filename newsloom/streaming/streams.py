@@ -16,6 +16,7 @@ from newsloom.functions.ordered import number_sessions
 from newsloom.operators import ingest as I, interactions as C, processing as D
 from newsloom.schemas import ARTICLE, INTERACTION, LONG, TEXT, TIME, VECTOR, TABLES
 from newsloom.sources import tables as S
+from newsloom.sources.runs import RunTable
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
@@ -69,19 +70,33 @@ INGESTED = T.StructType(
 )
 
 
+URL = T.StructType([T.StructField("url", TEXT)])
+
+
+def known_urls(spark: SparkSession, store: str) -> RunTable:
+    """The urls of all stored articles, looked up by a batch's urls."""
+    return RunTable(spark, f"{store}/urls", URL, ("url",))
+
+
 def ingest_stream(entries: DataFrame, store: str, existing: DataFrame, every: str | None = None) -> StreamingQuery:
     """Feed entries to article rows; a url is stored once, whenever it comes again.
 
-    The check against everything stored so far is exact, so no duplicate state is kept in memory.
+    Known urls are a table sorted by hash, of which a batch reads the pages that can hold its own urls, so its work does not grow
+    with what was stored before. Urls of `existing` go into it once, when the store is made.
     """
     spark = entries.sparkSession
-    known = existing.select("url")
     _empty(spark, INGESTED, f"{store}/articles")
+    urls = known_urls(spark, store)
+    if (-1, -1) not in urls.runs():
+        urls.write(existing.select("url").where("url IS NOT NULL").distinct(), -1)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        stored = S.read_batches(spark, f"{store}/articles", INGESTED, before=batch_id).select("url")
-        new = I.ingest(df, known.unionByName(stored)).select(*INGESTED.fieldNames())
+        urls.compact(batch_id)
+        known = urls.lookup(df.select("url").where("url IS NOT NULL"), before=batch_id)
+        new = I.ingest(df, known).select(*INGESTED.fieldNames())
         S.write_batch(new, f"{store}/articles", batch_id)
+        stored = spark.read.schema(INGESTED).parquet(f"{store}/articles/batch_id={batch_id}")
+        urls.write(stored.select("url").where("url IS NOT NULL"), batch_id)
 
     return run(entries, batch, store, every)
 
