@@ -120,6 +120,11 @@ def read_batches(spark: SparkSession, root: str, schema: T.StructType, before: i
     return df if before is None else df.where(F.col("batch_id") < before)
 
 
+def read_batch(spark: SparkSession, root: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """The rows of one batch; no other folder is listed."""
+    return spark.read.schema(schema).parquet(f"{root}/batch_id={batch_id}")
+
+
 def write_interactions_by_date(interactions: DataFrame, path: str) -> None:
     """Log partitioned by event date.
 

@@ -19,6 +19,10 @@ from newsloom.sources import tables as S
 from newsloom.sources.runs import RunTable
 
 
+#: Runs of a batch table that are merged into one.
+FANOUT = 8
+
+
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
     """A table as a stream of its files: the parts in a folder `name.parquet`, or the files `name*.parquet`."""
     stream = spark.readStream.schema(TABLES[name]).option("maxFilesPerTrigger", files_per_batch)
@@ -75,7 +79,7 @@ URL = T.StructType([T.StructField("url", TEXT)])
 
 def known_urls(spark: SparkSession, store: str) -> RunTable:
     """The urls of all stored articles, looked up by a batch's urls."""
-    return RunTable(spark, f"{store}/urls", URL, ("url",))
+    return RunTable(spark, f"{store}/urls", URL, ("url",), FANOUT)
 
 
 def ingest_stream(entries: DataFrame, store: str, existing: DataFrame, every: str | None = None) -> StreamingQuery:
@@ -114,63 +118,57 @@ PAIR_STATE = T.StructType(
         T.StructField("n", LONG), T.StructField("first", _ROW), T.StructField("last", _ROW), T.StructField("timed", _ROW),
     ]
 )
-FULL_EVERY = 20
 
 
-def _newest(states: DataFrame) -> DataFrame:
-    """Latest written state of every pair."""
-    columns = PAIR_STATE.fieldNames()
-    return (
-        states.groupBy(*C.PAIR)
-        .agg(F.max_by(F.struct("n", "first", "last", "timed"), "batch_id").alias("_s"))
-        .select(*C.PAIR, "_s.*")
-        .select(*columns)
-    )
+def pair_states(spark: SparkSession, store: str) -> RunTable:
+    """What each batch saw of each pair; parts of one pair are merged when runs are, and when they are read."""
+    return RunTable(spark, f"{store}/state", PAIR_STATE, C.PAIR, FANOUT)
+
+
+def _merged(states: DataFrame) -> DataFrame:
+    return C.merge_pair_states(states).select(*PAIR_STATE.fieldNames())
 
 
 def interactions_stream(
     events: DataFrame, users: DataFrame, articles: DataFrame, store: str, every: str | None = None
 ) -> StreamingQuery:
-    """Toggles and upserts over a stream. Clicks and skips are appended; likes and reads update a
-    small mergeable state per pair. Order of arrival does not matter, so late events are exact.
+    """Toggles and upserts over a stream. Clicks and skips are appended; of likes and reads a batch adds one small mergeable
+    state per pair it saw. Order of arrival does not matter, so late events are exact.
 
-    A batch writes the states it touched; every FULL_EVERY batches it writes all of them, and
-    readers start from there.
+    A batch reads no earlier state. Merging runs rewrites a state a logarithmic number of times, and replaced runs are removed.
     """
     spark = events.sparkSession
     _empty(spark, INTERACTION, f"{store}/log")
-    _empty(spark, PAIR_STATE, f"{store}/state")
+    states = pair_states(spark, store)
 
     def batch(df: DataFrame, batch_id: int) -> None:
+        states.compact(batch_id, _merged)
         accepted = C.accepted_interactions(df, users, articles)
         kind = F.col("interaction_type")
         S.write_batch(accepted.where(kind.isin("click", "skip")), f"{store}/log", batch_id)
-        new = C.pair_state(accepted.where(kind.isin("like", "read")))
-        base = (batch_id - 1) // FULL_EVERY * FULL_EVERY
-        earlier = S.read_batches(spark, f"{store}/state", PAIR_STATE, before=batch_id)
-        old = _newest(earlier.where(F.col("batch_id") >= (base if base > 0 else -1)))
-        if batch_id % FULL_EVERY:
-            old = old.join(new.select(*C.PAIR), list(C.PAIR), "left_semi")
-        merged = C.merge_pair_states(old.unionByName(new.select(*PAIR_STATE.fieldNames())))
-        S.write_batch(merged.select(*PAIR_STATE.fieldNames()), f"{store}/state", batch_id)
+        states.write(C.pair_state(accepted.where(kind.isin("like", "read"))), batch_id)
 
     return run(events, batch, store, every)
 
 
 def current_interactions(spark: SparkSession, store: str) -> DataFrame:
     """The compacted log as of the last batch."""
-    states = S.read_batches(spark, f"{store}/state", PAIR_STATE)
-    newest = states.agg(F.max("batch_id")).first()[0]
-    full = newest // FULL_EVERY * FULL_EVERY
-    if full > 0:  # all states were written in that batch
-        states = states.where(F.col("batch_id") >= full)
     log = S.read_batches(spark, f"{store}/log", INTERACTION).drop("batch_id")
-    return log.unionByName(C.state_rows(_newest(states)).select(*INTERACTION.fieldNames()))
+    merged = _merged(pair_states(spark, store).read())
+    return log.unionByName(C.state_rows(merged).select(*INTERACTION.fieldNames()))
+
+
+def pair_history(spark: SparkSession, store: str, pairs: DataFrame) -> DataFrame:
+    """The states of some pairs (user_id, article_id, interaction_type), looked up by key."""
+    return _merged(pair_states(spark, store).lookup(pairs))
 
 
 # --- processing ------------------------------------------------------------------------------
 
 
+NEXT = T.StructType([T.StructField("position", LONG)])
+
+
 def process_stream(
     articles: DataFrame, classify: D.Classifier, store: str, now: Column, first_position: int = 0,
     every: str | None = None,
@@ -182,13 +180,17 @@ def process_stream(
     spark = articles.sparkSession
     _empty(spark, ARTICLE, f"{store}/articles")
     _empty(spark, VECTOR, f"{store}/vectors")
+    S.write_batch(spark.createDataFrame([(first_position,)], NEXT), f"{store}/next", -1)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        placed = S.read_batches(spark, f"{store}/vectors", VECTOR, before=batch_id)
-        start = placed.agg(F.coalesce(F.max("position") + 1, F.lit(first_position)).cast("bigint")).scalar()
-        done = D.process_rows(D.pending_batch(df, None), start, classify, now)
+        # One row: where the batch before left off.
+        start = S.read_batch(spark, f"{store}/next", NEXT, batch_id - 1).first()["position"]
+        done = D.process_rows(D.pending_batch(df, None), F.lit(start), classify, now)
         S.write_batch(done.vectors.select(*VECTOR.fieldNames()), f"{store}/vectors", batch_id)
         S.write_batch(done.articles, f"{store}/articles", batch_id)
+        placed = S.read_batch(spark, f"{store}/vectors", VECTOR, batch_id)
+        last = placed.agg(F.coalesce(F.max("position") + 1, F.lit(start)).cast("bigint").alias("position"))
+        S.write_batch(last, f"{store}/next", batch_id)
 
     return run(articles, batch, store, every)
 

@@ -98,7 +98,7 @@ def _write_event_file(spark, folder, rows, part):
 def test_stream_out_of_order_with_restart_and_full_snapshots(spark, tmp_path, monkeypatch):
     from newsloom.sources import views as V
 
-    monkeypatch.setattr(T, "FULL_EVERY", 2)
+    monkeypatch.setattr(T, "FANOUT", 2)
     folder, store = tmp_path / "in", str(tmp_path / "store")
     folder.mkdir()
     rows = random_rows(300, 3)

@@ -173,10 +173,10 @@ def test_windows_count_every_row_of_shuffled_files(spark, tmp_path, layout):
     assert got == {t0 + dt.timedelta(hours=h): 4 * hours.count(h) for h in hours}
 
 
-def test_current_interactions_start_at_the_last_full_batch(spark, tmp_path, monkeypatch):
+def test_current_interactions_merge_runs(spark, tmp_path, monkeypatch):
     from newsloom.operators import interactions as C
 
-    monkeypatch.setattr(T, "FULL_EVERY", 2)
+    monkeypatch.setattr(T, "FANOUT", 2)
     folder, store = tmp_path / "in", str(tmp_path / "store")
     folder.mkdir()
     t0 = dt.datetime(2024, 1, 1)
@@ -194,3 +194,7 @@ def test_current_interactions_start_at_the_last_full_batch(spark, tmp_path, monk
     want = C.interactions_compact(events, users, articles)
     key = lambda df: sorted(map(str, df.select("event_id", "user_id", "article_id", "interaction_type", "ts", "read_time_seconds").collect()))
     assert key(T.current_interactions(spark, store)) == key(want)
+    assert len(T.pair_states(spark, store).runs()) < 4
+    one = spark.createDataFrame([(1, 2, "like")], "user_id bigint, article_id bigint, interaction_type string")
+    liked = events.where("user_id = 1 AND article_id = 2 AND interaction_type = 'like'").count()
+    assert [r.n for r in T.pair_history(spark, store, one).collect()] == ([liked] if liked else [])
