@@ -102,6 +102,8 @@ class Cells:
 
     def nearest(self, spark: SparkSession, vector: Column, n: int) -> Column:
         """The n nearest cells of a vector, nearest first."""
+        if self.centroids.nbytes > CENTROID_BYTES:
+            raise ValueError(f"{self.centroids.nbytes} bytes of centroids are too many to be sent to every executor")
         shared = spark.sparkContext.broadcast(self.centroids)
         n = min(n, len(self.centroids))
 
@@ -116,6 +118,8 @@ class Cells:
 
 
 MAX_CELLS = 65536
+#: Centroids are sent to every executor.
+CENTROID_BYTES = 256 << 20
 
 
 def train_cells(index: DataFrame, nlist: int = 100, seed: int = 42) -> Cells:

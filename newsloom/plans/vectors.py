@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.operators import vectors as G
+from newsloom.operators import ivf as I, vectors as G
 from newsloom.plans.registry import CTES, query
 from newsloom.session import scratch_dir
 from newsloom.sources import tables as S, views as V
@@ -131,14 +131,60 @@ def index_clear(spark, d) -> DataFrame:
 
 
 CELLS = 12
+#: Share of the true neighbours that approximate search has to find, and that it is tuned for on held-out queries.
+RECALL = 0.9
+TUNED_RECALL = 0.95
+HELD_OUT = 500
+
+
+def stored_ivf(spark, d) -> I.StoredIvf:
+    path = S.stored_once(spark, d, V.ARTICLE_TABLES, "ivf", lambda p: I.build_ivf(V.vectors(spark, d), p, CELLS))
+    return I.read_ivf(spark, path)
 
 
 @query("knn_ivf")
 def knn_ivf(spark, d) -> DataFrame:
-    v = V.vectors(spark, d)
-    return G.knn_ivf(G.as_queries(v, "article_id"), v, G.train_cells(v, CELLS), 10, nprobe=4)
+    """All vectors as queries, in as many cells as a sample of bounded size needs."""
+    index, v = stored_ivf(spark, d), V.vectors(spark, d)
+    held_out = G.as_queries(v.orderBy(F.xxhash64("article_id")).limit(HELD_OUT), "article_id")
+    return I.search_ivf(index, G.as_queries(v, "article_id"), 10, I.choose_nprobe(index, held_out, 10, TUNED_RECALL))
+
 
+@query("knn_ivf_exact", _nearest(10))
+def knn_ivf_exact(spark, d) -> DataFrame:
+    """The exact neighbours from the stored cells that can hold them."""
+    return I.search_ivf_exact(stored_ivf(spark, d), G.as_queries(V.vectors(spark, d), "article_id"), 10)
 
-@query("ann_recall")
+
+@query(
+    "ann_recall",
+    f"""
+SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, {RECALL}::double AS bound, true AS reached
+FROM ({_nearest(10)})
+""",
+)
 def ann_recall(spark, d) -> DataFrame:
-    return G.ann_recall(knn_ivf(spark, d), knn_search(spark, d))
+    """Whether approximate search finds enough of the true neighbours of all vectors."""
+    exact = S.materialize(knn_search(spark, d), "exact")
+    sizes = exact.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"))
+    return sizes.select(
+        "queries", "neighbours", F.lit(RECALL).alias("bound"), I.recall_reached(knn_ivf(spark, d), exact, RECALL).alias("reached")
+    )
+
+
+CTES["completed_pairs"] = """
+SELECT * FROM all_pairs WHERE query_id NOT IN (SELECT article_id FROM articles WHERE processing_status <> 'completed')
+  AND article_id NOT IN (SELECT article_id FROM articles WHERE processing_status <> 'completed')
+"""
+
+
+@query("ivf_update", _nearest(5, source="completed_pairs"))
+def ivf_update(spark, d) -> DataFrame:
+    """Exact search after articles that are not completed were taken out and half of the others written again."""
+    path, v, a = scratch_dir(spark, "ivf"), V.vectors(spark, d), V.articles(spark, d)
+    I.build_ivf(v, path, CELLS)
+    index = I.read_ivf(spark, path)
+    gone = a.where("processing_status <> 'completed'").select("article_id")
+    I.update_ivf(index, v.where(F.pmod(F.xxhash64("article_id"), F.lit(2)) == 0), gone)
+    live = v.join(gone, "article_id", "left_anti")
+    return I.search_ivf_exact(index, G.as_queries(live, "article_id"), 5)

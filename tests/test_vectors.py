@@ -2,9 +2,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.functions import topk
-from newsloom.operators import vectors as G
+from newsloom.operators import ivf as I, vectors as G
 from newsloom.schemas import VECTOR
 
 
@@ -106,6 +107,61 @@ def test_inverted_file_finds_all_when_all_cells_are_probed(spark, monkeypatch):
     assert G.ann_recall(G.knn_ivf(q, v, cells, 10, nprobe=2), exact).first().recall > 0.6
 
 
+def crowded(spark):
+    m = unit(200)
+    m[:80] = m[0] + 0.001 * unit(80, seed=1)
+    return m, index(spark, m)
+
+
+@pytest.mark.parametrize("nprobe,k", [(1, 10), (2, 3), (9, 500)])
+def test_exact_search_in_stored_cells(spark, tmp_path, nprobe, k):
+    _, v = crowded(spark)
+    I.build_ivf(v.unionByName(spark.createDataFrame([(5, 900, None)], v.schema)), str(tmp_path / "ivf"), 9)
+    stored = I.read_ivf(spark, str(tmp_path / "ivf"))
+    q = G.as_queries(v, "article_id")
+    got, want = I.search_ivf_exact(stored, q, k, nprobe), G.knn_search(q, v, k)
+    key = lambda df: sorted((r.query_id, r.rank, r.article_id, round(r.dist, 5)) for r in df.collect())
+    assert key(got) == key(want)
+
+
+def test_probes_prune_folders_and_reach_the_recall(spark, tmp_path):
+    _, v = crowded(spark)
+    I.build_ivf(v, str(tmp_path / "ivf"), 9)
+    stored = I.read_ivf(spark, str(tmp_path / "ivf"))
+    q = G.as_queries(v, "article_id")
+    n = I.choose_nprobe(stored, q, 10, 0.95)
+    exact = G.knn_search(q, v, 10)
+    assert 1 <= n <= 9 and G.ann_recall(I.search_ivf(stored, q, 10, n), exact).first().recall >= 0.95
+    assert n == 1 or G.ann_recall(I.search_ivf(stored, q, 10, n - 1), exact).first().recall < 0.95
+    one = I.search_ivf(stored, q.limit(1), 3, 1)
+    assert "PartitionFilters: [isnotnull(cell" in one._jdf.queryExecution().toString() and one.count() == 3
+    assert spark.range(1).select(I.recall_reached(exact, exact, 0.9)).first()[0]
+
+
+def test_an_update_writes_touched_cells_only(spark, tmp_path):
+    m, v = crowded(spark)
+    path = tmp_path / "ivf"
+    I.build_ivf(v, str(path), 9)
+    stored = I.read_ivf(spark, str(path))
+    first = v.select("article_id").first().article_id
+    alone = stored.rows().groupBy("cell").count().orderBy("count").first()
+    lost = [r.article_id for r in stored.rows().where(F.col("cell") == alone["cell"]).collect()]
+    moved = [first + 150, first + 151]
+    untouched = {f for f in path.glob("cells/cell=*/*.parquet")}
+    changed = spark.createDataFrame([(moved[0], 7, [2.0] * 16), (9_999, 8, [-2.0] * 16), (lost[0], 9, [1.0] * 16)], "article_id bigint, position bigint, embedding array<float>")
+    gone = spark.createDataFrame([(a,) for a in [*lost, moved[1]]], "article_id bigint")
+    for _ in range(2):  # running it again leaves the same
+        I.update_ivf(stored, changed, gone)
+        rows = {r.article_id: r.embedding for r in stored.rows().collect()}
+        assert len(rows) == stored.rows().count() == 200 - len(lost) - (moved[1] not in lost) + 1
+        assert rows[9_999] == [-2.0] * 16 and lost[0] not in rows and moved[1] not in rows
+    assert untouched & {f for f in path.glob("cells/cell=*/*.parquet")}
+    live = stored.rows()
+    q = G.as_queries(live, "article_id")
+    key = lambda df: sorted((r.query_id, r.rank, r.article_id) for r in df.collect())
+    assert key(I.search_ivf_exact(stored, q, 4)) == key(G.knn_search(q, live.select("article_id", "position", "embedding"), 4))
+
+
 def test_blocks_without_a_cross_join(spark):
     """Neither the scan nor the grid plans one, with broadcasting off as well."""
     rng = np.random.default_rng(3)
