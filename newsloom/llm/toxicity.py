@@ -21,10 +21,12 @@ from newsloom.session import scratch_dir
 TRAIN_ROWS = 20_000
 #: Words in fewer documents of the sample are no features, whatever its size. Which of the others count is left to the penalty.
 MIN_DOCS = 3
-#: The fit starts with so many words, those whose gradients exceed the penalty most, and is repeated with as many more of the words left
-#: out that the penalty would let in, until there are none or CHECKS times.
+#: The fit takes so many words, those whose gradients exceed the penalty most, and CHECKS times as many more of the words left out that the
+#: penalty would let in by the models fitted so far.
 WORKING_WORDS = 8_192
 CHECKS = 1
+#: Tasks of a step of a fit.
+FIT_PARTS = 4
 STEM_CHARS = 5
 FOLDS = 2
 ITERATIONS = 20
@@ -100,7 +102,7 @@ def _with_features(rows: DataFrame, earlier: list[str]) -> DataFrame:
 
 @dataclass
 class _Screen:
-    """What the choice of features needs of each fit: a fit is a category and the fold it leaves out (or None).
+    """What the choice of features needs of each fit: a fit is a category and the fold it leaves out (or None, for all rows).
 
     A word's coefficient is zero if the gradient of the loss by it, on the scale of its deviation, is within the penalty. At the
     model without words the gradient is known from counts; after a fit the gradients of the words left out are computed from
@@ -205,57 +207,69 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         # Nothing to fit: the share of the category, so that the majority decides.
         got = stored.agg(*(F.avg(n).alias(n) for n in names)).first()
         return Chain(None, [Link(n, None, got[n] or 0.0) for n in names])
-    for check in range(CHECKS + 1):
-        chain, missed = _fit_links(stored, names, chosen, screen, counts if check < CHECKS else None)
+    for _ in range(CHECKS):
+        missed = _missed_words(stored, names, chosen, screen, counts)
         if not missed:
-            return chain
+            break
         chosen = sorted({*chosen, *missed})
-    return chain
+    return _fit_links(stored, names, chosen)
+
 
+def _vectors(stored: DataFrame, vocabulary: list[str]) -> tuple[CountVectorizerModel, DataFrame, str]:
+    """The sample as vectors over a vocabulary, stored without words.
 
-def _fit_links(
-    stored: DataFrame, names: list[str], vocabulary: list[str], screen: _Screen, counts: DataFrame | None
-) -> tuple[Chain, set[str]]:
-    """The chain over a vocabulary, and with `counts` the words of the sample that it lacks."""
+    A bounded sample in few pieces, so that a step of a fit is one stage without a shuffle.
+    """
     spark = stored.sparkSession
     vectoriser = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="vector")
-    vectors = scratch_dir(spark, "toxicity-vectors")
-    vectoriser.transform(stored).drop("words").write.parquet(vectors)
-    rows = spark.read.parquet(vectors)
-    chain, earlier, missed = Chain(vectoriser), [], None
-    if counts is not None:
-        known = spark.createDataFrame([(w,) for w in vocabulary], "word string")
-        counts = counts.join(known, "word", "left_anti")
+    path = scratch_dir(spark, "toxicity-vectors")
+    vectoriser.transform(stored).drop("words").coalesce(FIT_PARTS).write.parquet(path)
+    return vectoriser, spark.read.parquet(path), path
+
+
+def _missed_words(stored: DataFrame, names: list[str], vocabulary: list[str], screen: _Screen, counts: DataFrame) -> set[str]:
+    """Words beyond the vocabulary that the penalty would let in, by the models of all rows over the vocabulary."""
+    spark = stored.sparkSession
+    _, rows, path = _vectors(stored, vocabulary)
+    earlier, residuals, fits = [], [], []
     for name in names:
         stage = _with_features(rows, earlier)
         model, fixed = _fit(stage, name)
-        checked, residuals, fits = _probability(stage, model, fixed, "p_all"), [], []
+        rows = _probability(stage, model, fixed, f"p_{name}").drop("features")
+        earlier.append(f"p_{name}")
         if (name, None) in screen.sizes:
             fits.append((name, None))
-            residuals.append(screen.residual(fits[-1], F.col("p_all")))
+            residuals.append(screen.residual(fits[-1], F.col(f"p_{name}")))
+    if not fits:
+        return set()
+    known = spark.createDataFrame([(w,) for w in vocabulary], "word string")
+    parts = rows.select("row", *(r.alias(f"r{i}") for i, r in enumerate(residuals)))
+    words = screen.missed(counts.join(known, "word", "left_anti"), parts.join(stored.select("row", "words"), "row"), fits)
+    found = set(_working(words))
+    drop_folder(spark, path)
+    return found
+
+
+def _fit_links(stored: DataFrame, names: list[str], vocabulary: list[str]) -> Chain:
+    """The chain over a vocabulary; later categories see probabilities of models that did not see the row."""
+    spark = stored.sparkSession
+    vectoriser, rows, vectors = _vectors(stored, vocabulary)
+    chain, earlier = Chain(vectoriser), []
+    for name in names:
+        stage = _with_features(rows, earlier)
+        model, fixed = _fit(stage, name)
         out_of_fold = None
         for fold in range(FOLDS):
             inner, inner_fixed = _fit(stage.where(F.col("fold") != fold), name)
             part = _probability(stage.where(F.col("fold") == fold), inner, inner_fixed, f"p_{name}").select("row", f"p_{name}")
             out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
-            checked = _probability(checked, inner, inner_fixed, f"p_{fold}")
-            if (name, fold) in screen.sizes:
-                fits.append((name, fold))
-                residuals.append(screen.residual(fits[-1], F.col(f"p_{fold}")))
-        if counts is not None and fits:
-            parts = checked.select("row", *(r.alias(f"r{i}") for i, r in enumerate(residuals)))
-            found = screen.missed(counts, parts.join(stored.select("row", "words"), "row"), fits)
-            path = scratch_dir(spark, "toxicity-missed")
-            found.where("excess > 1").write.parquet(path)
-            found = spark.read.schema("word string, excess double").parquet(path)
-            missed = found if missed is None else missed.unionByName(found)
         path = scratch_dir(spark, "toxicity-folds")
         out_of_fold.write.parquet(path)
         rows = rows.join(spark.read.parquet(path), "row")
         chain.links.append(Link(name, model, fixed, _best_threshold(rows, f"p_{name}", name)))
         earlier.append(f"p_{name}")
     drop_folder(spark, vectors)
-    return chain, set() if missed is None else set(_working(missed))
+    return chain
 
 
 def _best_threshold(rows: DataFrame, probability: str, label: str) -> float:
