@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -24,14 +26,15 @@ def word_count(text: Column) -> Column:
 
 
 def page_title(html: Column) -> Column:
-    return F.nullif(F.trim(decode_entities(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
+    return F.nullif(F.trim(_readable(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
 
 
 def page_meta(html: Column, attribute: str, value: str) -> Column:
-    """Content of a meta element, whichever of its two attributes comes first."""
-    named, content = rf'{attribute}="{value}"', 'content="([^"]*)"'
-    found = [F.regexp_extract(html, rf"(?is)<meta[^>]*{a}[^>]*{b}", 1) for a, b in ((named, content), (content, named))]
-    return F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
+    """Content of a meta element, whichever of its two attributes comes first, in either kind of quotes."""
+    named, contents = rf"""{attribute}=["']{value}["']""", ('content="([^"]*)"', "content='([^']*)'")
+    orders = [pair for c in contents for pair in ((named, c), (c, named))]
+    found = [F.regexp_extract(html, rf"(?is)<meta[^>]*{a}[^>]*{b}", 1) for a, b in orders]
+    return _readable(F.coalesce(*[F.nullif(f, F.lit("")) for f in found]))
 
 
 # Markup that carries no article text, removed in this order; then every other tag.
@@ -43,14 +46,39 @@ DROPPED_MARKUP = (
     r"(?is)<nav[^>]*>.*?</nav>",
     r"(?is)<[^>]+>",
 )
-# The entities of plain HTML text; the ampersand must come last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: A character reference: decimal, hexadecimal or named.
+REFERENCE = r"&(?:#[0-9]{1,8};?|#[xX][0-9a-fA-F]{1,8};?|[A-Za-z][A-Za-z0-9]{0,31};)"
+#: Characters by name, as the standard library lists them.
+NAMED = {f"&{name}": char for name, char in html5.items() if name.endswith(";")}
+#: Numbers 128 to 159 mean the characters of the old Windows code page.
+WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+
+
+def _character(reference: Column) -> Column:
+    """What a reference stands for; a number that is no character is U+FFFD, an unknown name stays as it is."""
+    digits = F.regexp_replace(reference, r"[&#xX;]", "")
+    hexadecimal = reference.rlike("^&#[xX]")
+    n = F.when(hexadecimal, F.conv(digits, 16, 10).cast("bigint")).otherwise(F.conv(digits, 10, 10).cast("bigint"))
+    windows = F.create_map(*(F.lit(v) for number, char in WINDOWS.items() for v in (number, char)))
+    named = F.create_map(*(F.lit(v) for pair in NAMED.items() for v in pair))
+    valid = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    number = F.when(~valid, F.lit("\ufffd")).when(n.between(128, 159), F.try_element_at(windows, n.cast("int"))).otherwise(plain)
+    return F.when(reference.startswith("&#"), number).otherwise(F.coalesce(F.try_element_at(named, reference), reference))
+
+
+def decode_references(text: Column) -> Column:
+    """Character references replaced by what they stand for, once each: the text is cut at them and joined again."""
+    rest = F.split(text, REFERENCE, -1)
+    found = F.regexp_extract_all(text, F.lit(f"({REFERENCE})"), F.lit(1))
+    pairs = F.zip_with(found, F.slice(rest, 2, F.size(found)), lambda reference, after: F.concat(_character(reference), after))
+    spliced = F.concat(F.get(rest, F.lit(0)), F.array_join(pairs, ""))
+    return F.when(text.rlike(REFERENCE), spliced).otherwise(text)
 
 
-def decode_entities(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+def _readable(text: Column) -> Column:
+    """With references decoded; a space that must not break is a space."""
+    return F.replace(decode_references(text), F.lit("\u00a0"), F.lit(" "))
 
 
 def page_text(html: Column) -> Column:
@@ -58,4 +86,4 @@ def page_text(html: Column) -> Column:
     text = html
     for pattern in DROPPED_MARKUP:
         text = F.regexp_replace(text, pattern, " ")
-    return F.trim(F.regexp_replace(decode_entities(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(_readable(text), r"\s+", " "))

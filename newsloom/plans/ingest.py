@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from newsloom.functions import text as X
 from newsloom.operators import ingest as I
 from newsloom.operators.interactions import accepted_interactions
 from newsloom.plans.registry import CTES, query
@@ -11,30 +12,72 @@ from newsloom.schemas import ARTICLE, INTERACTION
 from newsloom.session import scratch_dir
 from newsloom.sources import tables as S, views as V
 
-CTES["extracted"] = r"""
-SELECT page_id, url, nullif(trim(replace(replace(replace(replace(replace(replace(
-    regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1),
-    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')), '') AS title,
-  trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+# The standard library's names of characters, and the numbers of the old Windows code page, as maps.
+CTES["html_names"] = f"""
+SELECT MAP([{', '.join(map(_text, X.NAMED))}], [{', '.join(map(_text, X.NAMED.values()))}]) AS named,
+  MAP([{', '.join(map(str, X.WINDOWS))}], [{', '.join(map(_text, X.WINDOWS.values()))}]) AS windows
+"""
+_NUMBER = "CASE WHEN lower(r[3:3]) = 'x' THEN cast('0x' || rtrim(r[4:], ';') AS bigint) ELSE cast(rtrim(r[3:], ';') AS bigint) END"
+_CHARACTER = f"""CASE WHEN r[2:2] <> '#' THEN coalesce(named[r], r)
+  WHEN NOT ({_NUMBER}) BETWEEN 1 AND 1114111 OR ({_NUMBER}) BETWEEN 55296 AND 57343 THEN chr(65533)
+  WHEN ({_NUMBER}) BETWEEN 128 AND 159 THEN windows[({_NUMBER})::int] ELSE chr(({_NUMBER})::int) END"""
+
+
+def decoded(x: str) -> str:
+    return f"""replace(array_to_string(list_transform(list_zip(regexp_split_to_array({x}, '{X.REFERENCE}'),
+    list_concat([''], list_transform(regexp_extract_all({x}, '{X.REFERENCE}'), lambda r: {_CHARACTER}))),
+    lambda p: p[2] || p[1]), ''), chr(160), ' ')"""
+
+
+def extraction(source: str) -> str:
+    """Articles of the pages in `source` (page_id, url, html)."""
+    metas = []
+    for attribute, value in (("name", "author"), ("property", "og:image")):
+        named = f"""{attribute}=["'']{value}["'']"""
+        contents = ('content="([^"]*)"', "content=''([^'']*)''")
+        orders = [pair for c in contents for pair in ((named, c), (c, named))]
+        found = [f"nullif(regexp_extract(html, '(?is)<meta[^>]*{a}[^>]*{b}', 1), '')" for a, b in orders]
+        metas.append(f"coalesce({', '.join(found)})")
+    return rf"""
+SELECT page_id, url, nullif(trim({decoded('t')}), '') AS title, trim(regexp_replace({decoded('c')}, '\s+', ' ', 'g')) AS content,
+  CASE WHEN a IS NOT NULL THEN {decoded('a')} END AS page_author, CASE WHEN i IS NOT NULL THEN {decoded('i')} END AS image_url
+FROM (SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t,
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
       '(?is)<!--.*?-->', ' ', 'g'), '(?is)<head[^>]*>.*?</head>', ' ', 'g'),
       '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'),
-      '(?is)<nav[^>]*>.*?</nav>', ' ', 'g'), '(?is)<[^>]+>', ' ', 'g'),
-    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'),
-    '\s+', ' ', 'g')) AS content,
-  coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]*name="author"[^>]*content="([^"]*)"', 1), ''),
-    nullif(regexp_extract(html, '(?is)<meta[^>]*content="([^"]*)"[^>]*name="author"', 1), '')) AS page_author,
-  coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]*property="og:image"[^>]*content="([^"]*)"', 1), ''),
-    nullif(regexp_extract(html, '(?is)<meta[^>]*content="([^"]*)"[^>]*property="og:image"', 1), '')) AS image_url
-FROM pages
+      '(?is)<nav[^>]*>.*?</nav>', ' ', 'g'), '(?is)<[^>]+>', ' ', 'g') AS c, {metas[0]} AS a, {metas[1]} AS i
+  FROM {source}), html_names
 """
 
 
+CTES["extracted"] = extraction("pages")
+# Pages in which accents, quotes and some blanks are references of every kind, and attributes are in single quotes.
+WRITTEN = (("é", "&eacute;"), ("ü", "&#252;"), (". ", "&#8217;&hellip; &#150; &nosuch; "), ("the ", "&amp;lt; "))
+_PAGES = "regexp_replace(regexp_replace(html, '=\"([^\"]*)\"', '=''\\1''', 'g'), '([a-z])e ', '\\1e&#x2019;s&nbsp;', 'g')"
+for _plain, _reference in WRITTEN:
+    _PAGES = f"replace({_PAGES}, '{_plain}', '{_reference}')"
+CTES["referring_pages"] = f"SELECT page_id, url, {_PAGES} AS html FROM pages"
+CTES["referring"] = extraction("referring_pages")
+
+
 @query("extract_articles", "SELECT page_id, url, title, content, page_author, image_url FROM extracted")
 def extract_articles(spark, d) -> DataFrame:
     return I.extract_articles(S.read_table(spark, d, "pages"))
 
 
+@query("extract_references", "SELECT page_id, url, title, content, page_author, image_url FROM referring")
+def extract_references(spark, d) -> DataFrame:
+    """Extraction from pages full of character references."""
+    html = F.regexp_replace(F.regexp_replace("html", '="([^"]*)"', "='$1'"), "([a-z])e ", "$1e&#x2019;s&nbsp;")
+    for plain, reference in WRITTEN:
+        html = F.replace(html, F.lit(plain), F.lit(reference))
+    return I.extract_articles(S.read_table(spark, d, "pages").withColumn("html", html))
+
+
 def _incoming_pages(spark, d) -> DataFrame:
     """Every page, and every tenth once more under a new id: repeats within a batch."""
     pages = S.read_table(spark, d, "pages").select("page_id", "url")

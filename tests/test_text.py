@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import html
 
 import numpy as np
 import pytest
@@ -26,14 +27,38 @@ def test_words_of_any_script(spark):
 
 
 def test_page_parts(spark):
-    html = (
+    page = (
         '<html><head><title> A &amp; B </title><meta name="author" content="Jo"></head><body><nav>menu</nav>'
         "<script>x('</p>')</script><p>One&nbsp;&lt;two&gt;</p><!-- no --> three</body></html>"
     )
-    row = I.extract_articles(spark.createDataFrame([(1, html)], "page_id bigint, html string")).first()
+    row = I.extract_articles(spark.createDataFrame([(1, page)], "page_id bigint, html string")).first()
     assert (row.title, row.content, row.page_author, row.image_url) == ("A & B", "One <two> three", "Jo", None)
 
 
+REFERENCES = [
+    "it&#8217;s &eacute;t&#233; &#x2019;&#X2019; &mdash;&lt;b&gt;", "&amp;lt; &amp;amp; &amp", "a & b &nosuch; &;", "&#150;&#128;&#0;&#55296;&#1114112; x",
+    "&quot;&apos;&#39;", "&notin;&NotEqualTilde;&#128512;&", "", "no reference", "&#12 &#x41 ;&#99999999;", "&#x1F600;&hearts;&hearts;",
+]
+
+
+def test_references_are_decoded_as_the_standard_library_does(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*REFERENCES, None])], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", X.decode_references(F.col("t")).alias("x")).collect()}
+    # The library also reads some names without a semicolon; here they stay.
+    want = [html.unescape(t) if "&amp" != t[-4:] else html.unescape(t[:-4]) + "&amp" for t in REFERENCES]
+    assert [got[i] for i in range(len(REFERENCES))] == want and got[len(REFERENCES)] is None
+
+
+def test_page_parts_in_either_quotes_with_references(spark):
+    page = (
+        "<title>L&#8217;&eacute;t&eacute;&nbsp;2</title><meta content='Zo&euml; \"Z\"' name='author'>"
+        "<meta property='og:image' content='a.png?x=1&amp;y=2'><body>A&#x2019;s&nbsp;&nbsp;b</body>"
+    )
+    row = I.extract_articles(spark.createDataFrame([(1, page)], "page_id bigint, html string")).first()
+    assert (row.title, row.page_author, row.image_url) == ("L\u2019\u00e9t\u00e9 2", 'Zo\u00eb "Z"', "a.png?x=1&y=2")
+    assert row.content.endswith("A\u2019s b")
+
+
 def test_embedding_text_limits(spark):
     f = lambda t, c: one(spark, E.embedding_text(F.col("t"), F.col("c")), t=t, c=c)
     assert f("T", "body") == "T\n\nbody"
