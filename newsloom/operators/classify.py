@@ -17,7 +17,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.functions import text as X
 from newsloom.functions.scale import r6
@@ -46,10 +46,26 @@ def topic_name(topic_id: Column) -> Column:
 
 @dataclass
 class NaiveBayes:
-    """words: (word, ll0, ll1, ...) log-likelihood per class; priors: one row (lp0, lp1, ...)."""
+    """words: (word, ll0, ll1, ...) log-likelihood per class; priors: one row (lp0, lp1, ...); n_words: rows of words, if known."""
 
     words: DataFrame
     priors: DataFrame
+    n_words: int | None = None
+
+
+#: Words of a model that may be sent to every task.
+SHARED_WORDS = 1 << 18
+
+
+def save_nb(model: NaiveBayes, path: str) -> None:
+    model.words.write.parquet(f"{path}/words")
+    model.priors.write.parquet(f"{path}/priors")
+
+
+def load_nb(spark: SparkSession, path: str) -> NaiveBayes:
+    columns = lambda name: ", ".join(f"{name}{c} double" for c in CLASSES)
+    words = spark.read.schema(f"word string, {columns('ll')}").parquet(f"{path}/words")
+    return NaiveBayes(words, spark.read.schema(columns("lp")).parquet(f"{path}/priors"), words.count())
 
 
 def train_nb(labelled: DataFrame, text: str, label: str) -> NaiveBayes:
@@ -87,16 +103,15 @@ def nb_scores(docs: DataFrame, key: str, text: str, model: NaiveBayes) -> DataFr
     """docs plus `scores`, one per class: log prior + sum of word log-likelihoods; unknown words count nothing.
 
     A document's words meet the word table in one join; sums per document merge in the task that
-    read it. A word table that is too big to broadcast is joined by word, where adaptive execution
+    read it. A word table that is too big to broadcast is joined by word, after counting, where adaptive execution
     splits the partition of a very common word.
     """
     words = docs.select(key, F.explode(X.tokens(F.col(text))).alias("word"))
-    counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n"))
-    sums = (
-        counted.join(model.words, "word")
-        .groupBy(key)
-        .agg(*[F.sum(F.col("_n") * F.col(f"ll{c}")).alias(f"_w{c}") for c in CLASSES])
-    )
+    if model.n_words is not None and model.n_words <= SHARED_WORDS:
+        known = words.withColumn("_n", F.lit(1)).join(F.broadcast(model.words), "word")
+    else:
+        known = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n")).join(model.words, "word")
+    sums = known.groupBy(key).agg(*[F.sum(F.col("_n") * F.col(f"ll{c}")).alias(f"_w{c}") for c in CLASSES])
     prior = model.priors.select(F.struct(*[f"lp{c}" for c in CLASSES]).alias("p")).scalar()
     scored = docs.join(sums, key, "left").withColumn("_p", prior)
     return scored.select(
@@ -124,13 +139,17 @@ def classify_nb(docs: DataFrame, key: str, text: str, model: NaiveBayes) -> Data
     Blank text is ('Unknown', 0.0, -1); text that cannot be scored is ('Error', 0.0, -1). Every
     input row comes out once. Ties go to the lowest topic id.
     """
-    scored = nb_scores(docs, key, text, model)
-    return with_contract(scored.withColumn("probs", softmax(F.col("scores"))), text)
+    # Whether a text is blank is decided before the join, which then carries texts only if they are asked for.
+    scored = nb_scores(docs.withColumn("_blank", X.is_blank(F.col(text))), key, text, model)
+    return _contract(scored.withColumn("probs", softmax(F.col("scores"))), F.col("_blank")).drop("_blank")
 
 
 def with_contract(scored: DataFrame, text: str) -> DataFrame:
     """topic, confidence and topic_id from the array of class probabilities, with the edge cases."""
-    blank = X.is_blank(F.col(text))
+    return _contract(scored, X.is_blank(F.col(text)))
+
+
+def _contract(scored: DataFrame, blank: Column) -> DataFrame:
     best = F.array_max("probs")
     failed = best.isNull() | F.isnan(best)
     state = F.when(blank, "Unknown").when(failed, "Error")

@@ -57,7 +57,7 @@ def process_rows(batch: DataFrame, index_size: Column, classify: Classifier, now
     )
     good = checked.where(F.col("_error").isNull()).drop("_error", "topic", "topic_confidence", "embedding_id")
     text = E.classification_text(F.col("title"), F.col("content"))
-    scored = classify(good.withColumn("text", text)).drop("text", "topic_id")
+    scored = classify(good.select("article_id", text.alias("text"))).select("article_id", "topic", "confidence")
     embedded = M.embed_batch(good.select("article_id", "content"), "content").where(M.nonzero(F.col("embedding")))
     stored = materialize(
         embedded.select("article_id", F.col("embedding").cast("array<float>").alias("embedding")), "embedded"
@@ -68,8 +68,10 @@ def process_rows(batch: DataFrame, index_size: Column, classify: Classifier, now
     vectors = stored.join(placed, "article_id").select(
         "article_id", F.col("embedding_id").alias("position"), "embedding"
     )
+    # Topics and positions are put together first, as a narrow table; texts pass one join, or none if that table is small.
+    outcome = materialize(scored.join(placed, "article_id", "left"), "outcome")
     done = (
-        scored.join(placed, "article_id", "left")
+        good.join(outcome, "article_id")
         .withColumn("topic_confidence", F.col("confidence"))
         .withColumns(
             {
