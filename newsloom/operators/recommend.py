@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.stat import Summarizer
@@ -11,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from newsloom.functions.cooccurrence import item_neighbours, neighbour_scores
 from newsloom.functions.feedblocks import score_feeds
-from newsloom.functions.scale import minmax, r6
-from newsloom.functions.topk import top_k
+from newsloom.functions.scale import dense_positions, minmax, r6
+from newsloom.functions.topk import to_ids, to_matrix, top_k
 from newsloom.schemas import TOPICS
 from newsloom.session import set_checkpoint_dir
 from newsloom.sources.tables import materialize
@@ -157,22 +159,69 @@ def popularity(candidates: DataFrame, interactions: DataFrame) -> DataFrame:
 # --- collaborative factors -------------------------------------------------------------------
 
 
-def als_factors(matrix: DataFrame, rank: int = 16, iterations: int = 8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(user factors, article factors) of implicit matrix factorisation on click counts."""
+# Settings of the factorisation, which folding in repeats.
+RANK, REGULARISATION, ALPHA = 16, 0.05, 10.0
+
+
+def als_factors(matrix: DataFrame, rank: int = RANK, iterations: int = 8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(user factors, article factors) of implicit matrix factorisation on click counts.
+
+    Ids of any size are numbered 0, 1, 2, ... first, since the factorisation wants small integers. Rows with a null are left out.
+    """
     set_checkpoint_dir(matrix.sparkSession)
-    ratings = matrix.select(
-        F.col("user_id").cast("int").alias("user"), F.col("article_id").cast("int").alias("item"),
-        F.col("clicks").cast("float").alias("rating"),
+    clicks = matrix.select("user_id", "article_id", "clicks").dropna()
+    numbers = {
+        key: materialize(dense_positions(clicks.select(key).distinct(), key, "number"), f"{key}-numbers")
+        for key in ("user_id", "article_id")
+    }
+    ratings = (
+        clicks.join(numbers["user_id"].withColumnRenamed("number", "user"), "user_id")
+        .join(numbers["article_id"].withColumnRenamed("number", "item"), "article_id")
+        .select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), F.col("clicks").cast("float").alias("rating"))
     )
     model = ALS(
-        rank=rank, maxIter=iterations, regParam=0.05, alpha=10.0, implicitPrefs=True, seed=seed, userCol="user",
+        rank=rank, maxIter=iterations, regParam=REGULARISATION, alpha=ALPHA, implicitPrefs=True, seed=seed, userCol="user",
         itemCol="item", ratingCol="rating",
     ).fit(ratings)
-    features = F.col("features").cast("array<double>").alias("factor")
-    return (
-        model.userFactors.select(F.col("id").cast("bigint").alias("user_id"), features),
-        model.itemFactors.select(F.col("id").cast("bigint").alias("article_id"), features),
+    named = lambda factors, key: factors.join(numbers[key], F.col("id") == F.col("number")).select(
+        key, F.col("features").cast("array<double>").alias("factor")
     )
+    return named(model.userFactors, "user_id"), named(model.itemFactors, "article_id")
+
+
+def fold_in_users(matrix: DataFrame, article_factors: DataFrame) -> DataFrame:
+    """(user_id, factor) of the users in `matrix` (all clicks of new or changed users) for fixed article factors.
+
+    A user's factor solves (Y'Y + sum of alpha r y y' + reg n I) x = sum of (1 + alpha r) y over the n clicked articles with counts
+    r and factors y: one half-step of the factorisation. The sums merge before the shuffle, so a user with any number of
+    clicks sends one row per task; Y'Y is one small matrix. Articles without a factor count nothing.
+    """
+    y = article_factors.select("article_id", F.col("factor").cast("array<double>").alias("factor"))
+    outer = F.flatten(F.transform("factor", lambda a: F.transform("factor", lambda b: a * b)))
+    gram = y.select(array_to_vector(outer).alias("_g")).groupBy(F.lit(1)).agg(Summarizer.sum(F.col("_g")).alias("g")).first()
+    if gram is None:
+        return matrix.sparkSession.createDataFrame([], "user_id bigint, factor array<double>")
+    size = int(round(len(gram["g"]) ** 0.5))
+    whole = gram["g"].toArray().reshape(size, size)
+    strength = F.lit(ALPHA) * F.col("clicks").cast("double")
+    rows = matrix.select("user_id", "article_id", "clicks").dropna().where("clicks > 0").join(y, "article_id").select(
+        "user_id",
+        array_to_vector(F.transform(outer, lambda v: v * strength)).alias("_a"),
+        array_to_vector(F.transform("factor", lambda v: v * (1 + strength))).alias("_b"),
+    )
+    sums = rows.groupBy("user_id").agg(
+        Summarizer.sum(F.col("_a")).alias("_a"), Summarizer.sum(F.col("_b")).alias("_b"), F.count(F.lit(1)).cast("double").alias("_n")
+    )
+
+    @F.arrow_udf("array<double>")
+    def solve(a: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
+        if not len(a):
+            return pa.array([], pa.list_(pa.float64()))
+        left = to_matrix(a).reshape(-1, size, size) + whole + REGULARISATION * to_ids(n)[:, None, None] * np.eye(size)
+        solved = np.linalg.solve(left, to_matrix(b)[:, :, None])[:, :, 0]
+        return pa.ListArray.from_arrays(np.arange(0, solved.size + 1, size, dtype=np.int32), solved.ravel())
+
+    return sums.select("user_id", solve(vector_to_array("_a"), vector_to_array("_b"), F.col("_n")).alias("factor"))
 
 
 def sketch_factors(matrix: DataFrame, dim: int = SKETCH_DIM) -> tuple[DataFrame, DataFrame]:

@@ -210,6 +210,20 @@ def neighbour_scores(spark, d) -> DataFrame:
     return H.neighbour_scores(matrix, H.item_neighbours(matrix, H.NEIGHBOURS))
 
 
+@query(
+    "als_fold_in",
+    "SELECT user_id, count(DISTINCT article_id) AS articles, true AS same FROM interactions WHERE interaction_type = 'click' GROUP BY 1",
+)
+def als_fold_in(spark, d) -> DataFrame:
+    """Each user folded into the article factors; `same` says that this is the factor of the whole factorisation."""
+    matrix = S.materialize(H.user_item_matrix(compacted(spark, d)), "clicks")
+    users, articles = H.als_factors(matrix)
+    folded = H.fold_in_users(matrix, S.materialize(articles, "article-factors")).withColumnRenamed("factor", "folded")
+    off = F.aggregate(F.zip_with("factor", "folded", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: F.greatest(a, x))
+    sizes = matrix.groupBy("user_id").agg(F.count(F.lit(1)).alias("articles"))
+    return users.join(folded, "user_id").join(sizes, "user_id").select("user_id", "articles", (off < 1e-3).alias("same"))
+
+
 @query("als_scores")
 def als_scores(spark, d) -> DataFrame:
     i, a, v = inputs(spark, d)

@@ -86,6 +86,27 @@ def test_als_is_repeatable_and_leaves_out_read_articles(spark, small):
     assert H.exclude_read(spark.createDataFrame(one), i).count() == len(one)
 
 
+def test_folding_in_is_one_half_step_for_ids_of_any_size(spark):
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(u) * 2**33 - 5, int(a) * 2**40, int(u + a) % 3 + 1) for u, a in zip(rng.integers(0, 30, 300), rng.integers(0, 20, 300))})
+    m = spark.createDataFrame([*rows, (None, 1, 1), (1, None, 1)], "user_id bigint, article_id bigint, clicks bigint")
+    users, articles = H.als_factors(m, rank=4, iterations=3)
+    users, articles = users.cache(), articles.cache()
+    want = {r.user_id: np.array(r.factor) for r in users.collect()}
+    assert set(want) == {u for u, _, _ in rows} and {r.article_id for r in articles.collect()} == {a for _, a, _ in rows}
+    got = {r.user_id: np.array(r.factor) for r in H.fold_in_users(m, articles).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[u], want[u], atol=1e-3) for u in want)
+    # By hand for one user.
+    y = {r.article_id: np.array(r.factor) for r in articles.collect()}
+    one = rows[0][0]
+    mine = [(y[a], n) for u, a, n in rows if u == one]
+    left = sum(np.outer(v, v) for v in y.values()) + sum(10.0 * n * np.outer(v, v) for v, n in mine) + 0.05 * len(mine) * np.eye(4)
+    assert np.allclose(got[one], np.linalg.solve(left, sum((1 + 10.0 * n) * v for v, n in mine)), atol=1e-6)
+    new = spark.createDataFrame([(7, rows[0][1], 2), (8, 3, 1)], m.schema)  # user 8 clicked an article without a factor
+    assert [r.user_id for r in H.fold_in_users(new, articles).collect()] == [7]
+    assert H.fold_in_users(m, articles.where("false")).count() == 0
+
+
 def test_sketch_tracks_co_click_cosine(spark):
     clicks = [(u, a, 1) for u in range(60) for a in range(4) if (u // 30 == a // 2) or u % 29 == 0]
     m = spark.createDataFrame(clicks, "user_id bigint, article_id bigint, clicks bigint")
