@@ -42,6 +42,51 @@ def dau(interactions: DataFrame, approximate: bool = False) -> DataFrame:
     return interactions.groupBy(day("ts").alias("day")).agg(users.alias("users"))
 
 
+SKETCH_PRECISION = 14
+
+
+def daily_user_sketches(interactions: DataFrame, precision: int = SKETCH_PRECISION) -> DataFrame:
+    """(day, sketch): a mergeable count of the users of each day, stored instead of its events. The standard error of what is
+    read from sketches of 2^precision registers is about 1.04 / 2^(precision / 2), 0.8 % by default."""
+    return interactions.groupBy(F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("user_id", precision).alias("sketch"))
+
+
+def users_of_spans(sketches: DataFrame, spans: DataFrame) -> DataFrame:
+    """(span, users): distinct users of any spans of days (span, first, last), from the stored sketches alone."""
+    days = spans.select("span", F.explode(F.sequence("first", "last")).alias("day"))
+    return days.join(sketches, "day").groupBy("span").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("users"))
+
+
+def _user_bitmaps(rows: DataFrame, day: str) -> DataFrame:
+    """(day, bucket, bitmap): the users of each day as bits, 32,768 users a row."""
+    return rows.groupBy(day, F.bitmap_bucket_number("user_id").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("user_id")).alias("bitmap")
+    )
+
+
+def cohort_retention(interactions: DataFrame, days: int = 30) -> DataFrame:
+    """(cohort, day_no, users): of the users whose first day is `cohort`, how many came on each of the `days` days after; rows without
+    any are left out.
+
+    Users become bits once per day they came and once for their first day; a cell of the triangle is the number of bits that a cohort and
+    a day share, so no user rows are joined with each other. Null users are left out.
+    """
+    active = interactions.where(F.col("user_id").isNotNull()).select("user_id", F.to_date("ts").alias("day")).distinct()
+    first = active.groupBy("user_id").agg(F.min("day").alias("cohort"))
+    came, began = _user_bitmaps(active, "day"), _user_bitmaps(first, "cohort")
+    # Each cohort once for every later day, and each day once for every cohort it can belong to.
+    steps = F.explode(F.sequence(F.lit(1), F.lit(days))).alias("day_no")
+    one = began.select("cohort", "bucket", "bitmap", steps)
+    other = came.select(F.col("day"), "bucket", "bitmap", steps).select(
+        F.date_sub("day", F.col("day_no")).alias("cohort"), "bucket", "bitmap", "day_no"
+    )
+    both = one.unionByName(other).groupBy("cohort", "day_no", "bucket").agg(
+        F.bitmap_and_agg("bitmap").alias("shared"), F.count(F.lit(1)).alias("sides")
+    )
+    shared = both.where("sides = 2").withColumn("users", F.bitmap_count("shared")).where("users > 0")
+    return shared.groupBy("cohort", "day_no").agg(F.sum("users").alias("users"))
+
+
 def user_sessions(interactions: DataFrame, gap_seconds: int = SESSION_GAP) -> DataFrame:
     """Sessions of a user: start, length, events and distinct articles."""
     keys = ["user_id"]

@@ -32,6 +32,42 @@ def dau(spark, d) -> DataFrame:
     return K.dau(accepted(spark, d))
 
 
+#: Relative error within which counts from sketches have to be: about four standard errors.
+SKETCH_ERROR = 0.035
+
+
+@query(
+    "wau_sketch",
+    """
+SELECT date_trunc('week', ts)::date AS week, count(DISTINCT user_id) AS users, true AS within FROM accepted GROUP BY 1
+""",
+)
+def wau_sketch(spark, d) -> DataFrame:
+    """Weekly users from stored daily sketches, next to the exact count."""
+    rows = accepted(spark, d)
+    sketches = S.materialize(K.daily_user_sketches(rows), "user-sketches")
+    week = F.to_date(F.date_trunc("week", F.col("day")))
+    weeks = sketches.select(week.alias("span")).distinct()
+    estimate = K.users_of_spans(sketches, weeks.select("span", F.col("span").alias("first"), F.date_add("span", 6).alias("last")))
+    exact = rows.groupBy(F.to_date(F.date_trunc("week", "ts")).alias("span")).agg(F.countDistinct("user_id").alias("exact"))
+    near = F.abs(F.col("users") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * SKETCH_ERROR)
+    return exact.join(estimate, "span", "left").select(F.col("span").alias("week"), F.col("exact").alias("users"), F.coalesce(near, F.lit(False)).alias("within"))
+
+
+@query(
+    "cohort_retention",
+    """
+WITH a AS (SELECT DISTINCT user_id, ts::date AS d FROM accepted),
+  f AS (SELECT user_id, min(d) AS d FROM a GROUP BY 1)
+SELECT f.d AS cohort, cast(a.d - f.d AS int) AS day_no, count(*) AS users FROM f JOIN a ON a.user_id = f.user_id
+WHERE a.d - f.d BETWEEN 1 AND 30 GROUP BY 1, 2
+""",
+)
+def cohort_retention(spark, d) -> DataFrame:
+    """The whole triangle of first days and later days, by bitmaps."""
+    return K.cohort_retention(accepted(spark, d))
+
+
 CTES["sessions"] = """
 SELECT user_id, cast(session_no AS int) AS session_no, min(ts) AS started,
   (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds, count(*) AS events, count(DISTINCT article_id) AS articles
