@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from newsloom.functions import text as X
-from newsloom.functions.ordered import exact_quantiles, micros, number_sessions, session_buckets
+from newsloom.functions.ordered import SKETCH_K, bracketed_quantiles, micros, number_sessions, session_buckets
 from newsloom.functions.scale import r6, ratio
+from newsloom.sources.tables import materialize
 
 SESSION_GAP = 1800
 
@@ -168,14 +169,27 @@ def latency_percentiles(requests: DataFrame, approximate: bool = False) -> DataF
     Exact by default; `approximate` answers from one aggregate of sketches.
     """
     both = requests.select(F.explode(F.array(day("ts"), F.lit("all"))).alias("day"), "ms", "failed")
-    rates = both.groupBy("day").agg(
-        F.count(F.lit(1)).alias("requests"), r6(F.avg(F.col("failed").cast("double"))).alias("error_rate")
-    )
     if approximate:
+        rates = both.groupBy("day").agg(
+            F.count(F.lit(1)).alias("requests"), r6(F.avg(F.col("failed").cast("double"))).alias("error_rate")
+        )
         q = both.groupBy("day").agg(*[F.percentile_approx("ms", p, 10000).alias(n) for n, p in QUANTILES.items()])
-    else:
-        long = exact_quantiles(both, "day", "ms", QUANTILES)
-        q = long.groupBy("day").agg(*[F.max(F.when(F.col("quantile") == n, F.col("value"))).alias(n) for n in QUANTILES])
+        return rates.join(q, "day")
+    # One pass over the requests for counts and sketches per day; the sketch of all days is merged from them.
+    ms = F.col("ms").cast("double")
+    days = materialize(
+        requests.groupBy(day("ts").alias("day")).agg(
+            F.count(F.lit(1)).alias("requests"), F.count("failed").alias("_known"), F.sum(F.col("failed").cast("double")).alias("_failed"),
+            F.count(ms).alias("_n"), F.kll_sketch_agg_double(ms, SKETCH_K).alias("_sketch"),
+        ),
+        "latency",
+    )
+    sums = {c: F.sum(c).alias(c) for c in ("requests", "_known", "_failed", "_n")}
+    whole = days.where("_n > 0").groupBy(F.lit("all").alias("day")).agg(*sums.values(), F.kll_merge_agg_double("_sketch", SKETCH_K).alias("_sketch"))
+    counted = days.groupBy(F.lit("all").alias("day")).agg(*sums.values()).unionByName(days.select("day", *sums))
+    rates = counted.select("day", "requests", r6(F.try_divide("_failed", "_known")).alias("error_rate"))
+    long = bracketed_quantiles(both, days.unionByName(whole), "day", "ms", QUANTILES)
+    q = long.groupBy("day").agg(*[F.max(F.when(F.col("quantile") == n, F.col("value"))).alias(n) for n in QUANTILES])
     return rates.join(q, "day")
 
 

@@ -121,3 +121,25 @@ def test_retention_counts_days_one_to_seven(spark):
     rows = [(1, 1, 0), (1, 1, day * 7), (2, 1, 0), (2, 1, day * 8), (3, 1, 10), (3, 1, 20)]
     r = K.retention(log(spark, rows)).first()
     assert (r.users, r.returned, r.retention) == (3, 1, 0.333333)
+
+
+@pytest.mark.parametrize("k", [8, 800])
+def test_bracketed_quantiles_equal_numpy(spark, monkeypatch, k):
+    """Heavy ties, negative and huge values, nulls, tiny groups; a poor sketch misses brackets, which are then done anew."""
+    rng = np.random.default_rng(6)
+    groups = {
+        "a": rng.normal(size=3_000), "ties": rng.integers(0, 3, 500).astype(float), "one": np.array([7.5]), "two": np.array([1.0, 2.0]),
+        "wide": rng.pareto(0.5, 2_000) * 1e6 - 1e5,
+    }
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    if k == 8:
+        monkeypatch.setattr(O, "REACH", 0.0005)
+    sketches = df.groupBy("g").agg(F.count("v").alias("_n"), F.kll_sketch_agg_double("v", k).alias("_sketch"))
+    probs = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p1": 1.0}
+    got = {(r.g, r.quantile): r.value for r in O.bracketed_quantiles(df, sketches, "g", "v", probs).collect()}
+    assert got.keys() == {(g, n) for g in groups for n in probs}
+    for g, values in groups.items():
+        for name, p in probs.items():
+            want = np.quantile(values, p)
+            assert abs(got[g, name] - want) <= 1e-6 * max(1, abs(want)), (g, name)
