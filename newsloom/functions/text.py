@@ -31,9 +31,8 @@ def page_title(html: Column) -> Column:
 
 def page_meta(html: Column, attribute: str, value: str) -> Column:
     """Content of a meta element, whichever of its two attributes comes first, in either kind of quotes."""
-    named, contents = rf"""{attribute}=["']{value}["']""", ('content="([^"]*)"', "content='([^']*)'")
-    orders = [pair for c in contents for pair in ((named, c), (c, named))]
-    found = [F.regexp_extract(html, rf"(?is)<meta[^>]*{a}[^>]*{b}", 1) for a, b in orders]
+    named, content = rf"""{attribute}=["']{value}["']""", r"""content=(["'])(.*?)\1"""
+    found = [F.regexp_extract(html, rf"(?is)<meta[^>]*{a}[^>]*{b}", 2) for a, b in ((named, content), (content, named))]
     return _readable(F.coalesce(*[F.nullif(f, F.lit("")) for f in found]))
 
 
@@ -54,26 +53,36 @@ NAMED = {f"&{name}": char for name, char in html5.items() if name.endswith(";")}
 WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
 
 
+def _constant_map(entries: dict[str, str]) -> Column:
+    """A map that is one literal in the plan, not an expression per entry."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in entries.items())), F.lit("\x01"), F.lit("\x02"))
+
+
 def _character(reference: Column) -> Column:
     """What a reference stands for; a number that is no character is U+FFFD, an unknown name stays as it is."""
     digits = F.regexp_replace(reference, r"[&#xX;]", "")
     hexadecimal = reference.rlike("^&#[xX]")
     n = F.when(hexadecimal, F.conv(digits, 16, 10).cast("bigint")).otherwise(F.conv(digits, 10, 10).cast("bigint"))
-    windows = F.create_map(*(F.lit(v) for number, char in WINDOWS.items() for v in (number, char)))
-    named = F.create_map(*(F.lit(v) for pair in NAMED.items() for v in pair))
+    windows, named = _constant_map({str(k): v for k, v in WINDOWS.items()}), _constant_map(NAMED)
     valid = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
     plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    number = F.when(~valid, F.lit("\ufffd")).when(n.between(128, 159), F.try_element_at(windows, n.cast("int"))).otherwise(plain)
+    number = F.when(~valid, F.lit("\ufffd")).when(n.between(128, 159), F.try_element_at(windows, n.cast("string"))).otherwise(plain)
     return F.when(reference.startswith("&#"), number).otherwise(F.coalesce(F.try_element_at(named, reference), reference))
 
 
-def decode_references(text: Column) -> Column:
-    """Character references replaced by what they stand for, once each: the text is cut at them and joined again."""
+def _spliced(text: Column) -> Column:
     rest = F.split(text, REFERENCE, -1)
     found = F.regexp_extract_all(text, F.lit(f"({REFERENCE})"), F.lit(1))
     pairs = F.zip_with(found, F.slice(rest, 2, F.size(found)), lambda reference, after: F.concat(_character(reference), after))
-    spliced = F.concat(F.get(rest, F.lit(0)), F.array_join(pairs, ""))
-    return F.when(text.rlike(REFERENCE), spliced).otherwise(text)
+    return F.when(text.rlike(REFERENCE), F.concat(F.get(rest, F.lit(0)), F.array_join(pairs, ""))).otherwise(text)
+
+
+def decode_references(text: Column) -> Column:
+    """Character references replaced by what they stand for, once each: the text is cut at them and joined again.
+
+    The text is bound as a lambda variable, so whatever makes it runs once.
+    """
+    return F.get(F.transform(F.array(text), _spliced), F.lit(0))
 
 
 def _readable(text: Column) -> Column:

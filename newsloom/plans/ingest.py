@@ -38,9 +38,11 @@ def extraction(source: str) -> str:
     metas = []
     for attribute, value in (("name", "author"), ("property", "og:image")):
         named = f"""{attribute}=["'']{value}["'']"""
-        contents = ('content="([^"]*)"', "content=''([^'']*)''")
-        orders = [pair for c in contents for pair in ((named, c), (c, named))]
-        found = [f"nullif(regexp_extract(html, '(?is)<meta[^>]*{a}[^>]*{b}', 1), '')" for a, b in orders]
+        content = """content=(?:"([^"]*)"|''([^'']*)'')"""
+        found = [
+            f"nullif(regexp_extract(html, '(?is)<meta[^>]*{a}[^>]*{b}', {group}), '')"
+            for a, b in ((named, content), (content, named)) for group in (1, 2)
+        ]
         metas.append(f"coalesce({', '.join(found)})")
     return rf"""
 SELECT page_id, url, nullif(trim({decoded('t')}), '') AS title, trim(regexp_replace({decoded('c')}, '\s+', ' ', 'g')) AS content,
