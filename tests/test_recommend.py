@@ -3,10 +3,11 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.functions import cooccurrence
+from newsloom.functions import cooccurrence, feedblocks
 from newsloom.functions.feedblocks import score_feeds
 from newsloom.operators import recommend as H
 from newsloom.plans import recommend as P
@@ -78,6 +79,46 @@ def test_block_scores_equal_brute_force(spark, options, per_topic):
         assert np.allclose([s for _, s in rows], [s for _, s in want[u]], atol=2e-6)
 
 
+def test_the_grid_sends_each_side_a_bounded_number_of_times():
+    """Blocks of a fixed small size would send 90,000 users 547 times and 82,000 articles 1,800 times."""
+    for articles, users in ((8_200, 9_000), (82_000, 90_000), (492_000, 540_000)):
+        a, u = feedblocks.grid_blocks(articles, users, 64, 150, 50)
+        assert articles <= a * feedblocks.ARTICLE_BLOCK and users <= u * feedblocks.USER_BLOCK_MOST
+        assert a <= 8 and u <= 9 and a * u >= feedblocks.GRID_BLOCKS
+    assert feedblocks.grid_blocks(90, 13, 8, 20, 4) == (5, 4) and feedblocks.grid_blocks(1, 0, 0, 150, 50) == (1, 1)
+
+
+@pytest.mark.parametrize("per_topic", [0, 2])
+def test_tiles_of_any_size_give_the_same_rows(monkeypatch, per_topic):
+    """Equal scores, articles without popularity, vectors with holes and values of pairs; pairs are also scored before the end."""
+    rng = np.random.default_rng(8)
+    n, m, arr = 9, 120, pa.list_(pa.float64())
+    vectors = np.repeat(rng.normal(size=(m // 4, 6)), 4, axis=0).tolist()
+    vectors[7][2], vectors[8] = float("nan"), None
+    articles = pa.table({
+        "article_id": rng.permutation(m), "vector": pa.array(vectors, arr), "factor": pa.array([[] if i % 3 else None for i in range(m)], arr),
+        "topic_index": rng.integers(0, 5, m), "popularity": np.where(np.arange(m) == 5, np.nan, np.repeat(np.round(rng.random(m // 4), 6), 4)),
+    })
+    near = [[{"article_id": int(a), "collab": round(float(a) / 7, 6)} for a in rng.choice(m, 20, False)] if u % 4 else None for u in range(n)]
+    users = pa.table({
+        "user_id": np.arange(n), "profile": pa.array([None if u == 2 else rng.normal(size=6).tolist() for u in range(n)], arr),
+        "factor": pa.array([None if u == 5 else [] for u in range(n)], arr),
+        "prefs": pa.array([None if u == 3 else [None, *rng.random(3).tolist()] for u in range(n)], arr),
+        "weights": pa.array([list(H.WEIGHTS)] * n, arr),
+        "seen": pa.array([rng.choice(m, 117 if u == 0 else 9, False).tolist() for u in range(n)], pa.list_(pa.int64())),
+        "near": pa.array(near, pa.list_(pa.struct({"article_id": pa.int64(), "collab": pa.float64()}))),
+    })
+    run = lambda: feedblocks._score(users, feedblocks.Candidates(articles), 10, per_topic, False).sort_by(
+        [("user_id", "ascending"), ("article_id", "ascending")]
+    ).to_pylist()
+    whole = run()
+    for name, value in (("USERS_AT_ONCE", 2), ("ARTICLES_AT_ONCE", 7), ("PAIRS_HELD", 30)):
+        monkeypatch.setattr(feedblocks, name, value)
+    assert run() == whole and len({r["user_id"] for r in whole}) == n
+    # No chunk of pairs is larger than a tile, whatever the number of candidates.
+    assert max(end - first for first, end, _ in feedblocks.Candidates(articles).tiles) <= 7
+
+
 def test_als_is_repeatable_and_leaves_out_read_articles(spark, small):
     i, a, v = P.inputs(spark, small)
     c = H.candidate_articles(a, v)
