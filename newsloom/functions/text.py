@@ -14,6 +14,21 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WORD_BREAK), lambda t: t != "")
 
 
+def counted_tokens(text: Column) -> Column:
+    """(word, n) of each different word. Counted inside the row: the words are sorted, and a run of equal ones ends where the next
+    one starts. So no task holds the words of several texts."""
+
+    def counts(words: Column, starts: Column) -> Column:
+        after = lambda j: F.coalesce(F.get(starts, j + 1), F.size(words))
+        return F.transform(starts, lambda at, j: F.struct(F.get(words, at).alias("word"), (after(j) - at).alias("n")))
+
+    def runs(words: Column) -> Column:
+        first = F.transform(words, lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i))
+        return F.flatten(F.transform(F.array(F.filter(first, lambda i: i.isNotNull())), lambda starts: counts(words, starts)))
+
+    return F.flatten(F.transform(F.array(F.sort_array(tokens(text))), runs))
+
+
 def is_blank(text: Column) -> Column:
     """Null, empty, or nothing but white space of any kind."""
     return text.isNull() | text.rlike(r"^\s*$")

@@ -103,14 +103,16 @@ def nb_scores(docs: DataFrame, key: str, text: str, model: NaiveBayes) -> DataFr
     """docs plus `scores`, one per class: log prior + sum of word log-likelihoods; unknown words count nothing.
 
     A document's words meet the word table in one join; sums per document merge in the task that
-    read it. A word table that is too big to broadcast is joined by word, after counting, where adaptive execution
-    splits the partition of a very common word.
+    read it. For a word table that is too big to broadcast, words are counted inside their row and dealt by word; the few model words
+    that a task gets are hashed, and the documents' words stream past them, so no task sorts or holds these. Adaptive execution splits
+    the partition of a very common word.
     """
-    words = docs.select(key, F.explode(X.tokens(F.col(text))).alias("word"))
     if model.n_words is not None and model.n_words <= SHARED_WORDS:
+        words = docs.select(key, F.explode(X.tokens(F.col(text))).alias("word"))
         known = words.withColumn("_n", F.lit(1)).join(F.broadcast(model.words), "word")
     else:
-        known = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n")).join(model.words, "word")
+        counted = docs.select(key, F.inline(X.counted_tokens(F.col(text)))).withColumnRenamed("n", "_n")
+        known = counted.join(model.words.hint("shuffle_hash"), "word")
     sums = known.groupBy(key).agg(*[F.sum(F.col("_n") * F.col(f"ll{c}")).alias(f"_w{c}") for c in CLASSES])
     prior = model.priors.select(F.struct(*[f"lp{c}" for c in CLASSES]).alias("p")).scalar()
     scored = docs.join(sums, key, "left").withColumn("_p", prior)

@@ -117,3 +117,21 @@ def test_processing_edges(spark, model):
     reset = {r.article_id: r.processing_status for r in D.reset_failed(done.articles).collect()}
     assert reset[2] == "pending" and reset[1] == "completed"
     assert {r.status: r.articles for r in D.processing_stats(table).collect()}["processing"] == 0
+
+
+def test_words_of_a_large_table_are_counted_in_their_row(spark, model, monkeypatch):
+    """The same scores as by a broadcast word table, and no task groups or sorts the words of many texts."""
+    texts = [None, "", " \t\n", "goal goal Match zzz the THE the", *(t for _, t in HELD_OUT), "the match " * 3_000]
+    df = spark.createDataFrame([*enumerate(texts), (3, "the goal"), (None, "goal")], "id int, text string")
+    counted = df.select("text", E.X.counted_tokens(F.col("text")).alias("c"), E.X.tokens(F.col("text")).alias("t")).collect()
+    for r in counted:
+        assert r.c is None if r.text is None else sorted(map(tuple, r.c)) == sorted((w, r.t.count(w)) for w in set(r.t))
+    words = model.words.localCheckpoint()
+    key = lambda rows: sorted((str(r.id), str(r.text)[:40], r.scores) for r in rows)
+    shared = key(E.nb_scores(df, "id", "text", E.NaiveBayes(words, model.priors, words.count())).collect())
+    monkeypatch.setattr(E, "SHARED_WORDS", 0)
+    large = E.nb_scores(df, "id", "text", E.NaiveBayes(words, model.priors, words.count()))
+    assert key(large.collect()) == shared
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in line and "word#" in line.split("]")[0] for line in plan.splitlines())
+    assert "shuffle_hash" in plan
