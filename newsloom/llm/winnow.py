@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Single tokens and windows of two: of any two tokens in a row one is kept, so a text of a few words keeps several hashes
-#: and an edit of its end leaves those of its beginning.
-K = 1
+#: Pairs of neighbouring tokens, so that a hash holds the order of words and not only which words there are, and windows of two: of
+#: any three tokens in a row a pair is kept, so a text of five words or more keeps several hashes and an edit of its end leaves those of
+#: its beginning.
+K = 2
 WINDOW = 2
 TOKEN_CHARS = 16
 #: Documents per bucket of neighbouring ids, and the most cells of the id histogram that defines the buckets.

@@ -296,6 +296,13 @@ def test_edits_of_short_texts_share_hashes(spark):
     assert len(rows) == len(texts) and all(r.near_edited >= 0.2 and r.near_next == 0 for r in rows)
 
 
+def test_the_order_of_words_counts(spark):
+    """The same words the other way round are another text, at the operator's own parameters; the text itself is still found."""
+    words = [f"w{i:02d}" for i in range(60)]
+    rows = winnow.compare_edits(documents(spark, [" ".join(words), " ".join(reversed(words))])).collect()
+    assert all(r.near_next == 0 and r.near_edited > 0.4 for r in rows)
+
+
 # --- licenses --------------------------------------------------------------------------------
 
 
