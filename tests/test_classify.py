@@ -135,3 +135,26 @@ def test_words_of_a_large_table_are_counted_in_their_row(spark, model, monkeypat
     plan = large._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Aggregate" in line and "word#" in line.split("]")[0] for line in plan.splitlines())
     assert "shuffle_hash" in plan
+
+
+def test_fits_read_counts_and_no_texts(spark, monkeypatch):
+    """The split and the fits get hashed counts; the models still take texts, with the accuracies of a search over texts."""
+    rows = [(i, *TRAIN[i % len(TRAIN)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, label int, text string").repartition(2, "id")
+    read = []
+    for kind in (E.TrainValidationSplit, E.Pipeline):
+        fit = kind.fit
+        monkeypatch.setattr(kind, "fit", lambda self, data, *params, fit=fit: read.append(data.columns) or fit(self, data, *params))
+    search = E.TrainValidationSplit(
+        estimator=E.topic_pipeline(), estimatorParamMaps=[{}], evaluator=E.MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
+        trainRatio=0.8, seed=42,
+    )
+    whole = search.fit(df).validationMetrics
+    read.clear()
+    tuned, scores = E.tune_topic_model(df, "text", "label", (1e-3,))
+    trained = E.train_topic_model(df, "text", "label")
+    assert read and not any("text" in columns or "_words" in columns for columns in read)
+    assert [a for _, a in scores] == whole
+    for model in (tuned, trained):
+        assert len(model.stages) == 4
+        assert E.classify_ml(model, df, "text").where("topic_id = label").count() == 80
