@@ -14,6 +14,9 @@ from newsloom.functions import text as X, vectors as L
 
 DIM = 384
 MAX_EMBED_CHARS = 2000
+#: Words and rows of an Arrow batch that are added up at once; only memory depends on them.
+CODES = 1 << 18
+ROWS = 1 << 10
 
 
 def embedding_text(title: Column, content: Column) -> Column:
@@ -39,12 +42,20 @@ def _histogram(dim: int):
     @F.arrow_udf("array<double>")
     def unit_histogram(codes: pa.Array) -> pa.Array:
         n = len(codes)
-        counts = pc.fill_null(pc.list_value_length(codes), 0).to_numpy(zero_copy_only=False)
-        flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        slots = np.repeat(np.arange(n, dtype=np.int64), counts) * dim + flat // 2
-        sums = np.bincount(slots, weights=1.0 - 2.0 * (flat % 2), minlength=n * dim).reshape(n, dim).astype(float)
-        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-        unit = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
+        counts = pc.fill_null(pc.list_value_length(codes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, ends = codes.flatten().to_numpy(zero_copy_only=False), np.cumsum(counts)
+        unit, start = np.zeros((n, dim)), 0
+        while start < n:
+            # As many rows as have CODES words together, one at least.
+            before = ends[start] - counts[start]
+            end = min(max(start + 1, int(np.searchsorted(ends, before + CODES, "right"))), start + ROWS, n)
+            part = flat[before : ends[end - 1]]
+            slots = np.repeat(np.arange(end - start, dtype=np.int64) * dim, counts[start:end]) + part // 2
+            weights = 1.0 - 2.0 * (part % 2)
+            sums = np.bincount(slots, weights=weights, minlength=(end - start) * dim).reshape(end - start, dim).astype(float, copy=False)
+            length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            np.divide(sums, length, out=unit[start:end], where=length > 0)
+            start = end
         return pa.ListArray.from_arrays(np.arange(0, n * dim + 1, dim, dtype=np.int32), unit.ravel())
 
     # Kept from being copied into filters and generators, which would embed every text twice.

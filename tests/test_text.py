@@ -120,3 +120,26 @@ def test_short_page_does_not_claim_its_url(spark):
     assert got == {1: "failed", 2: "added", 3: "skipped", 4: "failed", 5: "skipped"}
     kept, rejected = I.content_gate(entries)
     assert [r.page_id for r in I.dedup_by_url(kept, stored, "page_id").collect()] == [2] and rejected.count() == 2
+
+
+def test_embedding_of_many_words_takes_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sizes = [0, 300_000, *[5_000] * 300, 0, 7]
+    flat = rng.integers(0, 16, sum(sizes)).astype(np.int32)
+    codes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat))
+    tracemalloc.start()
+    got = E._histogram(8).func(codes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20  # numbers of 8 bytes for all 1,800,007 words would take more
+    for part, vector in zip(np.split(flat, np.cumsum(sizes)[:-1]), got.to_pylist()):
+        want = np.zeros(8)
+        np.add.at(want, part // 2, 1.0 - 2.0 * (part % 2))
+        assert np.allclose(vector, want / (np.linalg.norm(want) or 1.0), atol=1e-12)
+    with_null = E._histogram(8).func(pa.array([None, [2, 2], []], pa.list_(pa.int32()))).to_pylist()
+    assert with_null == [[0.0] * 8, [0.0, 1.0] + [0.0] * 6, [0.0] * 8]
+    assert len(E._histogram(8).func(pa.array([], pa.list_(pa.int32())))) == 0
