@@ -31,6 +31,8 @@ DOCUMENTS = 128
 LIST_ROWS = 4_096
 #: Lists up to this length are compared all at once, in vectors over the whole batch.
 SHORT_LIST = 24
+#: Positions after which the lists of `keep_one` are linked, before the others are.
+PASSES = (4, 16)
 #: Shingle sets of a group that one task compares exactly; larger groups are cut into blocks that meet in pairs.
 SET_ROWS = 128
 
@@ -180,34 +182,52 @@ def _linked(a: np.ndarray, b: np.ndarray, matches: int, bits: int) -> np.ndarray
     return out
 
 
-def _list_links(rows: np.ndarray, matches: int, bits: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected within one list; each row is compared with the rows not reached yet."""
+def _list_links(rows: np.ndarray, groups: np.ndarray, matches: int, bits: int) -> list[tuple[int, int]]:
+    """Links that connect what is connected within one list; each row is compared with the rows not reached yet.
+
+    Rows of one group (not zero) are connected already: a link reaches all of them.
+    """
     links, left = [], np.arange(len(rows))
     while len(left) > 1:
         reached, left = [left[0]], left[1:]
+        if groups[reached[0]]:
+            same = groups[left] == groups[reached[0]]
+            reached, left = reached + left[same].tolist(), left[~same]
         while reached and len(left):
             i = reached.pop()
             near = _linked(rows[left], rows[i], matches, bits)
-            links += [(i, j) for j in left[near].tolist()]
-            reached += left[near].tolist()
-            left = left[~near]
+            if not near.any():
+                continue
+            found, left = left[near], left[~near]
+            own, first = np.unique(groups[found], return_index=True)
+            one = groups[found] == 0
+            one[first] = True
+            links += [(i, j) for j in found[one].tolist()]
+            same = np.isin(groups[left], own[own != 0])
+            reached += found.tolist() + left[same].tolist()
+            left = left[~same]
     return links
 
 
-def list_links(lists: np.ndarray, rows: np.ndarray, matches: int, bits: int) -> list[tuple[int, int]]:
-    """Links within posting lists; `lists` has the list number of each row, ascending."""
+def list_links(
+    lists: np.ndarray, rows: np.ndarray, matches: int, bits: int, groups: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """Links within posting lists; `lists` has the list number of each row, ascending. No link joins two rows of one group (0: none)."""
+    groups = np.zeros(len(rows), np.int64) if groups is None else groups
     starts = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(lists)])))
     links: list[tuple[int, int]] = []
     for start, size in zip(starts[sizes > SHORT_LIST].tolist(), sizes[sizes > SHORT_LIST].tolist()):
-        links += [(start + i, start + j) for i, j in _list_links(rows[start : start + size], matches, bits)]
+        found = _list_links(rows[start : start + size], groups[start : start + size], matches, bits)
+        links += [(start + i, start + j) for i, j in found]
     short = np.flatnonzero(np.repeat((sizes <= SHORT_LIST) & (sizes > 1), sizes))
-    number, part = lists[short], rows[short]
+    number, part, group = lists[short], rows[short], groups[short]
     for step in range(1, SHORT_LIST):
         same = np.flatnonzero(number[step:] == number[:-step])
         if not len(same):
             break
-        near = same[_linked(part[same], part[same + step], matches, bits)]
+        near = same[(group[same] == 0) | (group[same] != group[same + step])]
+        near = near[_linked(part[near], part[near + step], matches, bits)]
         links += zip(short[near].tolist(), short[near + step].tolist())
     return links
 
@@ -217,7 +237,9 @@ def fingerprint_links(
 ) -> DataFrame:
     """a, b: pairs of distinct fingerprints of `fps` (fp) that connect all that differ in at most `bits` bits, share at
     least `matches` positional bytes and meet in a posting list. Not all pairs of a dense group: links that connect it.
+    With a column `known` (long, not null) fingerprints of one number other than 0 count as connected and get no links among them.
     """
+    fps = fps if "known" in fps.columns else fps.withColumn("known", F.lit(0).cast("long"))
     octet = [F.conv(F.hex(F.substring("fp", p + 1, 1)), 16, 10).cast("long") for p in range(size)]
     keys = []
     for number, chosen in enumerate(positions):
@@ -225,7 +247,7 @@ def fingerprint_links(
         for p in chosen:
             value = F.shiftleft(value, 8).bitwiseOR(F.element_at("octets", p + 1))
         keys.append(value)
-    postings = fps.select("fp", F.array(*octet).alias("octets")).select("fp", F.explode(F.array(*keys)).alias("list"))
+    postings = fps.select("fp", "known", F.array(*octet).alias("octets")).select("fp", "known", F.explode(F.array(*keys)).alias("list"))
     # Long lists are cut into blocks of fingerprints, and each pair of blocks is a cell of its own.
     long = postings.groupBy("list").count().where(F.col("count") > list_rows).select(
         F.col("list").alias("long"), F.ceil(F.col("count") / list_rows).cast("int").alias("blocks")
@@ -233,49 +255,62 @@ def fingerprint_links(
     blocks = F.coalesce("blocks", F.lit(1))
     block = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     placed = postings.join(long, F.col("list") == F.col("long"), "left").select(
-        "fp", "list", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+        "fp", "known", "list", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     )
     cell = F.when(F.col("block") < F.col("other"), F.struct(F.col("block").alias("x"), F.col("other").alias("y"))).otherwise(
         F.struct(F.col("other").alias("x"), F.col("block").alias("y"))
     )
-    dealt = placed.select("fp", "list", cell.alias("cell")).repartition("list", "cell").sortWithinPartitions("list", "cell")
+    dealt = placed.select("fp", "known", "list", cell.alias("cell")).repartition("list", "cell").sortWithinPartitions("list", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for numbers, rows in whole_lists(batches, size):
-            links = list_links(numbers, rows, matches, bits)
+        for numbers, rows, groups in whole_lists(batches, size):
+            links = list_links(numbers, rows, matches, bits, groups)
             if links:
                 at = np.array(links)
                 ends = [pa.array([r.tobytes() for r in rows[at[:, i]]], pa.binary()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
-    flat = dealt.select("fp", "list", F.shiftleft(F.col("cell.x").cast("long"), 32).bitwiseOR(F.col("cell.y")).alias("cell"))
+    flat = dealt.select("fp", "list", F.shiftleft(F.col("cell.x").cast("long"), 32).bitwiseOR(F.col("cell.y")).alias("cell"), "known")
     return flat.mapInArrow(run, "a binary, b binary")
 
 
-def whole_lists(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """List numbers and fingerprints (octets), cut only between lists. Input is sorted by list and cell."""
-    keep_key, keep = np.empty((0, 2), np.int64), np.empty((0, size), np.uint8)
+def whole_lists(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """List numbers, fingerprints (octets) and known groups, cut only between lists. Input is sorted by list and cell."""
+    keep_key, keep = np.empty((0, 3), np.int64), np.empty((0, size), np.uint8)
     for batch in batches:
-        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)], axis=1)
+        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)], axis=1)
         rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, size)
         key, rows = np.concatenate((keep_key, key)), np.concatenate((keep, rows))
         if not len(key):
             continue
-        changes = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        changes = np.flatnonzero((key[1:, :2] != key[:-1, :2]).any(axis=1)) + 1
         cut = int(changes[-1]) if len(changes) else 0
         if cut:
-            yield np.searchsorted(changes, np.arange(cut), "right"), rows[:cut]
+            yield np.searchsorted(changes, np.arange(cut), "right"), rows[:cut], key[:cut, 2]
         keep_key, keep = key[cut:], rows[cut:]
     if len(keep):
-        yield np.zeros(len(keep), np.int64), keep
+        yield np.zeros(len(keep), np.int64), keep, keep_key[:, 2]
 
 
 def fingerprint_components(
-    fps: DataFrame, size: int, positions: list[tuple[int, ...]], matches: int, bits: int
+    fps: DataFrame, size: int, positions: list[tuple[int, ...]], matches: int, bits: int, passes: tuple[int, ...] = ()
 ) -> DataFrame:
-    """fp, root: each distinct fingerprint and its component's smallest one."""
+    """fp, root: each distinct fingerprint and its component's smallest one.
+
+    Each list that a group of near copies shares links it anew. With `passes` the positions are taken in several passes that end at
+    these numbers of positions (and at the last): a pass links what earlier ones have not connected, so a large group adds few links
+    for each further list. The components are the same. Connected groups are known by a hash of 64 bits.
+    """
     distinct = fps.select("fp").distinct()
-    roots = components(fingerprint_links(distinct, size, positions, matches, bits))
+    ends = [n for n in passes if n < len(positions)] + [len(positions)]
+    first, *others = [positions[start:end] for start, end in zip([0, *ends], ends)]
+    roots = components(fingerprint_links(distinct, size, first, matches, bits))
+    for chosen in others:
+        known = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+            "fp", F.when(F.col("root").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("root")).alias("known")
+        )
+        new = fingerprint_links(known, size, chosen, matches, bits)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
     return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -326,6 +361,15 @@ def set_fingerprints(docs: DataFrame, words: int, numbers: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, fp binary, node binary")
 
 
+def sets_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the exact Jaccard similarity of two ascending sets is at least `similarity`."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    place = np.searchsorted(a, b)
+    both = int((a[np.minimum(place, max(0, len(a) - 1))] == b).sum()) if len(a) and len(b) else 0
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
 def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that connect what is connected by pairs with an exact Jaccard similarity of at least `similarity`.
 
@@ -340,21 +384,38 @@ def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]
             fits = np.minimum(sizes[left], sizes[i]) >= similarity * np.maximum(sizes[left], sizes[i]) - 1e-9
             near = np.zeros(len(left), bool)
             for at in np.flatnonzero(fits).tolist():
-                other = sets[left[at]]
-                place = np.searchsorted(sets[i], other)
-                both = int((sets[i][np.minimum(place, max(0, sizes[i] - 1))] == other).sum()) if sizes[i] and len(other) else 0
-                near[at] = both >= similarity * (sizes[i] + len(other) - both) - 1e-9
+                near[at] = sets_alike(sets[i], sets[left[at]], similarity)
             links += [(i, j) for j in left[near].tolist()]
             reached += left[near].tolist()
             left = left[~near]
     return links
 
 
+def links_across(sets: list[np.ndarray], second: int, similarity: float) -> list[tuple[int, int]]:
+    """As `set_links`, for two blocks (the other one begins at `second`) whose own links are let out elsewhere: only the links from
+    block to block that connect something more.
+    """
+    part, links = np.arange(len(sets)), []
+    for start, end in ((0, second), (second, len(sets))):
+        for i, j in set_links(sets[start:end], similarity):
+            part[part == part[start + j]] = part[start + i]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    for i in range(second):
+        others = np.arange(second, len(sets))[part[second:] != part[i]]
+        fits = np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i]) - 1e-9
+        for j in others[fits].tolist():
+            if part[j] != part[i] and sets_alike(sets[i], sets[j], similarity):
+                links.append((i, j))
+                part[part == part[j]] = part[i]
+    return links
+
+
 def verified_links(docs: DataFrame, members: DataFrame, words: int, similarity: float, set_rows: int = SET_ROWS) -> DataFrame:
     """a, b: nodes of one group of `members` (root, node, key, doc_id, rows, blocks) whose shingle sets are similar, as many as
     connect all that are. `members` is a stored table with one row of `docs` for each node.
 
-    All pairs of a group are compared: its nodes are dealt into `blocks` blocks, and each pair of blocks is a cell.
+    All pairs of a group are compared: its nodes are dealt into `blocks` blocks, and each pair of blocks is a cell. Links within a block
+    are let out by its own cell only; two blocks that are each connected get one link.
     """
     known = members.select(
         F.col("key").alias("known"), F.col("doc_id").alias("own"), "rows", "node", F.xxhash64("root").alias("list"), "blocks"
@@ -373,21 +434,22 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, similarity:
 
     sets = taken.select("node", "list", "blocks", "text").mapInArrow(encode, "node binary, list long, blocks int, shingles binary")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
-    placed = sets.select("node", "list", "shingles", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = sets.select("node", "list", "shingles", block.alias("block"), "blocks").select("node", "list", "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("block", F.col("other").cast("long")), F.greatest("block", F.col("other").cast("long"))
-    dealt = placed.select("node", "list", F.shiftleft(low, 32).bitwiseOR(high).alias("cell"), "shingles")
+    dealt = placed.select("node", "list", F.shiftleft(low, 32).bitwiseOR(high).alias("cell"), "shingles", "block")
     dealt = dealt.repartition("list", "cell").sortWithinPartitions("list", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 numbers = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-                for cell, node, found in zip(numbers, batch.column(0), batch.column(3)):
-                    yield cell, node.as_py(), np.frombuffer(found.as_py(), np.uint64)
+                for cell, node, found, block in zip(numbers, batch.column(0), batch.column(3), batch.column(4).to_pylist()):
+                    yield cell, node.as_py(), np.frombuffer(found.as_py(), np.uint64), block
 
         for _, group in itertools.groupby(rows(), lambda r: r[0]):
-            _, nodes, found = zip(*group)
-            links = set_links(list(found), similarity)
+            _, nodes, found, own = zip(*sorted(group, key=lambda r: r[3]))
+            second = own.count(own[0])
+            links = links_across(list(found), second, similarity) if second < len(own) else set_links(list(found), similarity)
             if links:
                 ends = [pa.array([nodes[link[i]] for link in links], pa.binary()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
@@ -420,7 +482,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, numbers:
     path, plan = scratch_dir(spark, "fingerprints"), scratch_dir(spark, "kept-rows")
     set_fingerprints(docs, words, numbers).write.parquet(path)
     rows = spark.read.schema("doc_id long, key long, fp binary, node binary").parquet(path)
-    roots = fingerprint_components(rows, size, positions, matches, bits)
+    roots = fingerprint_components(rows, size, positions, matches, bits, PASSES)
     alike = rows.groupBy("fp", "node", "doc_id", "key").agg(F.count(F.lit(1)).alias("rows"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "rows")).alias("first")
     per_node = alike.groupBy("fp", "node").agg(first).join(roots, "fp").select("node", "root", "first")
