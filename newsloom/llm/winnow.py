@@ -148,20 +148,25 @@ def with_next(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     by text); after the last row comes the first. A null text is the empty text.
 
     Rows are sorted within buckets of neighbouring ids; the last row of a bucket is followed by the first of the next bucket.
+    Only texts are dealt out: kept hashes are made after that, once per row, and a window over the same order hands them on.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     number, lowest, most = id_buckets(rows)
-    tokens = rows.select("*", number.alias("bucket"), token_hashes(F.col("text")).alias("tokens"))
-    grams = tokens.select("doc_id", "text", "bucket", gram_hashes(F.col("tokens"), k).alias("grams"))
-    placed = grams.select("doc_id", "text", "bucket", winnowed(F.col("grams"), window).alias("kept"))
     bucket = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    ordered = placed.select(
-        "*", F.lead("text").over(bucket).alias("next_text"), F.lead("kept").over(bucket).alias("next_kept"),
-        F.row_number().over(bucket).alias("place"),
+    placed = rows.select("*", number.alias("bucket")).select(
+        "*", F.lead("text").over(bucket).alias("next_text"), F.row_number().over(bucket).alias("place")
     )
-    firsts = ordered.where(F.col("place") == 1).select(
+
+    def with_kept(df: DataFrame) -> DataFrame:
+        others = df.columns
+        tokens = df.select("*", token_hashes(F.col("text")).alias("tokens"))
+        grams = tokens.select(*others, gram_hashes(F.col("tokens"), k).alias("grams"))
+        return grams.select(*others, winnowed(F.col("grams"), window).alias("kept"))
+
+    ordered = with_kept(placed).select("*", F.lead("kept").over(bucket).alias("next_kept"))
+    firsts = with_kept(placed.where("place = 1").select("bucket", "text")).select(
         F.col("bucket").alias("at"), F.col("text").alias("first_text"), F.col("kept").alias("first_kept")
     )
     ring = followers(rows.select(number.alias("bucket")).distinct(), most).select(

@@ -270,6 +270,19 @@ def test_winnowing_equals_brute_force(spark, monkeypatch, k, window, cells):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def test_only_texts_are_dealt_out(spark):
+    """Kept hashes are made after the exchange by bucket, not sent through it."""
+    plan = winnow.with_next(documents(spark, prose(33, 20)))._jdf.queryExecution().sparkPlan().toString()
+    executed = winnow.with_next(documents(spark, prose(33, 20)))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "regexp_extract_all" in plan
+    lines, depth = executed.split("\n"), lambda line: len(line) - len(line.lstrip(" :+-*"))
+    found = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(bucket" in line]
+    assert found
+    for i in found:
+        below = itertools.takewhile(lambda line: depth(line) > depth(lines[i]), lines[i + 1 :])
+        assert not any("regexp_extract_all" in line for line in below)
+
+
 def test_one_row_and_none(spark):
     one = winnow.compare_edits(documents(spark, ["a b c d e f g h"])).first()
     assert one.near_next == 1.0
