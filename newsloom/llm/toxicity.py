@@ -69,17 +69,16 @@ def _penalty(rarer: float) -> float:
     return REGULARISATION / rarer**0.5
 
 
-def _fit(rows: DataFrame, label: str) -> tuple[LogisticRegressionModel | None, float]:
-    seen = rows.groupBy(label).count().collect()  # at most two rows
-    total = sum(r["count"] for r in seen)
-    if len(seen) < 2:
-        return None, float(seen[0][label]) if total else 0.0
+def _fit(rows: DataFrame, label: str, having: float, others: float) -> tuple[LogisticRegressionModel | None, float]:
+    """The model of `rows`, of which so many have the category and do not; with one class only, none and its probability."""
+    if not having or not others:
+        return None, 1.0 if having else 0.0
     # Both classes weigh the same altogether, so a rare category is not drowned.
-    weight = {r[label]: total / (2.0 * r["count"]) for r in seen}
-    rows = rows.withColumn("weight", F.when(F.col(label) == 1, weight[1.0]).otherwise(weight[0.0]))
+    total = having + others
+    rows = rows.withColumn("weight", F.when(F.col(label) == 1, total / (2.0 * having)).otherwise(total / (2.0 * others)))
     model = LogisticRegression(
         featuresCol="features", labelCol=label, weightCol="weight", maxIter=ITERATIONS,
-        regParam=_penalty(min(r["count"] for r in seen)), elasticNetParam=1.0,
+        regParam=_penalty(min(having, others)), elasticNetParam=1.0,
         probabilityCol="probability", rawPredictionCol="raw", predictionCol="prediction",
     ).fit(rows)
     return model, 0.0
@@ -110,7 +109,11 @@ class _Screen:
     """
 
     names: list[str]
-    sizes: dict[tuple, tuple[float, float]]  # documents with and without the category
+    all_sizes: dict[tuple, tuple[float, float]]  # documents with and without the category
+    sizes: dict[tuple, tuple[float, float]] = field(init=False)  # the same, of the fits that have both
+
+    def __post_init__(self):
+        self.sizes = {fit: n for fit, n in self.all_sizes.items() if min(n) > 0}
 
     @staticmethod
     def of(stored: DataFrame, names: list[str]) -> _Screen:
@@ -121,7 +124,7 @@ class _Screen:
                 rows = [r for fold, r in per_fold.items() if fold != out]
                 having = float(sum(r[name] for r in rows))
                 sizes[name, out] = having, float(sum(r["all"] for r in rows)) - having
-        return _Screen(names, {fit: n for fit, n in sizes.items() if min(n) > 0})
+        return _Screen(names, sizes)
 
     def counts(self, stored: DataFrame) -> DataFrame:
         """word with its documents: in each fold, and of each category in each fold."""
@@ -212,7 +215,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         if not missed:
             break
         chosen = sorted({*chosen, *missed})
-    return _fit_links(stored, names, chosen)
+    return _fit_links(stored, names, chosen, screen)
 
 
 def _vectors(stored: DataFrame, vocabulary: list[str]) -> tuple[CountVectorizerModel, DataFrame, str]:
@@ -234,7 +237,7 @@ def _missed_words(stored: DataFrame, names: list[str], vocabulary: list[str], sc
     earlier, residuals, fits = [], [], []
     for name in names:
         stage = _with_features(rows, earlier)
-        model, fixed = _fit(stage, name)
+        model, fixed = _fit(stage, name, *screen.all_sizes[name, None])
         rows = _probability(stage, model, fixed, f"p_{name}").drop("features")
         earlier.append(f"p_{name}")
         if (name, None) in screen.sizes:
@@ -250,25 +253,30 @@ def _missed_words(stored: DataFrame, names: list[str], vocabulary: list[str], sc
     return found
 
 
-def _fit_links(stored: DataFrame, names: list[str], vocabulary: list[str]) -> Chain:
-    """The chain over a vocabulary; later categories see probabilities of models that did not see the row."""
+def _fit_links(stored: DataFrame, names: list[str], vocabulary: list[str], screen: _Screen) -> Chain:
+    """The chain over a vocabulary; later categories see probabilities of models that did not see the row.
+
+    The rows are stored with each category's probabilities, so that the steps of the next fits are scans: no join and no exchange,
+    whose plans, threads and tables would be on the driver once more for each of them.
+    """
     spark = stored.sparkSession
-    vectoriser, rows, vectors = _vectors(stored, vocabulary)
-    chain, earlier = Chain(vectoriser), []
+    vectoriser, rows, path = _vectors(stored, vocabulary)
+    chain, earlier, paths = Chain(vectoriser), [], [path]
     for name in names:
         stage = _with_features(rows, earlier)
-        model, fixed = _fit(stage, name)
-        out_of_fold = None
+        model, fixed = _fit(stage, name, *screen.all_sizes[name, None])
+        scored, chosen = stage, F.lit(None).cast("double")
         for fold in range(FOLDS):
-            inner, inner_fixed = _fit(stage.where(F.col("fold") != fold), name)
-            part = _probability(stage.where(F.col("fold") == fold), inner, inner_fixed, f"p_{name}").select("row", f"p_{name}")
-            out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
-        path = scratch_dir(spark, "toxicity-folds")
-        out_of_fold.write.parquet(path)
-        rows = rows.join(spark.read.parquet(path), "row")
+            inner, inner_fixed = _fit(stage.where(F.col("fold") != fold), name, *screen.all_sizes[name, fold])
+            scored = _probability(scored, inner, inner_fixed, f"p_{name}_{fold}")
+            chosen = F.when(F.col("fold") == fold, F.col(f"p_{name}_{fold}")).otherwise(chosen)
+        paths.append(scratch_dir(spark, "toxicity-folds"))
+        scored.select(*rows.columns, chosen.alias(f"p_{name}")).write.parquet(paths[-1])
+        rows = spark.read.parquet(paths[-1])
         chain.links.append(Link(name, model, fixed, _best_threshold(rows, f"p_{name}", name)))
         earlier.append(f"p_{name}")
-    drop_folder(spark, vectors)
+    for path in paths:
+        drop_folder(spark, path)
     return chain
 
 

@@ -57,6 +57,15 @@ def test_later_models_see_earlier_categories(spark):
     assert chain.links[1].model.coefficients[len(names) - 1] > 0
 
 
+def test_rows_of_later_fits_are_scans(spark, monkeypatch):
+    """A step of a fit or of a choice of threshold joins nothing, so that the driver plans and broadcasts nothing for it."""
+    texts, labels = labelled(spark)
+    plans, best = [], toxicity._best_threshold
+    monkeypatch.setattr(toxicity, "_best_threshold", lambda rows, *names: plans.append(rows._jdf.queryExecution().toString()) or best(rows, *names))
+    toxicity.fit_chain(documents(spark, texts), labels, {"first": F.col("toxic"), "second": F.col("toxic")})
+    assert len(plans) == 2 and not any("Join" in plan or "Exchange" in plan for plan in plans)
+
+
 def test_without_labels_or_documents(spark, scored):
     _, labels, docs, chain = scored
     none = toxicity.toxicity(docs, labels.where("false"))
