@@ -7,6 +7,8 @@ from collections.abc import Callable
 #: Pieces remembered per Python worker (some 250 bytes each), and the longest that is remembered. Only speed depends on them.
 REMEMBERED = 1_500_000
 REMEMBERED_LENGTH = 48
+#: ASCII characters that are neither white space nor letters nor numbers.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _Memory(dict):
@@ -14,14 +16,14 @@ class _Memory(dict):
 
     def __init__(self, make: Callable[[str], bytes], room: int):
         super().__init__()
-        self.make, self.room, self.older = make, room, {}
+        self.make, self.half, self.older = make, room / 2, {}
 
     def __missing__(self, piece: str) -> bytes:
         made = self.older.get(piece)
         if made is None:
             made = self.make(piece)
         if len(piece) <= REMEMBERED_LENGTH:
-            if 2 * len(self) >= self.room:
+            if len(self) >= self.half:
                 self.older = dict(self)
                 self.clear()
             self[piece] = made
@@ -35,9 +37,11 @@ class _Inseparable(Exception):
 class PieceEncoder:
     """Joined results of `encode_piece` for each match of `pattern` in a text.
 
-    `splits_at_space` says that the pattern never matches across the place before a space that a non-white-space character follows,
-    wherever the text is cut at such places. Then texts are cut there first, which is fast, and the pattern is matched once for each
-    different cut.
+    `splits_at_space` says three things of the pattern, wherever the text is cut. It never matches across the place before a space that
+    a non-white-space character follows. A space and the letters after it, up to a mark or the end, are one match; so are MARKS
+    between a letter and the end. A line feed between two other characters that are no white space is one match, and what follows it is
+    matched like the beginning of a text. Then texts are cut at spaces first, which is fast, and cuts that are a word, with marks or
+    without, are encoded without the pattern, which most new ones are; it is matched once for each different other cut.
     """
 
     def __init__(
@@ -47,13 +51,23 @@ class PieceEncoder:
 
         self.find = regex.compile(pattern).findall
         self.space = regex.compile(r"\s").match
-        self.pieces = _Memory(encode_piece, remembered * 2 // 3)
-        self.cuts = _Memory(self._cut, remembered // 3)
+        self.encode_piece = encode_piece
+        self.pieces = _Memory(encode_piece, remembered // 8)
+        self.cuts = _Memory(self._cut, remembered * 7 // 8)
         self.splits_at_space = splits_at_space
 
     def _cut(self, cut: str) -> bytes:
+        """What a space and `cut` give."""
+        if cut.isalpha():
+            return self.encode_piece(" " + cut)
+        word = cut.rstrip(MARKS)
+        if word.isalpha():
+            return self.cuts[word] + self.pieces[cut[len(word) :]]
         if not cut or cut[0].isspace() or self.space(cut):
             raise _Inseparable
+        line, feed, rest = cut.partition("\n")
+        if rest and not (line[-1].isspace() or self.space(line[-1]) or rest[0].isspace() or self.space(rest[0])):
+            return self.cuts[line] + self.pieces[feed] + (self.pieces[rest] if rest.isalpha() else self._whole(rest))
         return self._whole(" " + cut)
 
     def _whole(self, text: str) -> bytes:

@@ -11,6 +11,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ INDEX_ROWS = 1_000
 STRIPE_BYTES = 64 << 20
 BLOOM_FPP = 0.01
 #: Pieces remembered per Python worker; fewer than without a sort in the same task, which needs memory too.
-REMEMBERED = 900_000
+REMEMBERED = 1_200_000
 
 
 def byte_letters() -> dict[int, int]:
@@ -53,9 +54,15 @@ class LibraryEncoder:
         added = self.library.get_added_tokens_decoder().values() if added_tokens else ()
         self.names = [token.content for token in added]
 
+        space, number = chr(letters[ord(" ")]), attrgetter("id")
+        pack = {i: struct.pack("<I", i) for i in self.library.get_vocab().values()}
+
         def encode_piece(piece: str) -> bytes:
-            found = tokenize(piece.encode("utf-8").decode("latin-1").translate(letters))
-            return struct.pack("<%dI" % len(found), *[token.id for token in found])
+            if piece.isascii() and piece.isprintable():  # of these characters only the space has another letter
+                written = piece.replace(" ", space)
+            else:
+                written = piece.encode("utf-8").decode("latin-1").translate(letters)
+            return b"".join(map(pack.__getitem__, map(number, tokenize(written))))
 
         self.pieces = PieceEncoder(pattern, encode_piece, remembered, splits_at_space)
 

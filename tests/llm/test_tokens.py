@@ -12,7 +12,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from llm.common import AWKWARD, documents, prose
-from newsloom.llm import bpe, queries, token_files
+from newsloom.llm import bpe, pieces, queries, token_files
 
 RANKS = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
 TIKTOKEN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -117,3 +117,21 @@ def test_query_equals_the_unmodified_library(spark, tmp_path):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         start += len(want)
     assert 50_256 in library.encode(names[0], add_special_tokens=False).ids
+
+
+def test_words_with_marks_are_encoded_without_the_pattern():
+    texts = ["a new word, (odd) ones. Élan über\nlines and more!?\n 'tis it's don't' x' 12 a1 b_c d-e ...", *filter(None, AWKWARD), *prose(4, 20)]
+    whole, cut = (pieces.PieceEncoder(P.PATTERN, lambda piece: f"[{piece}]".encode(), 1000, splits) for splits in (False, True))
+    assert [cut.encode(t) for t in texts] == [whole.encode(t) for t in texts]
+    matched, find = [], cut.find
+    cut.find = lambda text: matched.append(text) or find(text)
+    assert cut.encode("the zyxa zyxb, zyxc.\nZyxd öäü?! zyxe") == whole.encode("the zyxa zyxb, zyxc.\nZyxd öäü?! zyxe")
+    assert matched == ["the"]
+
+
+def test_letters_and_marks_are_those_of_the_pattern():
+    import regex
+
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    assert regex.fullmatch(r"\p{L}+", "".join(letters))
+    assert regex.fullmatch(r"[^\s\p{L}\p{N}]+", pieces.MARKS)
