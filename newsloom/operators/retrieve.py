@@ -83,8 +83,11 @@ def hybrid_search(semantic: DataFrame, keyword: DataFrame, recency: DataFrame, k
     both = _scaled_in_query(semantic, "semantic").join(
         _scaled_in_query(keyword, "keyword"), ["query_id", "article_id"], "full"
     )
+    # Stored, so that few found articles are sent to the recencies of all.
+    both = materialize(both, "found")
+    found = recency.select("article_id", "recency").join(both.select("article_id"), "article_id", "left_semi")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    scored = both.join(recency.select("article_id", "recency"), "article_id", "left").select(
+    scored = both.join(found, "article_id", "left").select(
         "query_id", "article_id", r6(zero("semantic")).alias("semantic"), r6(zero("keyword")).alias("keyword"),
         zero("recency").alias("recency"),
         F.round(

@@ -79,12 +79,12 @@ def questions(spark, d) -> DataFrame:
 
 
 def semantic20(spark, d) -> DataFrame:
-    return R.semantic_topk(questions(spark, d), V.articles(spark, d))
+    return R.semantic_topk(questions(spark, d), V.article_texts(spark, d))
 
 
 def keyword20(spark, d) -> DataFrame:
     """From the stored index, which the first query that needs it builds."""
-    path = S.stored_once(spark, d, V.ARTICLE_TABLES, "keyword-index", lambda p: R.build_index(V.articles(spark, d), p))
+    path = S.stored_once(spark, d, V.ARTICLE_TABLES, "keyword-index", lambda p: R.build_index(V.article_texts(spark, d), p))
     return R.indexed_topk(questions(spark, d), path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.schemas import TOPICS
-from newsloom.sources.tables import read_table
+from newsloom.sources.tables import materialize, read_table
 
 EPOCH = "2024-01-01 00:00:00"
 
@@ -38,6 +38,20 @@ def article_ids(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("article_id"))
 
 
+def article_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """article_id and content of `articles`, which has an article once for each row of its vector: texts are read where they lie.
+
+    Only vector ids are counted; those that come more than once are stored, mostly none.
+    """
+    docs = read_table(spark, folder, "documents").select(F.col("doc_id").alias("article_id"), F.col("text").alias("content"))
+    vectors = read_table(spark, folder, "embeddings").groupBy(F.col("vec_id").alias("article_id")).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = materialize(vectors.where("article_id IS NOT NULL AND _n > 1"), "repeated-vectors")
+    if repeated.isEmpty():
+        return docs
+    times = F.explode(F.sequence(F.lit(1), F.coalesce("_n", F.lit(1)))).alias("_i")
+    return docs.join(repeated, "article_id", "left").select("article_id", "content", times).drop("_i")
+
+
 def articles_from_documents(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
     docs, vecs = docs.drop("n_chars"), embeddings.select("vec_id", "label")
     d = docs.join(vecs, docs.doc_id == vecs.vec_id, "left")

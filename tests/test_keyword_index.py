@@ -106,3 +106,106 @@ def test_stored_once_follows_the_files(spark, tmp_path):
     with pytest.raises(ZeroDivisionError):
         S.stored_once(spark, folder, ["t"], "other", lambda path: 1 / 0)
     assert S.stored_once(spark, folder, ["t"], "other", make) and len(built) == 3
+
+
+@pytest.mark.parametrize("name,value", [("SHARED_PAIRS", 40), ("GROUP_RANGES", 2), ("GROUP_WORDS", 50), ("RANGE_DOCS", 400)])
+def test_parts_of_any_size_give_the_same(spark, monkeypatch, tmp_path, name, value):
+    monkeypatch.setattr(K, name, value, raising=False)
+    docs, queries = corpus(300)
+    build(spark, docs, str(tmp_path / "i"))
+    asked = spark.createDataFrame(list(queries.items()), "query_id bigint, text string")
+    got = [tuple(r) for r in R.indexed_topk(asked, str(tmp_path / "i"), 5).orderBy("query_id", "rank").collect()]
+    want = brute(docs, queries, 5)
+    assert [(q, a, r) for q, a, _, r in got] == [(q, a, r) for q, a, _, r in want]
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 21])
+def test_values_are_added_up_for_any_number_of_queries_at_once(monkeypatch, at_once):
+    monkeypatch.setattr(K, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    weights = np.where(rng.random((9, 12)) < 0.4, rng.random((9, 12)), 0.0)
+    weights[4] = 0
+    weights[4, 11] = 1
+    query, word = np.nonzero(weights)
+    asked = K.Asked(query * 10, word, weights[query, word])
+    values = np.where(rng.random((12, 7)) < 0.5, rng.random((12, 7)), 0.0)
+    values[11] = 0
+    rows, cells = np.nonzero(values)
+    found, sizes = np.unique(rows, return_counts=True)
+    places = np.searchsorted(asked.words, found)
+    some = np.array([0, 2, 4, 8])
+    parts = list(K._add_up(asked, some, places, sizes, cells, values[rows, cells], 7))
+    assert (len(parts) == len(some)) == (at_once == 1) and np.concatenate([p[0] for p in parts]).tolist() == some.tolist()
+    assert np.allclose(np.concatenate([p[1] for p in parts]), weights[some] @ values)
+
+
+def test_a_search_moves_neither_postings_nor_bounds(spark, monkeypatch, tmp_path):
+    """What a search stores and shuffles are the queries' words and the best of each task, not rows per query and range."""
+    monkeypatch.setattr(K, "RANGE_DOCS", 2)
+    docs, queries = corpus(600)
+    build(spark, docs, str(tmp_path / "i"))
+    index = K.read_keyword_index(spark, str(tmp_path / "i"))
+    asked = spark.createDataFrame(list(queries.items()), "query_id bigint, text string")
+    plans, rows = [], {}
+
+    def store(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        stored = S.materialize(df, label)
+        rows[label] = stored.count()
+        return stored
+
+    found = K.search_keyword_index(index, asked, 2, store)
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    pairs = sum(len(set(words(t))) for t in queries.values())
+    tasks = index.postings.rdd.getNumPartitions()
+    assert max(rows.values()) <= max(pairs, 2 * tasks * len(queries)) < len(queries) * index.blocks.select("range").distinct().count() / 4
+    assert not [p for p in plans if re.search("Join|Repartition", p)]
+
+
+def test_the_index_is_smaller_than_its_texts(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    names = np.array([f"{int(i):x}word" for i in rng.integers(1 << 20, 1 << 24, 5_000)])
+    docs = {i: " ".join(names[rng.zipf(1.2, 200) % 5_000]) for i in range(2_000)}
+    build(spark, docs, str(tmp_path / "i"))
+    size = sum(p.stat().st_size for p in (tmp_path / "i").rglob("*.parquet"))
+    assert size < 0.18 * sum(map(len, docs.values()))
+
+
+def test_blocks_hold_the_largest_impact_of_a_range(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(K, "RANGE_DOCS", 3)
+    docs, _ = corpus(40)
+    table = spark.createDataFrame(list(docs.items()), "article_id bigint, content string").coalesce(1).sortWithinPartitions("article_id")
+    R.build_index(table, str(tmp_path / "i"))
+    lengths = {a: len(words(t)) for a, t in docs.items()}
+    avgdl = sum(lengths.values()) / len(docs)
+    want = {}
+    for i, a in enumerate(sorted(docs)):
+        for w, n in Counter(words(docs[a])).items():
+            df, best = want.get((w, i // 3), (0, 0.0))
+            want[w, i // 3] = df + 1, max(best, n * 2.2 / (n + 1.2 * (0.25 + 0.75 * lengths[a] / avgdl)))
+    hashed = spark.createDataFrame([(w,) for w in sorted({w for w, _ in want})], "w string").select("w", F.xxhash64("w").alias("word"))
+    got = K.read_keyword_index(spark, str(tmp_path / "i")).blocks.join(hashed, "word").collect()
+    assert {(r.w, r.range): r.df for r in got} == {k: v[0] for k, v in want.items()}
+    assert all(abs(r.best - want[r.w, r.range][1]) < 1e-9 for r in got)
+
+
+def test_scores_of_documents_that_share_an_id_are_added_up_wherever_they_lie(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(K, "RANGE_DOCS", 2)
+    docs = [(i, f"w{i % 7} common") for i in range(40)]
+    table = lambda rows: spark.createDataFrame(rows, "article_id bigint, content string").repartition(4)
+    # Five copies of one document with an id each, or with one id.
+    R.build_index(table(docs + [(100 + i, "needle common") for i in range(5)]), str(tmp_path / "apart"))
+    R.build_index(table(docs + [(100, "needle common")] * 5 + [(None, "needle")]), str(tmp_path / "one"))
+    asked = spark.createDataFrame([(1, "needle"), (None, "needle")], "query_id bigint, text string")
+    apart = R.indexed_topk(asked, str(tmp_path / "apart")).collect()
+    one = R.indexed_topk(asked, str(tmp_path / "one")).collect()
+    assert len(apart) == 5 and [(r.query_id, r.article_id, r.rank) for r in one] == [(1, 100, 1)]
+    assert abs(one[0].score - sum(r.score for r in apart)) < 1e-5
+
+
+def test_a_score_may_be_rounded_to_zero(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(K, "PLACES", 1)
+    build(spark, {i: "common" for i in range(30)}, str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, "common")], "query_id bigint, text string")
+    got = R.indexed_topk(asked, str(tmp_path / "i"), 3).orderBy("rank").collect()
+    assert [(r.article_id, r.score) for r in got] == [(0, 0.0), (1, 0.0), (2, 0.0)]

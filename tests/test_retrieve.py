@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import keywords as KW
 from newsloom.operators import chat as J, retrieve as R
+from newsloom.sources import views as V
 
 WORDS = [f"w{i}" for i in range(40)]
 
@@ -108,3 +109,26 @@ def test_live_session_boundary_is_exactly_one_hour(spark):
     rows = J.chat_live_sessions(m).orderBy("session_no").collect()
     # Gaps of 3599, 3600 and 3601 seconds.
     assert [r.messages for r in rows] == [2, 1, 1]
+
+
+def test_article_texts_are_those_of_articles_and_are_not_shuffled(spark, tmp_path):
+    d = str(tmp_path)
+    docs = [(i, f"text {i}", "en", "s", 6) for i in range(20)] + [(3, "again", "en", "s", 5), (4, None, None, None, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{d}/documents.parquet")
+    vectors = lambda ids: spark.createDataFrame([(i, [1.0], 1) for i in ids], "vec_id bigint, embedding array<float>, label int")
+    vectors(range(10)).write.parquet(f"{d}/embeddings.parquet")
+    plan = V.article_texts(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    vectors([*range(10), 3, 5, 5, 99, 99, None, None]).write.mode("overwrite").parquet(f"{d}/embeddings.parquet")
+    rows = lambda df: sorted((r.article_id, r.content or "") for r in df.select("article_id", "content").collect())
+    assert rows(V.article_texts(spark, d)) == rows(V.articles(spark, d)) and len(rows(V.article_texts(spark, d))) == 26
+
+
+def test_hybrid_joins_only_the_articles_that_were_found(spark):
+    found = lambda rows: spark.createDataFrame(rows, "query_id bigint, article_id bigint, score double")
+    recency = spark.range(200_000).select(F.col("id").alias("article_id"), (F.col("id") / 1e6).alias("recency")).where("article_id <> 8")
+    got = R.hybrid_search(found([(1, 5, 0.5), (1, 6, 0.25)]), found([(1, 6, 3.0), (1, 7, 2.0), (2, 8, 1.0)]), recency.repartition(4))
+    assert [tuple(r)[:5] for r in got.orderBy("query_id", "article_id").collect()] == [
+        (1, 5, 1.0, 0.0, 5e-6), (1, 6, 0.0, 1.0, 6e-6), (1, 7, 0.0, 0.0, 7e-6), (2, 8, 0.0, 1.0, 0.0)
+    ]
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
